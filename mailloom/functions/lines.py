@@ -8,6 +8,10 @@ which is n log n in the number of its lines.
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,8 +41,11 @@ def is_markup(lowered: Column) -> Column:
 
 def is_footer(lowered: Column) -> Column:
     """Footer phrase anywhere, a lone web address, two or more addresses, an exact value."""
+    plain = [phrase for phrase in rules.FOOTER_PHRASES if phrase == re.escape(phrase).replace(r"\ ", " ")]
+    patterns = [phrase for phrase in rules.FOOTER_PHRASES if phrase not in plain]
     return (
-        lowered.rlike(rf"(?U){'|'.join(rules.FOOTER_PHRASES)}")
+        reduce(or_, [lowered.contains(phrase) for phrase in plain])
+        | lowered.rlike("|".join(patterns))
         | lowered.rlike(rf"(?U)\A{rules.WEB_ADDRESS}\z")
         | (F.regexp_count(lowered, F.lit(rf"(?U){rules.WEB_ADDRESS}")) >= 2)
         | lowered.isin(*rules.FOOTER_LINES)

@@ -27,12 +27,12 @@ def strip(text: Column) -> Column:
 
 def drop_invisible(text: Column) -> Column:
     """Remove control, format, private-use and surrogate characters but newline and tab."""
-    return F.regexp_replace(text, r"[\p{Cc}\p{Cf}\p{Co}\p{Cs}&&[^\n\t]]", "")
+    return F.regexp_replace(text, r"[\p{C}&&[^\n\t\p{Cn}]]", "")
 
 
 def fold_spaces(text: Column) -> Column:
-    """Turn typographic space characters into plain spaces."""
-    return F.translate(text, rules.UNICODE_SPACES, " " * len(rules.UNICODE_SPACES))
+    """Turn typographic space characters (``rules.UNICODE_SPACES``) into plain spaces."""
+    return F.regexp_replace(text, r"[\p{Zs}&&[^ ]]", " ")
 
 
 def visible(text: Column) -> Column:
@@ -105,15 +105,29 @@ def break_tags(html: Column) -> Column:
     return F.regexp_replace(html, _TAG_RUN, "\n")
 
 
-def tidy_lines(text: Column) -> Column:
-    """Strip every line, keep at most one blank line in a row, strip the whole."""
-    text = F.regexp_replace(text, r"(?U)(?<![\s&&[^\n]])[\s&&[^\n]]*\n[\s&&[^\n]]*", "\n")
+def collapse_blank_lines(text: Column) -> Column:
+    """At most one blank line in a row, none at the ends, for stripped lines."""
     return strip(F.regexp_replace(text, r"\n{3,}", "\n\n"))
 
 
+def tidy_lines(text: Column) -> Column:
+    """Strip the lines of visible, single-spaced text and collapse blank ones.
+
+    A trailing run is matched from its first character only, so a long run
+    costs linear time.
+    """
+    text = F.regexp_replace(text, r"\p{Z}(?<!\p{Z}{2})\p{Z}*\n", "\n")
+    return collapse_blank_lines(F.regexp_replace(text, r"\n\p{Z}+", "\n"))
+
+
+def single_spaces(text: Column) -> Column:
+    """Runs of spaces and tabs become one space; single spaces are not touched."""
+    return F.regexp_replace(text, r"[ \t](?:(?<=\t)|[ \t])[ \t]*", " ")
+
+
 def normalise(text: Column) -> Column:
     """One space between words, stripped lines, single blank lines."""
-    return tidy_lines(F.regexp_replace(text, r"[ \t]+", " "))
+    return tidy_lines(single_spaces(text))
 
 
 _REPLY = rf"(?imdU)^(?:{'|'.join(rules.REPLY_HEADERS)})$"
@@ -128,11 +142,15 @@ def cut_reply(text: Column) -> Column:
 _SIGNATURE = rf"(?imdU)^(?:{'|'.join(rules.SIGNATURE_LINES)})$"
 
 
+def blank_signatures(text: Column) -> Column:
+    """Blank app and device signatures and leaked tags in text with stripped lines."""
+    return collapse_blank_lines(F.regexp_replace(text, _SIGNATURE, ""))
+
+
 def drop_signatures(text: Column) -> Column:
-    """Last pass: blank app and device signatures and leaked tags, tidy again."""
-    text = F.regexp_replace(visible(text), r"[ \t]+", " ")
-    text = F.regexp_replace(text, r" ?\n ?", "\n")
-    return tidy_lines(F.regexp_replace(text, _SIGNATURE, ""))
+    """The last pass on any text: make it visible and tidy, then blank signatures."""
+    text = F.regexp_replace(normalise(visible(text)), _SIGNATURE, "")
+    return collapse_blank_lines(text)
 
 
 def first_address(text: Column) -> Column:

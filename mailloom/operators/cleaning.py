@@ -114,7 +114,7 @@ def clean_bodies(
     df = (
         df.withColumn(full, F.when(c(bare).contains("&"), text.visible(c(raw))).otherwise(c(raw)))
         .withColumn(short, text.cut_reply(text.normalise(c(full))))
-        .withColumn(out, text.drop_signatures(clean_lines(c(short))))
+        .withColumn(out, text.blank_signatures(clean_lines(c(short))))
     )
     return df.drop(seen, bare, raw, full, short)
 
