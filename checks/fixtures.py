@@ -101,7 +101,7 @@ select 'e' || event_id as message_id, event_id,
   case when event_type = 'purchase' then 'e' || (event_id - event_id % 20) else props end as snippet,
   props as body,
   case event_id % 4 when 0 then 'clean' when 1 then 'suspicious' when 2 then 'malicious' end as security_status,
-  ts
+  cast(ts as timestamp) as ts
 from events"""
 
 # One row per step; the array form is gathered from it.

@@ -84,11 +84,11 @@ def _(spark, sf):
     return read_messages(spark, folder).select("id", "threadId", F.length(message).cast("long").alias("chars"))
 
 
-@query("s2_full_scan", f"with {EMAILS} select id, external_message_id, sender, subject, length(body_text) as chars from emails")
+@query("s2_full_scan", f"with {EMAILS} select id, external_message_id, sender, subject, coalesce(length(body_text), -1) as chars from emails")
 def _(spark, sf):
-    table = EmailTable(spark, new_work_folder(spark, "emails"))
+    table = EmailTable(spark, new_work_folder(spark, "emails"), digits=1)
     table.append(fixtures.emails(spark, sf))
-    return table.read().select("id", "external_message_id", "sender", "subject", F.length("body_text").alias("chars"))
+    return table.read().select("id", "external_message_id", "sender", "subject", F.coalesce(F.length("body_text").cast("long"), F.lit(-1)).alias("chars"))
 
 
 @query("s3_bounded_scan", f"with {EMAILS} select arrival, external_message_id from emails order by arrival limit 110 offset 40")
@@ -98,7 +98,7 @@ def _(spark, sf):
 
 @query("s4_append", f"with {TARGET} select external_message_id, count(*) as n from (select * from target union all select * from target) group by 1")
 def _(spark, sf):
-    table = EmailTable(spark, new_work_folder(spark, "emails"))
+    table = EmailTable(spark, new_work_folder(spark, "emails"), digits=1)
     rows = fixtures.target_emails(spark, sf)
     table.append(rows)
     table.append(rows)
@@ -107,7 +107,7 @@ def _(spark, sf):
 
 @query("s5_insert_if_absent", f"with {EMAILS} select id, external_message_id, arrival % 2 as late, {duck_time('created_at')} from emails")
 def _(spark, sf):
-    table = EmailTable(spark, new_work_folder(spark, "emails"))
+    table = EmailTable(spark, new_work_folder(spark, "emails"), digits=1)
     table.append(fixtures.target_emails(spark, sf))
     table.insert_if_absent(fixtures.emails(spark, sf))
     late = F.pmod(F.unix_timestamp("created_at"), F.lit(2)).alias("late")
@@ -121,7 +121,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     rows = fixtures.emails(spark, sf)
-    table = EmailTable(spark, new_work_folder(spark, "emails"))
+    table = EmailTable(spark, new_work_folder(spark, "emails"), digits=1)
     table.append(rows)
     table.update_bodies(
         rows.filter(c("arrival") % 3 == 0).select(
@@ -134,7 +134,7 @@ def _(spark, sf):
 @query("s7_delete_ids", f"with {EMAILS} select id, external_message_id from emails where arrival % 4 <> 1")
 def _(spark, sf):
     rows = fixtures.emails(spark, sf)
-    table = EmailTable(spark, new_work_folder(spark, "emails"))
+    table = EmailTable(spark, new_work_folder(spark, "emails"), digits=1)
     table.append(rows)
     table.delete(rows.filter(c("arrival") % 4 == 1).select("id"))
     return table.read().select("id", "external_message_id")
@@ -277,10 +277,10 @@ def _(spark, sf):
     return checked.groupBy(F.coalesce("skip_reason", F.lit("valid")).alias("outcome")).agg(F.count("*").alias("n"))
 
 
-@query("i10_keep_first", f"with {KEPT} select arrival, external_message_id, sender, length(body_text) as chars from kept")
+@query("i10_keep_first", f"with {KEPT} select arrival, external_message_id, sender, coalesce(length(body_text), -1) as chars from kept")
 def _(spark, sf):
     kept = importing.keep_first(importing.valid_rows(fixtures.emails_src(spark, sf)))
-    return kept.select("arrival", "external_message_id", "sender", F.length("body_text").alias("chars"))
+    return kept.select("arrival", "external_message_id", "sender", F.coalesce(F.length("body_text").cast("long"), F.lit(-1)).alias("chars"))
 
 
 @query(
@@ -373,7 +373,7 @@ select external_message_id, subject, sender, body_cleaned, has_attachments, {duc
  where rn = 1 and external_message_id not in (select external_message_id from target))""",
 )
 def _(spark, sf):
-    table = EmailTable(spark, new_work_folder(spark, "emails"))
+    table = EmailTable(spark, new_work_folder(spark, "emails"), digits=1)
     table.append(fixtures.target_emails(spark, sf))
     jobs.import_messages(fixtures.raw_messages(spark, sf), table)
     return table.read().select(
@@ -652,24 +652,24 @@ def _(spark, sf):
 @query(
     "v8_vector_checks",
     """select vec_id, len(embedding) = 64 as fits,
- cast(round(sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))), 5) as varchar) as norm from embeddings""",
+ cast(cast(sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))) as decimal(10, 4)) as varchar) as norm from embeddings""",
 )
 def _(spark, sf):
     points = fixtures.points(spark, sf)
-    norm = F.round(embedding.norm(c("vector")), 5).cast("string").alias("norm")
+    norm = embedding.norm(c("vector")).cast("decimal(10,4)").cast("string").alias("norm")
     return points.select("vec_id", embedding.has_dim(c("vector"), 64).alias("fits"), norm)
 
 
 @query(
     "v8_cosine_to_label",
     """with first_ as (select label, arg_min(embedding, vec_id) as e from embeddings group by label)
-select v.vec_id, cast(round(list_cosine_similarity(v.embedding::double[], f.e::double[]), 5) as varchar) as cosine
+select v.vec_id, cast(cast(list_cosine_similarity(v.embedding::double[], f.e::double[]) as decimal(10, 4)) as varchar) as cosine
 from embeddings v join first_ f on f.label = v.label""",
 )
 def _(spark, sf):
     points = fixtures.points(spark, sf)
     first = points.groupBy("label").agg(F.min_by("vector", "vec_id").alias("first"))
-    similarity = F.round(embedding.cosine(c("vector"), c("first")), 5).cast("string").alias("cosine")
+    similarity = embedding.cosine(c("vector"), c("first")).cast("decimal(10,4)").cast("string").alias("cosine")
     return points.join(first, "label").select("vec_id", similarity)
 
 
@@ -878,11 +878,11 @@ PLAN_IDS = f"{STEPS}, plans as (select distinct plan_id from plan_steps union al
     "e8_next_pending",
     f"""with {PLAN_IDS}, nxt as (select plan_id, arg_min(step_index, step_index) as step_index, arg_min(type, step_index) as type
  from plan_steps where status = 'pending' group by 1)
-select p.plan_id, cast(n.step_index as integer) as step_index, n.type from plans p left join nxt n on n.plan_id = p.plan_id""",
+select p.plan_id, cast(coalesce(n.step_index, -1) as integer) as step_index, n.type from plans p left join nxt n on n.plan_id = p.plan_id""",
 )
 def _(spark, sf):
     rows = fixtures.plans(spark, sf).withColumn("step", plan_steps.next_pending(c("steps")))
-    return rows.select("plan_id", "step.step_index", "step.type")
+    return rows.select("plan_id", F.coalesce("step.step_index", F.lit(-1)).alias("step_index"), "step.type")
 
 
 @query(
@@ -1010,7 +1010,7 @@ def _stream(spark, sf, name: str, sql: str) -> DataFrame:
     ORACLES["i16_import_job"],
 )
 def _(spark, sf):
-    table = EmailTable(spark, new_work_folder(spark, "emails"))
+    table = EmailTable(spark, new_work_folder(spark, "emails"), digits=1)
     table.append(fixtures.target_emails(spark, sf))
     folder = new_work_folder(spark, "dump")
     fixtures.raw_messages(spark, sf).write.parquet(folder)

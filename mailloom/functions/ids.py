@@ -32,6 +32,6 @@ def email_id(external_message_id: Column) -> Column:
     return uuid5_url(external_message_id)
 
 
-def bucket(identifier: Column) -> Column:
-    """256 even buckets from the first two hex digits of an identifier."""
-    return F.substring(identifier, 1, 2)
+def bucket(identifier: Column, digits: int = 2) -> Column:
+    """Even buckets from the first hex digits of an identifier: 16, 256, 4096 ..."""
+    return F.substring(identifier, 1, digits)

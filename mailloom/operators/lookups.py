@@ -11,14 +11,14 @@ from mailloom import rules
 from mailloom.functions.ids import bucket, email_id
 
 
-def by_external_id(emails: DataFrame, external_message_id: str) -> DataFrame:
+def by_external_id(emails: DataFrame, external_message_id: str, *, bucket_digits: int | None = None) -> DataFrame:
     """The row with this external id: none or one; more than one is an error.
 
-    The key also gives the bucket, so a bucketed table is read in one part.
+    The key also gives the bucket, so only one bucket of a bucketed table is read.
     """
     wanted = F.col("external_message_id") == external_message_id
-    if "bucket" in emails.columns:
-        wanted &= F.col("bucket") == bucket(email_id(F.lit(external_message_id)))
+    if bucket_digits:
+        wanted &= F.col("bucket") == bucket(email_id(F.lit(external_message_id)), bucket_digits)
     found = emails.filter(wanted).agg(
         F.count("*").alias("n"), F.first(F.struct(*emails.columns)).alias("row")
     )

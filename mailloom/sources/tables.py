@@ -1,6 +1,6 @@
 """Parquet tables of emails and vector points.
 
-``emails`` is laid out in 256 buckets by the first digits of the row id, which
+``emails`` is laid out in buckets by the first hex digits of the row id, which
 is a hash of the external id: even in size, known from a key alone, and the
 unit of rewriting. ``points`` takes whole batches of upserts as appended
 versions, so an upsert costs as much as its batch; reading takes the last
@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,10 +32,16 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 class EmailTable:
-    """The emails table at a path."""
+    """The emails table at a path, in 16 to the power of ``digits`` buckets.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    Two digits suit up to some hundred gigabytes, three some hundred terabytes.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, digits: int = 2):
+        self.spark, self.path, self.digits = spark, path.rstrip("/"), digits
+
+    def _bucket(self) -> Column:
+        return bucket(F.col("id"), self.digits)
 
     def read(self) -> DataFrame:
         """All rows with the ``bucket`` column; empty before the first write."""
@@ -45,7 +51,7 @@ class EmailTable:
         return self.spark.read.schema(schema).parquet(self.path)
 
     def _write(self, rows: DataFrame, mode: str) -> None:
-        rows = rows.select(*EMAILS.names).withColumn("bucket", bucket(F.col("id")))
+        rows = rows.select(*EMAILS.names).withColumn("bucket", self._bucket())
         # Rebalancing gives each bucket few, evenly sized files at any volume.
         (
             rows.hint("rebalance", "bucket")
@@ -69,7 +75,7 @@ class EmailTable:
 
     def _rewrite(self, keys: DataFrame, change) -> None:
         """Apply ``change`` to the buckets of the given ids and replace those buckets."""
-        touched = [r[0] for r in keys.select(bucket(F.col("id"))).distinct().collect()]  # at most 256
+        touched = [r[0] for r in keys.select(self._bucket()).distinct().collect()]  # bounded by the buckets
         if not touched:
             return
         changed = stage(change(self.read().filter(F.col("bucket").isin(touched))), "rewrite")
