@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from mailloom.operators import chunking, cleaning, embedding, importing
-from mailloom.session import stage
+from mailloom.session import observed, stage
 from mailloom.sources.tables import EmailTable, PointTable
 
 
@@ -42,7 +42,7 @@ def clean_emails(emails: DataFrame, out_path: str, **options: bool) -> dict[str,
         .write.mode("errorifexists")
         .parquet(out_path)
     )
-    return seen.get
+    return observed(seen, "processed", "updated")
 
 
 def to_point_rows(
@@ -58,7 +58,7 @@ def vectorize_emails(emails: DataFrame, points: PointTable, make_encoder: Callab
     seen = Observation("vectorized")
     rows = to_point_rows(emails.observe(seen, F.count("*").alias("n")), make_encoder, **options)
     upserted = points.upsert(rows)
-    return {"emails_processed": seen.get["n"], "chunks_upserted": upserted}
+    return {"emails_processed": observed(seen, "n")["n"], "chunks_upserted": upserted}
 
 
 def vectorize_one(emails: DataFrame, external_message_id: str, points: PointTable, make_encoder: Callable) -> dict:

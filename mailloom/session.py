@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -74,3 +75,17 @@ def spread(df: DataFrame) -> DataFrame:
     if df.rdd.getNumPartitions() >= slots:
         return df
     return df.repartition(slots)
+
+
+def observed(observation: Observation, *names: str) -> dict[str, int]:
+    """Counts of a finished write.
+
+    Where the rows turn out to be none while running, Spark cuts the plan and
+    the observation holds no row; the counts are zero then.
+    """
+    try:
+        return {name: observation.get[name] for name in names}
+    except Py4JJavaError as error:
+        if "toPyRow" not in str(error):
+            raise
+        return dict.fromkeys(names, 0)

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from mailloom.functions.ids import bucket
 from mailloom.operators import importing, upsert
 from mailloom.schemas import EMAILS, POINTS
-from mailloom.session import stage
+from mailloom.session import observed, stage
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -71,7 +71,7 @@ class EmailTable:
         """
         seen = Observation("inserted")
         self.append(importing.insert_if_absent(self.read(), rows).observe(seen, F.count("*").alias("n")))
-        return seen.get["n"]
+        return observed(seen, "n")["n"]
 
     def _rewrite(self, keys: DataFrame, change) -> None:
         """Apply ``change`` to the buckets of the given ids and replace those buckets."""
@@ -121,7 +121,7 @@ class PointTable:
             .partitionBy("version")
             .parquet(self.path)
         )
-        return seen.get["n"]
+        return observed(seen, "n")["n"]
 
     def compact(self) -> None:
         """Fold all versions into one."""
