@@ -17,7 +17,7 @@ LONG_LINE = "long line " * 13  # 130 characters
 
 DIALECT = {
     "spark": {
-        "b64": lambda s: f"regexp_replace(base64(encode({s}, 'UTF-8')), '[^A-Za-z0-9+/=]', '')",
+        "b64": lambda s: f"replace(base64(encode({s}, 'UTF-8')), '\r\n', '')",
         "header_time": lambda t: f"date_format({t}, 'dd MMM yyyy HH:mm:ss')",
         "hours2": "interval '2' hour",
     },
@@ -141,12 +141,9 @@ def raw_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         raw_messages_sql("spark").replace("from emails_src", "from {emails_src}").replace('"threadId"', "threadId"),
         emails_src=emails_src(spark, sf_dir),
     )
-    raw = F.rtrim(
-        F.translate(
-            F.regexp_replace(F.base64(F.encode("message", "UTF-8")), "[^A-Za-z0-9+/=]", ""), "+/", "-_"
-        ),
-        F.lit("="),
-    )
+    encoded = F.replace(F.base64(F.encode("message", "UTF-8")), F.lit("\r\n"), F.lit(""))
+    url_safe = F.replace(F.replace(encoded, F.lit("+"), F.lit("-")), F.lit("/"), F.lit("_"))
+    raw = F.rtrim(url_safe, F.lit("="))
     return text.select("arrival", "id", "threadId", raw.alias("raw"))
 
 

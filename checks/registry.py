@@ -1033,7 +1033,11 @@ def _(spark, sf):
     rows = src.withColumn("external_message_id", F.concat(F.lit("s"), "arrival")).withColumn("body_cleaned", c("body_text"))
     table = PointTable(spark, new_work_folder(spark, "points"))
     streams.vectorize_stream(
-        rows, table, embedding.hashing_encoder(64), new_work_folder(spark, "check")
+        rows,
+        table,
+        embedding.hashing_encoder(64),
+        new_work_folder(spark, "check"),
+        spread_to=spark.sparkContext.defaultParallelism,
     ).awaitTermination()
     return table.read().select("id", "payload.*")
 

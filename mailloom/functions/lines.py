@@ -27,33 +27,42 @@ def join_lines(lines: Column) -> Column:
     return F.array_join(lines, "\n")
 
 
+_SEPARATOR = rf"{rules.SEPARATOR_LINE}\z"
+_IMAGE = rf"{rules.IMAGE_LINE}\z"
+_MARKUP = "|".join(rules.MARKUP_LINES)
+
+_PLAIN_PHRASES = [p for p in rules.FOOTER_PHRASES if p == re.escape(p).replace(r"\ ", " ")]
+_PHRASE_PATTERNS = [p for p in rules.FOOTER_PHRASES if p not in _PLAIN_PHRASES]
+
+
 def is_separator(line: Column) -> Column:
-    return line.rlike(rf"\A{rules.SEPARATOR_LINE}\z")
+    return line.rlike(rf"\A{_SEPARATOR}")
 
 
 def is_image_mark(lowered: Column) -> Column:
-    return lowered.rlike(rf"(?s)\A{rules.IMAGE_LINE}\z")
+    return lowered.rlike(rf"(?s)\A{_IMAGE}")
 
 
 def is_markup(lowered: Column) -> Column:
-    return lowered.rlike(rf"(?dU)\A(?:{'|'.join(rules.MARKUP_LINES)})")
+    return lowered.rlike(rf"(?dU)\A(?:{_MARKUP})")
 
 
 def is_footer(lowered: Column) -> Column:
     """Footer phrase anywhere, a lone web address, two or more addresses, an exact value."""
-    plain = [phrase for phrase in rules.FOOTER_PHRASES if phrase == re.escape(phrase).replace(r"\ ", " ")]
-    patterns = [phrase for phrase in rules.FOOTER_PHRASES if phrase not in plain]
+    phrases = reduce(or_, [lowered.contains(phrase) for phrase in _PLAIN_PHRASES])
+    lone_address = lowered.rlike(rf"(?U)\A{rules.WEB_ADDRESS}\z")
+    many_addresses = F.regexp_count(lowered, F.lit(rf"(?U){rules.WEB_ADDRESS}")) >= 2
     return (
-        reduce(or_, [lowered.contains(phrase) for phrase in plain])
-        | lowered.rlike("|".join(patterns))
-        | lowered.rlike(rf"(?U)\A{rules.WEB_ADDRESS}\z")
-        | (F.regexp_count(lowered, F.lit(rf"(?U){rules.WEB_ADDRESS}")) >= 2)
+        (lowered.contains("://") & (lone_address | many_addresses))
+        | phrases
+        | lowered.rlike("|".join(_PHRASE_PATTERNS))
         | lowered.isin(*rules.FOOTER_LINES)
     )
 
 
 def is_noise(lowered: Column) -> Column:
-    return is_separator(lowered) | is_image_mark(lowered) | is_markup(lowered) | is_footer(lowered)
+    """Any of the four kinds; the anchored ones are tried in one pass."""
+    return lowered.rlike(rf"(?dsU)\A(?:{_SEPARATOR}|{_IMAGE}|{_MARKUP})") | is_footer(lowered)
 
 
 def with_lowered(lines: Column) -> Column:

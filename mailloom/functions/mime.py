@@ -6,12 +6,13 @@ messages are split and how large the batches are.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import UTC, datetime
 from email import message_from_bytes, policy
 from email.header import decode_header, make_header
 from email.message import EmailMessage
 from email.utils import parsedate_to_datetime
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -104,21 +105,39 @@ def _storable(value):
     return value.encode("utf-8", "replace").decode("utf-8") if isinstance(value, str) else value
 
 
-def parse(raw: bytes | None) -> dict:
+class _RememberingPolicy(policy.EmailPolicy):
+    """The default policy with parsed headers remembered.
+
+    The parser asks for the content type of a part a dozen times, and the same
+    few values come back in message after message.
+    """
+
+    remembered: Callable | None = None
+
+    def header_fetch_parse(self, name, value):
+        return self.remembered(name, value)
+
+
+def parsing_policy() -> policy.EmailPolicy:
+    return _RememberingPolicy(remembered=lru_cache(maxsize=1024)(policy.default.header_fetch_parse))
+
+
+def parse(raw: bytes | None, using: policy.EmailPolicy = policy.default) -> dict:
     """Fields of one message; ``error`` is set where it cannot be read."""
     if raw is None:
         return {"error": "raw message cannot be decoded"}
     try:
-        return {k: _storable(v) for k, v in _fields(message_from_bytes(raw, policy=policy.default)).items()}
+        return {k: _storable(v) for k, v in _fields(message_from_bytes(raw, policy=using)).items()}
     except Exception as failure:  # one bad message must not fail the job
         return {"error": f"{type(failure).__name__}: {failure}"}
 
 
 def parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Replace the ``content`` column of each batch by the parsed fields."""
+    using = parsing_policy()
     for batch in batches:
         at = batch.schema.get_field_index("content")
-        rows = [parse(value.as_py()) for value in batch.column(at)]
+        rows = [parse(value.as_py(), using) for value in batch.column(at)]
         names = [n for n in batch.schema.names if n != "content"]
         columns = [batch.column(batch.schema.get_field_index(n)) for n in names]
         for field in PARSED_FIELDS.names:

@@ -55,29 +55,26 @@ def pick_main_content(df: DataFrame, column: str, out: str) -> DataFrame:
     return df.withColumn(out, main_content(F.col(column)))
 
 
-def markup_to_text(df: DataFrame, column: str, out: str) -> DataFrame:
+def markup_to_text(
+    df: DataFrame, column: str, out: str, *, has_tags: Column | None = None, has_entities: Column | None = None
+) -> DataFrame:
     """Drop garbage and hidden elements, break at tags, decode entities.
 
     Patterns serve well-formed rows inside the JVM. Only rows with entities,
     hidden elements or unpaired garbage tags are handed to the tree helper.
     """
-    c = F.col
-    flat, tree = f"{_P}flat", f"{_P}tree"
+    html, flat, tree = F.col(column), f"{_P}flat", f"{_P}tree"
+    has_tags = html.contains("<") if has_tags is None else has_tags
+    has_entities = html.contains("&") if has_entities is None else has_entities
+    needs_tree = has_entities | (has_tags & (text.hides_elements(html) | text.leaves_garbage(F.col(flat))))
     return (
-        df.withColumn(flat, F.when(c(column).contains("<"), text.drop_garbage(c(column))).otherwise(c(column)))
-        .withColumn(
-            tree,
-            F.when(
-                c(column).contains("&")
-                | (c(column).contains("<") & (text.hides_elements(c(column)) | text.leaves_garbage(c(flat)))),
-                c(column),
-            ),
-        )
+        df.withColumn(flat, F.when(has_tags, text.drop_garbage(html)).otherwise(html))
+        .withColumn(tree, F.when(needs_tree, html))
         .withColumn(
             out,
             F.coalesce(
-                html_tree.tree_text(c(tree)),
-                F.when(c(flat).contains("<"), text.break_tags(c(flat))).otherwise(c(flat)),
+                html_tree.tree_text(F.col(tree)),
+                F.when(has_tags, text.break_tags(F.col(flat))).otherwise(F.col(flat)),
             ),
         )
         .drop(flat, tree)
@@ -99,24 +96,29 @@ def clean_bodies(
 ) -> DataFrame:
     """Add ``out``: the cleaned form of ``column`` (NULL and blank give '')."""
     c = F.col
-    seen, bare, raw, full, short = (f"{_P}{n}" for n in ("seen", "bare", "raw", "full", "short"))
-    df = df.withColumn(seen, text.visible(F.coalesce(c(column), F.lit(""))))
-
-    def precleaned(name: str) -> Column:
-        return F.when(text.may_hold_markup(c(name)), text.preclean(c(name))).otherwise(text.strip(c(name)))
-
-    df = df.withColumn(bare, precleaned(seen))
+    names = [f"{_P}{n}" for n in ("seen", "bare", "raw", "full", "tags", "entities", "markup")]
+    seen, bare, raw, full, tags, entities, markup = names
+    df = (
+        df.withColumn(seen, text.visible(F.coalesce(c(column), F.lit(""))))
+        .withColumn(tags, c(seen).contains("<"))
+        .withColumn(entities, c(seen).contains("&"))
+        .withColumn(markup, c(tags) | c(seen).contains('="'))
+    )
+    # Markup is removed twice, since the first pass may uncover more.
     if only_main_content:
-        df = df.withColumn(bare, F.when(c(bare).contains("<"), main_content(c(bare))).otherwise(c(bare)))
-    # The second pass sees what the first uncovered.
-    df = df.withColumn(bare, precleaned(bare))
-    df = markup_to_text(df, bare, raw)
+        df = df.withColumn(bare, F.when(c(markup), text.preclean(c(seen))).otherwise(text.strip(c(seen))))
+        df = df.withColumn(bare, F.when(c(tags), main_content(c(bare))).otherwise(c(bare)))
+        df = df.withColumn(bare, F.when(c(markup), text.preclean(c(bare))).otherwise(c(bare)))
+    else:
+        twice = text.preclean(text.preclean(c(seen)))
+        df = df.withColumn(bare, F.when(c(markup), twice).otherwise(text.strip(c(seen))))
     df = (
-        df.withColumn(full, F.when(c(bare).contains("&"), text.visible(c(raw))).otherwise(c(raw)))
-        .withColumn(short, text.cut_reply(text.normalise(c(full))))
-        .withColumn(out, text.blank_signatures(clean_lines(c(short))))
+        markup_to_text(df, bare, raw, has_tags=c(tags), has_entities=c(entities))
+        # Decoded entities may bring invisible characters again.
+        .withColumn(full, F.when(c(entities), text.visible(c(raw))).otherwise(c(raw)))
+        .withColumn(out, text.blank_signatures(clean_lines(text.cut_reply(text.normalise(c(full))))))
     )
-    return df.drop(seen, bare, raw, full, short)
+    return df.drop(*names)
 
 
 def clean_table(

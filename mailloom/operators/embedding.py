@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 from pyspark.ml.functions import predict_batch_udf
@@ -40,6 +41,7 @@ def hashing_encoder(dim: int = rules.VECTOR_DIM) -> Callable[[], Encoder]:
     """Token counts in hashed slots; a deterministic stand-in for a model."""
 
     def make() -> Encoder:
+        @lru_cache(maxsize=1 << 16)
         def slot(token: str) -> int:
             return int(hashlib.md5(token.encode("utf-8")).hexdigest()[:8], 16) % dim
 

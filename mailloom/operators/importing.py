@@ -13,7 +13,8 @@ from mailloom.functions.mime import PARSED_FIELDS, parse_batches
 
 def decode_raw(raw: Column) -> Column:
     """Bytes of a base64url string with or without padding; NULL if malformed."""
-    return F.try_to_binary(F.rtrim(F.translate(raw, "-_", "+/"), F.lit("=")), F.lit("base64"))
+    standard = F.replace(F.replace(raw, F.lit("-"), F.lit("+")), F.lit("_"), F.lit("/"))
+    return F.try_to_binary(F.rtrim(standard, F.lit("=")), F.lit("base64"))
 
 
 def parse_messages(raw: DataFrame) -> DataFrame:

@@ -33,9 +33,14 @@ def import_stream(raw: DataFrame, table: EmailTable, checkpoint: str, *, order:
 
 
 def vectorize_stream(
-    emails: DataFrame, points: PointTable, make_encoder: Callable, checkpoint: str
+    emails: DataFrame, points: PointTable, make_encoder: Callable, checkpoint: str, *, spread_to: int | None = None
 ) -> StreamingQuery:
-    """Clean, chunk, embed and upsert emails as they arrive. All but the sink is stateless."""
+    """Clean, chunk, embed and upsert emails as they arrive. All but the sink is stateless.
+
+    ``spread_to`` deals the rows out to that many tasks first, for sources that
+    bring few large files per batch.
+    """
+    emails = emails.repartition(spread_to) if spread_to else emails
     rows = to_point_rows(cleaning.clean_table(emails).drop("changed"), make_encoder)
     return _run(rows.writeStream.foreachBatch(lambda batch, _id: points.upsert(batch)), checkpoint)
 
