@@ -162,18 +162,22 @@ def plan_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(text, conversations=table(spark, sf_dir, "conversations"))
 
 
+def artifacts(n: F.Column) -> F.Column:
+    """``n`` artifact names of a plan step."""
+    numbers = F.when(n == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), n.cast("int")))
+    step = F.concat(F.col("plan_id").cast("string"), F.lit("/"), F.col("step_index").cast("string"), F.lit("/"))
+    return F.transform(numbers, lambda i: F.concat(step, i.cast("string")))
+
+
 def plans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Steps and results per plan, and one plan without steps after the last."""
+    """Steps and results per plan, and one plan without steps after the last.
+
+    A plan is one record of the data model, a short list as long as its conversation.
+    """
     step = F.struct(
         F.col("step_index").cast("int").alias("step_index"), "status", "type", "summary", "reason", "action_spec"
     )
-    artifacts = F.transform(
-        F.when(F.col("n_artifacts") == 0, F.array().cast("array<int>")).otherwise(
-            F.sequence(F.lit(1), F.col("n_artifacts").cast("int"))
-        ),
-        lambda i: F.concat(F.col("plan_id").cast("string"), F.lit("/"), F.col("step_index").cast("string"), F.lit("/"), i.cast("string")),
-    )
-    steps = plan_steps(spark, sf_dir).withColumn("artifacts", artifacts)
+    steps = plan_steps(spark, sf_dir).withColumn("artifacts", artifacts(F.col("n_artifacts")))
     full = steps.groupBy("plan_id").agg(
         F.array_sort(F.collect_list(step)).alias("steps"),
         F.array_sort(F.collect_list(F.struct("step_index", "artifacts"))).alias("results"),

@@ -283,6 +283,17 @@ def _(spark, sf):
     return kept.select("arrival", "external_message_id", "sender", F.coalesce(F.length("body_text").cast("long"), F.lit(-1)).alias("chars"))
 
 
+@query(
+    "i10_keep_one_narrow",
+    f"with {KEPT} select arrival, external_message_id, sender, coalesce(length(body_text), -1) as chars from kept",
+)
+def _(spark, sf):
+    kept = importing.keep_one_per_key(importing.valid_rows(fixtures.emails_src(spark, sf)))
+    return kept.select(
+        "arrival", "external_message_id", "sender", F.coalesce(F.length("body_text").cast("long"), F.lit(-1)).alias("chars")
+    )
+
+
 @query(
     "i11_insert_absent",
     f"""with {TARGET} select e.external_message_id, e.id, e.subject from emails e
@@ -885,6 +896,15 @@ def _(spark, sf):
     return rows.select("plan_id", F.coalesce("step.step_index", F.lit(-1)).alias("step_index"), "step.type")
 
 
+@query(
+    "e8_next_pending_rows",
+    f"""with {STEPS} select plan_id, cast(min(step_index) as bigint) as step_index, arg_min(type, step_index) as type
+ from plan_steps where status = 'pending' group by 1""",
+)
+def _(spark, sf):
+    return plan_steps.next_pending_rows(fixtures.plan_steps(spark, sf)).select("plan_id", "step_index", "type")
+
+
 @query(
     "e9_mark_completed",
     f"""with {STEPS} select plan_id, cast(step_index as integer) as step_index,
@@ -909,6 +929,15 @@ def _(spark, sf):
     return fixtures.plans(spark, sf).select("plan_id", plan_steps.route_after_dispatch(c("steps")).alias("route"))
 
 
+@query(
+    "e10_route_rows",
+    f"""with {STEPS} select plan_id, case when bool_or(status = 'pending') then 'dispatch_execution_plan_step' else 'shutdown' end as route
+ from plan_steps group by 1""",
+)
+def _(spark, sf):
+    return plan_steps.route_rows(fixtures.plan_steps(spark, sf))
+
+
 ARTIFACTS = f"""{PLAN_IDS}, artifacts as (select plan_id, step_index, unnest(generate_series(1, n_artifacts)) as i from plan_steps)"""
 
 
@@ -922,6 +951,15 @@ def _(spark, sf):
     return fixtures.plans(spark, sf).select("plan_id", flat.alias("artifacts"))
 
 
+@query(
+    "e11_artifact_rows",
+    f"""with {ARTIFACTS} select plan_id, step_index, cast(i - 1 as integer) as position, plan_id || '/' || step_index || '/' || i as artifact from artifacts""",
+)
+def _(spark, sf):
+    artifacts = fixtures.artifacts(c("n_artifacts")).alias("artifacts")
+    return plan_steps.artifact_rows(fixtures.plan_steps(spark, sf).select("plan_id", "step_index", artifacts))
+
+
 @query(
     "e12_merge_results",
     f"""with {STEPS} select plan_id, cast(step_index as varchar) as step_id, n_artifacts from plan_steps""",
@@ -955,6 +993,15 @@ def _(spark, sf):
     return plan_steps.number_steps(suggested).drop("errors")
 
 
+@query(
+    "e13_plan_record",
+    f"""with {STEPS} select plan_id, cast(step_index as integer) as step_index, 'pending' as status, type, summary, reason, action_spec from plan_steps""",
+)
+def _(spark, sf):
+    record = fixtures.plans(spark, sf).select("plan_id", plan_steps.numbered(c("steps")).alias("steps"))
+    return record.select("plan_id", F.inline("steps")).drop("errors")
+
+
 @query("e14_type_queues", f"with {STEPS} select type, count(*) as n from plan_steps where status = 'pending' group by 1")
 def _(spark, sf):
     pending = fixtures.plan_steps(spark, sf).filter(c("status") == rules.STEP_PENDING)

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from mailloom import rules
 from mailloom.functions.ids import email_id
 from mailloom.functions.mime import PARSED_FIELDS, parse_batches
+from mailloom.session import stage
 
 
 def decode_raw(raw: Column) -> Column:
@@ -77,15 +78,44 @@ def keep_first(rows: DataFrame, order: str = "arrival", key: str = "external_mes
     return rows.withColumn(rank, F.row_number().over(first)).filter(F.col(rank) == 1).drop(rank)
 
 
+def keep_one_per_key(
+    rows: DataFrame, order: str = "arrival", key: str = "external_message_id", *, newest: bool = False
+) -> DataFrame:
+    """First (or newest) row per key of a written table, without moving the wide rows.
+
+    A narrow pass over key and order finds the keys that occur more than once,
+    usually few. They are staged, so the join knows their size: a small list is
+    broadcast and the wide rows stay where they are; a large one is joined by
+    shuffle, where hot keys are split. ``order`` is unique within a key.
+    """
+    pick = F.max(order) if newest else F.min(order)
+    repeated = (
+        rows.groupBy(key)
+        .agg(pick.alias("__pick"), F.count("*").alias("__n"))
+        .filter(F.col("__n") > 1)
+        .drop("__n")
+    )
+    repeated = stage(repeated, "repeated-keys")
+    return (
+        rows.join(repeated, key, "left")
+        .filter(F.col("__pick").isNull() | (F.col(order) == F.col("__pick")))
+        .select(*rows.columns)
+    )
+
+
 def existing_ids(table: DataFrame, wanted: DataFrame, key: str = "external_message_id") -> DataFrame:
-    """Distinct keys of ``wanted`` that the table already holds, NULL never."""
+    """Distinct keys of ``wanted`` that the table already holds, NULL never.
+
+    The wanted keys are the side that may be broadcast, so a small batch is
+    looked up in one pass over the key column, without moving the table.
+    """
     keys = wanted.select(key).filter(F.col(key).isNotNull()).distinct()
-    return keys.join(table.select(key), key, "left_semi")
+    return table.select(key).join(keys, key, "left_semi").distinct()
 
 
 def insert_if_absent(table: DataFrame, new: DataFrame, key: str = "external_message_id") -> DataFrame:
     """Rows of ``new`` whose key the table does not hold."""
-    return new.join(table.select(key), key, "left_anti")
+    return new.join(existing_ids(table, new, key), key, "left_anti")
 
 
 def oldest_sent(table: DataFrame) -> DataFrame:

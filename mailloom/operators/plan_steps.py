@@ -47,10 +47,39 @@ def number_steps(plans: DataFrame) -> DataFrame:
     )
 
 
-def to_plan(step_rows: DataFrame) -> DataFrame:
-    """Step rows gathered into one ordered array per plan. Plans are short lists."""
-    step = F.struct("step_index", "status", "type", "summary", "reason", "action_spec", "errors")
-    return step_rows.groupBy("plan_id", "ordering_reason").agg(F.array_sort(F.collect_list(step)).alias("steps"))
+def numbered(suggested: Column) -> Column:
+    """Suggested steps as the step array of a new plan, numbered by position."""
+    return F.transform(
+        suggested,
+        lambda s, i: F.struct(
+            F.lit(rules.STEP_PENDING).alias("status"),
+            s.type.alias("type"),
+            i.alias("step_index"),
+            s.summary.alias("summary"),
+            s.reason.alias("reason"),
+            s.action_spec.alias("action_spec"),
+            F.array().cast("array<string>").alias("errors"),
+        ),
+    )
+
+
+def next_pending_rows(step_rows: DataFrame) -> DataFrame:
+    """First pending step of every plan from step rows.
+
+    A minimum per plan, combined on the map side: a plan of any length costs
+    one row per task in the shuffle.
+    """
+    rest = [n for n in step_rows.columns if n != "plan_id"]
+    first = F.min_by(F.struct(*rest), "step_index").alias("step")
+    return step_rows.filter(F.col("status") == rules.STEP_PENDING).groupBy("plan_id").agg(first).select("plan_id", "step.*")
+
+
+def route_rows(step_rows: DataFrame) -> DataFrame:
+    """Where each plan of step rows goes next."""
+    pending = F.count_if(F.col("status") == rules.STEP_PENDING) > 0
+    return step_rows.groupBy("plan_id").agg(
+        F.when(pending, rules.ROUTE_DISPATCH).otherwise(rules.ROUTE_SHUTDOWN).alias("route")
+    )
 
 
 def earlier_artifacts(results: Column) -> Column:
@@ -58,10 +87,13 @@ def earlier_artifacts(results: Column) -> Column:
     return F.flatten(F.transform(F.array_sort(results), lambda r: r.artifacts))
 
 
-def gather_artifacts(result_rows: DataFrame) -> DataFrame:
-    """(plan_id, step_index, artifacts) rows to one flat array per plan, in step order."""
-    rows = F.collect_list(F.struct("step_index", "artifacts"))
-    return result_rows.groupBy("plan_id").agg(earlier_artifacts(rows).alias("artifacts"))
+def artifact_rows(result_rows: DataFrame) -> DataFrame:
+    """(plan_id, step_index, artifacts) rows flattened to one row per artifact.
+
+    The order is in the columns (step_index, position), so no plan is gathered
+    in one place.
+    """
+    return result_rows.select("plan_id", "step_index", F.posexplode("artifacts").alias("position", "artifact"))
 
 
 def merge_results(left: Column, right: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from mailloom.operators import chunking, cleaning, embedding, importing
-from mailloom.session import observed, stage
+from mailloom.session import observed, stage, staged
 from mailloom.sources.tables import EmailTable, PointTable
 
 
@@ -22,10 +22,10 @@ def import_messages(
     counters read it.
     """
     parsed = importing.to_email_rows(importing.parse_messages(raw), created_at)
-    checked = stage(importing.check_rows(parsed), "parsed")
-    counters = stage(importing.import_counters(checked, table.read(), position), "counters")
-    valid = checked.filter(F.col("skip_reason").isNull())
-    table.insert_if_absent(importing.keep_first(valid, position))
+    with staged(importing.check_rows(parsed), "parsed") as checked:
+        counters = stage(importing.import_counters(checked, table.read(), position), "counters")
+        valid = checked.filter(F.col("skip_reason").isNull())
+        table.insert_if_absent(importing.keep_one_per_key(valid, position))
     return counters
 
 

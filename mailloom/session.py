@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -54,15 +56,41 @@ def new_work_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/mailloom-{label}-{uuid.uuid4().hex}"
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _write_once(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    folder = new_work_folder(df.sparkSession, label)
+    df.write.mode("errorifexists").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder), folder
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
-    Used where an expensive or order-sensitive result is read more than once.
-    The written table survives the loss of executors.
+    Used where an expensive or order-sensitive result is read more than once,
+    and where a join should know the true size of a side: Spark broadcasts the
+    table read back only if its files are below the broadcast threshold. The
+    written table survives the loss of executors.
     """
-    folder = new_work_folder(df.sparkSession, label)
-    df.write.mode("errorifexists").parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    return _write_once(df, label)[0]
+
+
+@contextmanager
+def staged(df: DataFrame, label: str) -> Iterator[DataFrame]:
+    """As ``stage``, for use within a block; the folder goes at its end."""
+    table, folder = _write_once(df, label)
+    try:
+        yield table
+    finally:
+        remove_path(df.sparkSession, folder)
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -18,17 +18,7 @@ from pyspark.sql import types as T
 from mailloom.functions.ids import bucket
 from mailloom.operators import importing, upsert
 from mailloom.schemas import EMAILS, POINTS
-from mailloom.session import observed, stage
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+from mailloom.session import observed, path_exists, remove_path, staged
 
 
 class EmailTable:
@@ -46,7 +36,7 @@ class EmailTable:
     def read(self) -> DataFrame:
         """All rows with the ``bucket`` column; empty before the first write."""
         schema = T.StructType(EMAILS.fields + [T.StructField("bucket", T.StringType())])
-        if not _exists(self.spark, self.path):
+        if not path_exists(self.spark, self.path):
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(self.path)
 
@@ -67,10 +57,14 @@ class EmailTable:
     def insert_if_absent(self, rows: DataFrame) -> int:
         """Append rows with a new external id; returns how many there were.
 
+        The ids already held are staged first: few in the usual incremental
+        run, so they are broadcast and the new rows are not moved for the check.
         Safe to repeat: what a broken attempt has written is found and skipped.
         """
         seen = Observation("inserted")
-        self.append(importing.insert_if_absent(self.read(), rows).observe(seen, F.count("*").alias("n")))
+        with staged(importing.existing_ids(self.read(), rows), "existing-ids") as held:
+            new = rows.join(held, "external_message_id", "left_anti")
+            self.append(new.observe(seen, F.count("*").alias("n")))
         return observed(seen, "n")["n"]
 
     def _rewrite(self, keys: DataFrame, change) -> None:
@@ -78,11 +72,11 @@ class EmailTable:
         touched = [r[0] for r in keys.select(self._bucket()).distinct().collect()]  # bounded by the buckets
         if not touched:
             return
-        changed = stage(change(self.read().filter(F.col("bucket").isin(touched))), "rewrite")
-        left = {r[0] for r in changed.select("bucket").distinct().collect()}
-        self._write(changed, "overwrite")
+        with staged(change(self.read().filter(F.col("bucket").isin(touched))), "rewrite") as changed:
+            left = {r[0] for r in changed.select("bucket").distinct().collect()}
+            self._write(changed, "overwrite")
         for emptied in set(touched) - left:
-            _remove(self.spark, f"{self.path}/bucket={emptied}")
+            remove_path(self.spark, f"{self.path}/bucket={emptied}")
 
     def update_bodies(self, updates: DataFrame) -> None:
         self._rewrite(updates, lambda rows: upsert.update_bodies(rows, updates))
@@ -99,12 +93,13 @@ class PointTable:
 
     def _versions(self) -> DataFrame:
         schema = T.StructType(POINTS.fields + [T.StructField("version", T.LongType())])
-        if not _exists(self.spark, self.path):
+        if not path_exists(self.spark, self.path):
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(self.path)
 
     def read(self) -> DataFrame:
-        return upsert.latest_per_key(self._versions(), "version").drop("version")
+        """Last written row per id; only the ids written more than once are matched."""
+        return importing.keep_one_per_key(self._versions(), "version", "id", newest=True).drop("version")
 
     def upsert(self, points: DataFrame) -> int:
         """Write points over those with the same id; returns how many were written.
@@ -128,6 +123,6 @@ class PointTable:
         old = [r[0] for r in self._versions().select("version").distinct().collect()]  # one per upsert
         if len(old) < 2:
             return
-        self.upsert(stage(self.read(), "compact"))
+        self.upsert(self.read())
         for version in old:
-            _remove(self.spark, f"{self.path}/version={version}")
+            remove_path(self.spark, f"{self.path}/version={version}")

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from mailloom import rules
 from mailloom.operators import cleaning, events, importing
 from mailloom.plans.jobs import to_point_rows
-from mailloom.session import stage
+from mailloom.session import staged
 from mailloom.sources.tables import EmailTable, PointTable
 
 
@@ -26,8 +26,9 @@ def import_stream(raw: DataFrame, table: EmailTable, checkpoint: str, *, order:
         batch = batch.withColumn("__order", F.col(order))
         rows = importing.to_email_rows(importing.parse_messages(batch))
         valid = importing.keep_first(importing.valid_rows(rows), "__order")
-        # One write of the parsed batch, since Spark may otherwise parse per use.
-        table.insert_if_absent(stage(valid, "import-batch"))
+        # One write of the parsed batch, since Spark would otherwise parse per use.
+        with staged(valid, "import-batch") as rows:
+            table.insert_if_absent(rows)
 
     return _run(raw.writeStream.foreachBatch(insert), checkpoint)
 

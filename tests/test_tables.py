@@ -138,11 +138,34 @@ def test_plan_steps(spark):
         spark.range(1).select(plan_steps.merge_results(F.create_map(F.lit("1"), F.col("id")), F.create_map(F.lit("1"), F.col("id")))).collect()
 
 
-def test_number_steps_round_trip(spark):
+def test_number_steps(spark):
     suggested = "array<struct<type:string,summary:string,reason:string,action_spec:string>>"
     df = spark.createDataFrame([(1, "why", [("send_email", "s", "r", "{}"), ("do_nothing", "s2", "r", "{}")])], f"plan_id int, ordering_reason string, suggested_steps {suggested}")
-    plan = plan_steps.to_plan(plan_steps.number_steps(df)).first()
-    assert [(s["step_index"], s["status"], s["type"]) for s in plan["steps"]] == [(0, "pending", "send_email"), (1, "pending", "do_nothing")]
+    want = [(0, "pending", "send_email"), (1, "pending", "do_nothing")]
+    rows = plan_steps.number_steps(df).orderBy("step_index").collect()
+    assert [(r["step_index"], r["status"], r["type"]) for r in rows] == want
+    record = df.select(plan_steps.numbered(F.col("suggested_steps")).alias("steps"))
+    assert [(s["step_index"], s["status"], s["type"]) for s in record.first()["steps"]] == want
+
+
+def test_few_repeats_do_not_move_the_rows(spark, tmp_path):
+    df = emails(spark, range(50)).union(emails(spark, [7]).withColumn("arrival", F.lit(99).cast("long")))
+    df.write.parquet(str(tmp_path / "rows"))
+    written = spark.read.parquet(str(tmp_path / "rows"))
+    kept = importing.keep_one_per_key(written)
+    assert kept.count() == 50 and kept.filter("arrival = 99").count() == 0
+    assert importing.keep_one_per_key(written, newest=True).filter("arrival = 99").count() == 1
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_batch_lookup_does_not_move_the_table(spark, tmp_path):
+    emails(spark, range(50)).write.parquet(str(tmp_path / "table"))
+    emails(spark, [1, 2, 60]).write.parquet(str(tmp_path / "new"))
+    table, new = (spark.read.parquet(str(tmp_path / n)) for n in ("table", "new"))
+    found = importing.existing_ids(table, new)
+    assert ids(found) == [1, 2] and ids(importing.insert_if_absent(table, new)) == [60]
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
 
 
 def test_import_stream_restarts_without_repeats(spark, tmp_path):
