@@ -9,6 +9,7 @@ from __future__ import annotations
 import html
 import itertools
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -36,6 +37,7 @@ class _Pruner(HTMLParser):
         self.source, self.garbage, self.hidden = source, garbage, hidden
         self.line_starts = list(itertools.accumulate(map(len, source.split("\n")), lambda a, n: a + n + 1, initial=0))
         self.open: list[str] = []
+        self.count: Counter[str] = Counter()
         self.dropping_from: tuple[int, int] | None = None  # (depth, offset)
         self.spans: list[tuple[int, int]] = []
         self.feed(source)
@@ -60,6 +62,7 @@ class _Pruner(HTMLParser):
                 self.dropping_from = (len(self.open), start)
         if not void:
             self.open.append(tag)
+            self.count[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         if self.dropping_from is None and self._unwanted(tag, attrs):
@@ -67,10 +70,14 @@ class _Pruner(HTMLParser):
             self.spans.append((start, start + len(self.get_starttag_text())))
 
     def handle_endtag(self, tag):
-        if tag not in self.open:
+        if not self.count[tag]:
             return
-        depth = len(self.open) - 1 - self.open[::-1].index(tag)
-        del self.open[depth:]
+        # Closing a tag closes what is open inside it; each element is popped once.
+        closed = None
+        while closed != tag:
+            closed = self.open.pop()
+            self.count[closed] -= 1
+        depth = len(self.open)
         if self.dropping_from and depth <= self.dropping_from[0]:
             own = depth == self.dropping_from[0]
             end = self._offset()
@@ -81,21 +88,31 @@ class _Pruner(HTMLParser):
 
 
 def prune(source: str, *, garbage: bool = True, hidden: bool = True) -> str:
-    """Cut unwanted elements with all they hold, leaving a gap tag in place."""
+    """Cut unwanted elements with all they hold, leaving a gap tag in place.
+
+    What follows the last ``>`` holds no whole tag; it stays out of the parser,
+    which would search it once per ``<``.
+    """
+    end = source.rfind(">") + 1
+    markup, tail = source[:end], source[end:]
+    pruner = _Pruner(markup, garbage, hidden)
     pieces, at = [], 0
-    for start, end in _Pruner(source, garbage, hidden).spans:
-        pieces += [source[at:start], text_functions.GAP]
-        at = end
-    return "".join(pieces) + source[at:]
+    for start, stop in pruner.spans:
+        pieces += [markup[at:start], text_functions.GAP]
+        at = stop
+    # An element still open at the end reaches over the tail.
+    return "".join(pieces) + markup[at:] + ("" if pruner.dropping_from else tail)
 
 
-_BLOCK_TAG = re.compile(text_functions._BLOCK_TAG)
-_TAG_RUN = re.compile(text_functions._TAG_RUN)
+_BLOCK_TAG = re.compile(text_functions.BLOCK_TAG)
+_OTHER_TAG = re.compile(text_functions.OTHER_TAG)
+_MARKS = re.compile(f"{text_functions.TAG_MARK}+")
 
 
 def _tree_text(source: str) -> str:
     pruned = prune(source) if "<" in source else source
-    return html.unescape(_TAG_RUN.sub("\n", _BLOCK_TAG.sub("\n\n\n", pruned)))
+    marked = _OTHER_TAG.sub(text_functions.TAG_MARK, _BLOCK_TAG.sub("\n\n\n", pruned))
+    return html.unescape(_MARKS.sub("\n", marked))
 
 
 def _each(series: pd.Series, fn) -> pd.Series:

@@ -63,7 +63,7 @@ def preclean(text: Column) -> Column:
 
 def may_hold_markup(text: Column) -> Column:
     """False for text on which ``preclean`` could only strip."""
-    return text.contains("<") | text.contains('="')
+    return (text.contains("<") & text.contains(">")) | text.contains('="')
 
 
 _ATTRIBUTES = r"(?:[\s/][^>]*)?"
@@ -90,19 +90,41 @@ def hides_elements(html: Column) -> Column:
     return html.rlike(r"(?i)aria-hidden") | (html.rlike(r"(?i)style\s*=") & html.rlike(f"(?i){spaced}"))
 
 
+_ANY_GARBAGE = "|".join(rules.GARBAGE_TAGS)
+_PAIRED = "|".join(_PAIRED_GARBAGE)
+
+
+def garbage_is_unpaired(html: Column) -> Column:
+    """True where opening and closing garbage tags differ in number, or a tag closes itself.
+
+    Such rows are left to the tree, where an unclosed tag costs nothing extra;
+    a pattern would search the rest of the text for every one of them.
+    """
+    opened = F.regexp_count(html, F.lit(rf"(?i)<(?:{_PAIRED})[\s/>]"))
+    closed = F.regexp_count(html, F.lit(rf"(?i)</(?:{_PAIRED})[\s/>]"))
+    return (opened != closed) | html.rlike(rf"(?i)<(?:{_PAIRED})(?:\s[^>]*)?/>")
+
+
 def leaves_garbage(html_without_garbage: Column) -> Column:
-    """True where pattern removal left a garbage tag: nested or unclosed ones."""
-    return html_without_garbage.rlike(rf"(?i)</?(?:{'|'.join(rules.GARBAGE_TAGS)})[\s/>]")
+    """True where pattern removal left a garbage tag, as nested ones do."""
+    return html_without_garbage.rlike(rf"(?i)</?(?:{_ANY_GARBAGE})[\s/>]")
+
 
+BLOCK_TAG = rf"(?i)<(?:/?(?:{'|'.join(rules.BLOCK_TAGS)})|br){_ATTRIBUTES}>"
+OTHER_TAG = r"<(?:/?[a-zA-Z]|[!?])[^>]*>"
 
-_BLOCK_TAG = rf"(?i)<(?:/?(?:{'|'.join(rules.BLOCK_TAGS)})|br){_ATTRIBUTES}>"
-_TAG_RUN = r"(?:<(?:/?[a-zA-Z]|[!?])[^>]*>)+"
+# Stands for a tag until runs of tags are one break; visible text cannot hold it.
+TAG_MARK = "\x01"
 
 
 def break_tags(html: Column) -> Column:
-    """Replace tags by line breaks: a blank line for blocks, a new line for the rest."""
-    html = F.regexp_replace(html, _BLOCK_TAG, "\n\n\n")
-    return F.regexp_replace(html, _TAG_RUN, "\n")
+    """Replace tags by line breaks: a blank line for blocks, a new line for the rest.
+
+    Runs of tags are joined through a one-character mark, since a repeated
+    group would recurse once per tag.
+    """
+    html = F.regexp_replace(html, BLOCK_TAG, "\n\n\n")
+    return F.regexp_replace(F.regexp_replace(html, OTHER_TAG, TAG_MARK), f"{TAG_MARK}+", "\n")
 
 
 def collapse_blank_lines(text: Column) -> Column:

@@ -24,7 +24,7 @@ def words(body: Column, *, spell_empty: bool = True) -> Column:
     letter by letter unless ``spell_empty`` is off.
     """
     phrase = list(rules.EMPTY_BODY) if spell_empty else rules.EMPTY_BODY.split(" ")
-    found = F.filter(F.split(body, r"(?U)\s+"), lambda w: w != "")
+    found = F.filter(F.split(body, r"(?U)[\s\x1c-\x1f]+"), lambda w: w != "")
     return F.when(body.isNull() | (body == ""), F.array(*map(F.lit, phrase))).otherwise(found)
 
 

@@ -63,21 +63,26 @@ def markup_to_text(
     Patterns serve well-formed rows inside the JVM. Only rows with entities,
     hidden elements or unpaired garbage tags are handed to the tree helper.
     """
-    html, flat, tree = F.col(column), f"{_P}flat", f"{_P}tree"
-    has_tags = html.contains("<") if has_tags is None else has_tags
+    html, flat, tree, early = F.col(column), f"{_P}flat", f"{_P}tree", f"{_P}early"
+    has_tags = html.contains("<") & html.contains(">") if has_tags is None else has_tags
     has_entities = html.contains("&") if has_entities is None else has_entities
-    needs_tree = has_entities | (has_tags & (text.hides_elements(html) | text.leaves_garbage(F.col(flat))))
+    by_pattern = has_tags & ~F.col(early)
+    needs_tree = F.col(early) | (has_tags & text.leaves_garbage(F.col(flat)))
     return (
-        df.withColumn(flat, F.when(has_tags, text.drop_garbage(html)).otherwise(html))
+        df.withColumn(
+            early,
+            has_entities | (has_tags & (text.hides_elements(html) | text.garbage_is_unpaired(html))),
+        )
+        .withColumn(flat, F.when(by_pattern, text.drop_garbage(html)).otherwise(html))
         .withColumn(tree, F.when(needs_tree, html))
         .withColumn(
             out,
             F.coalesce(
                 html_tree.tree_text(F.col(tree)),
-                F.when(has_tags, text.break_tags(F.col(flat))).otherwise(F.col(flat)),
+                F.when(by_pattern, text.break_tags(F.col(flat))).otherwise(F.col(flat)),
             ),
         )
-        .drop(flat, tree)
+        .drop(flat, tree, early)
     )
 
 
@@ -100,7 +105,7 @@ def clean_bodies(
     seen, bare, raw, full, tags, entities, markup = names
     df = (
         df.withColumn(seen, text.visible(F.coalesce(c(column), F.lit(""))))
-        .withColumn(tags, c(seen).contains("<"))
+        .withColumn(tags, c(seen).contains("<") & c(seen).contains(">"))
         .withColumn(entities, c(seen).contains("&"))
         .withColumn(markup, c(tags) | c(seen).contains('="'))
     )

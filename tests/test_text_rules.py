@@ -62,6 +62,9 @@ def test_garbage(values):
         ("1 < 2 and 3 > 2", "1 < 2 and 3 > 2"),
         ("mail <a@b.co> me", "mail\nme"),
         ("<img style='height:0' src=x>seen", "seen"),
+        ("a" + "<i></i>" * 30000 + "b", "a\nb"),
+        ("a<svg/>b<script src=x />c", "a\nb\nc"),
+        ("a" + "<form>x" * 3000, "a"),
     ],
 )
 def test_markup_to_text(spark, html, expected):
