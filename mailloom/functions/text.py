@@ -61,11 +61,6 @@ def preclean(text: Column) -> Column:
     return drop_namespaces(drop_root_tags(drop_declarations(text)))
 
 
-def may_hold_markup(text: Column) -> Column:
-    """False for text on which ``preclean`` could only strip."""
-    return (text.contains("<") & text.contains(">")) | text.contains('="')
-
-
 _ATTRIBUTES = r"(?:[\s/][^>]*)?"
 _PAIRED_GARBAGE = [tag for tag in rules.GARBAGE_TAGS if tag not in rules.VOID_TAGS]
 _VOID_GARBAGE = [tag for tag in rules.GARBAGE_TAGS if tag in rules.VOID_TAGS]
