@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mailloom import rules
+from mailloom.functions.text import bind
 from mailloom.operators.chunking import embedding_text, payload
 
 Encoder = Callable[[np.ndarray], np.ndarray]
@@ -46,10 +47,7 @@ def hashing_encoder(dim: int = rules.VECTOR_DIM) -> Callable[[], Encoder]:
             return int(hashlib.md5(token.encode("utf-8")).hexdigest()[:8], 16) % dim
 
         def encode(texts: np.ndarray) -> np.ndarray:
-            out = np.zeros((len(texts), dim), dtype=np.float32)
-            for row, value in enumerate(texts):
-                np.add.at(out[row], [slot(t) for t in value.split(" ")], 1.0)
-            return out
+            return np.stack([np.bincount([slot(t) for t in text.split(" ")], minlength=dim) for text in texts])
 
         return encode
 
@@ -63,8 +61,6 @@ def norm(vector: Column) -> Column:
 
 def unit(vector: Column) -> Column:
     """The vector scaled to length one; a zero vector stays as it is."""
-    from mailloom.functions.text import bind
-
     return bind(
         F.struct(vector.alias("v"), norm(vector).alias("n")),
         lambda s: F.when(s.n == 0, F.transform(s.v, lambda x: x.cast("double"))).otherwise(

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from mailloom.functions.ids import bucket
 from mailloom.operators import importing, upsert
 from mailloom.schemas import EMAILS, POINTS
-from mailloom.session import observed, path_exists, remove_path, staged
+from mailloom.session import observed, partition_values, path_exists, remove_path, staged
 
 
 class EmailTable:
@@ -91,7 +91,13 @@ class PointTable:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _versions(self) -> DataFrame:
+    def versions(self) -> list[int]:
+        """Versions held, one per upsert since the last compaction."""
+        if not path_exists(self.spark, self.path):
+            return []
+        return sorted(map(int, partition_values(self.spark, self.path, "version")))
+
+    def _all_rows(self) -> DataFrame:
         schema = T.StructType(POINTS.fields + [T.StructField("version", T.LongType())])
         if not path_exists(self.spark, self.path):
             return self.spark.createDataFrame([], schema)
@@ -99,7 +105,9 @@ class PointTable:
 
     def read(self) -> DataFrame:
         """Last written row per id; only the ids written more than once are matched."""
-        return importing.keep_one_per_key(self._versions(), "version", "id", newest=True).drop("version")
+        if len(self.versions()) < 2:
+            return self._all_rows().drop("version")
+        return importing.keep_one_per_key(self._all_rows(), "version", "id", newest=True).drop("version")
 
     def upsert(self, points: DataFrame) -> int:
         """Write points over those with the same id; returns how many were written.
@@ -107,7 +115,7 @@ class PointTable:
         Safe to repeat: a second copy has the same content and a later version.
         """
         seen = Observation("upserted")
-        version = time.time_ns() // 1000
+        version = max([time.time_ns() // 1000, *(v + 1 for v in self.versions())])
         (
             points.select(*POINTS.names)
             .observe(seen, F.count("*").alias("n"))
@@ -120,7 +128,7 @@ class PointTable:
 
     def compact(self) -> None:
         """Fold all versions into one."""
-        old = [r[0] for r in self._versions().select("version").distinct().collect()]  # one per upsert
+        old = self.versions()
         if len(old) < 2:
             return
         self.upsert(self.read())
