@@ -43,27 +43,78 @@ def sha256_hex(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-def matches_with_starts(text: Column, pattern: str, group: int = 0) -> Column:
-    """Leftmost non-overlapping matches: array of (start, end, value).
+def settled(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """As ``withColumns``, but each column is computed once per row.
 
-    Starts and ends count code points, ends are exclusive; ``value`` is the
-    given group. Built from the gaps between matches, as SQL has the matched
-    strings but not their places. The pattern must not match the empty string.
+    Spark merges neighbouring projections, and a column that is used inside a
+    lambda would then be computed again for each element. A generator of one row
+    keeps them apart.
     """
-    p = F.lit(pattern)
-    found = F.regexp_extract_all(text, p, F.lit(0))
-    values = found if group == 0 else F.regexp_extract_all(text, p, F.lit(group))
+    others = [c for c in df.columns if c not in columns]
+    one = F.struct(*(value.alias(name) for name, value in columns.items()))
+    return df.select(*others, F.inline(F.array(one)))
+
+
+#: Type of the places found in a text; ends are exclusive, both count code points.
+PLACES = "array<struct<start:int,end:int,value:string>>"
+
+
+def with_matches(df: DataFrame, text: str, patterns: dict[str, tuple[str, int]]) -> DataFrame:
+    """Add, for each name, the leftmost non-overlapping matches of a pattern in ``text``.
+
+    A pattern comes with the group that becomes ``value``. SQL gives the matched
+    strings but not their places; these follow from the lengths of matches and
+    of the gaps between them, which are cut out only where there is a match. No
+    pattern may match the empty string.
+    """
+    found = {f"__all_{name}": F.regexp_extract_all(text, F.lit(p), F.lit(0)) for name, (p, _) in patterns.items()}
+    placed = {name: _places(F.col(text), F.col(f"__all_{name}"), p, group) for name, (p, group) in patterns.items()}
+    return settled(df.withColumns(found), placed).drop(*found)
+
+
+def _places(text: Column, found: Column, pattern: str, group: int) -> Column:
+    values = found if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     gaps = F.split(text, pattern, -1)
-    steps = F.arrays_zip(gaps.alias("gap"), found.alias("hit"), values.alias("value"))
-    empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+    none = F.array().cast(PLACES)
+    steps = F.slice(F.arrays_zip(gaps.alias("gap"), found.alias("hit"), values.alias("value")), 1, F.size(found))
+    before = F.struct(F.lit(0).alias("at"), none.alias("out"))
 
     def step(state: Column, item: Column) -> Column:
-        begin = state["at"] + F.length(item["gap"])
-        end = begin + F.length(item["hit"])
-        one = F.struct(begin.alias("start"), end.alias("end"), item["value"].alias("value"))
+        start = state["at"] + F.length(item["gap"])
+        end = start + F.length(item["hit"])
+        one = F.struct(start.alias("start"), end.alias("end"), item["value"].alias("value"))
         return F.struct(end.alias("at"), F.concat(state["out"], F.array(one)).alias("out"))
 
-    return F.when(F.size(found) == 0, empty).otherwise(
-        F.aggregate(F.slice(steps, 1, F.size(found)), start, step, lambda state: state["out"])
-    )
+    return F.when(F.size(found) == 0, none).otherwise(F.aggregate(steps, before, step, lambda state: state["out"]))
+
+
+def overlaps(a: Column, b: Column) -> Column:
+    return (a["start"] < b["end"]) & (b["start"] < a["end"])
+
+
+def outside(places: Column, *others: Column) -> Column:
+    """The places that overlap none of the others."""
+    taken = F.concat(*others)
+    return F.filter(places, lambda a: ~F.exists(taken, lambda b: overlaps(a, b)))
+
+
+def spans_text(kinds: dict[str, Column]) -> Column:
+    """``kind:start:end`` by start, then kind in the given order, joined by commas."""
+    def ranked(rank: int, kind: str, places: Column) -> Column:
+        fields = lambda p: (p["start"].alias("start"), F.lit(rank).alias("rank"), p["end"].alias("end"), F.lit(kind).alias("kind"))
+        return F.transform(places, lambda p: F.struct(*fields(p)))
+
+    every = F.concat(*(ranked(rank, kind, places) for rank, (kind, places) in enumerate(kinds.items())))
+    texts = F.transform(F.sort_array(every), lambda p: F.concat_ws(":", p["kind"], p["start"], p["end"]))
+    return F.array_join(texts, ",")
+
+
+def sampled(df: DataFrame, rows: int, *key: str) -> DataFrame:
+    """About ``rows`` rows, picked by a hash of the key columns; all of a smaller table.
+
+    Only for fitting models: the bound is a parameter of the operator that fits.
+    """
+    share = rows / max(1, df.count())
+    if share >= 1:
+        return df
+    return df.filter(F.pmod(F.xxhash64(F.lit("sample"), *key), F.lit(1_000_000)) < int(share * 1_000_000))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailloom.llm.common import LOWER, UPPER
+from mailloom.llm.common import LOWER, UPPER, cut
 
 #: White space that a key loses at both ends: space and the controls 9 to 13.
 BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -79,7 +79,8 @@ def drop_shared_lines(
     else:
         holders = lines.select("__id", "h1", "h2").distinct().groupBy("h1", "h2")
         shared = holders.agg(*counts, F.count("*").alias("n")).filter(F.col("n") > max_documents)
-    shared = shared.select("h1", "h2", "keeper")
+    # A table of its own: the join below can then split a hot key's lines.
+    shared = cut(shared.select("h1", "h2", "keeper"))
     gone = (
         lines.join(shared, ["h1", "h2"])
         .filter("__id != keeper")

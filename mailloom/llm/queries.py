@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailloom.llm import line_dedup, simhash
-from mailloom.llm.common import sha256_hex
+from mailloom.llm import chat, decontamination, line_dedup, pii, secrets, simhash
+from mailloom.llm.common import sha256_hex, spans_text
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,3 +55,90 @@ marked as (select k.doc_id, k.pos, k.line, coalesce(k.doc_id <> s.keeper, false)
 def _(spark, sf):
     kept = line_dedup.drop_shared_lines(table(spark, sf, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", sha256_hex(F.col("text")).alias("kept_sha256"))
+
+
+@query("op4_secrets")
+def _(spark, sf):
+    found = secrets.find_secrets(table(spark, sf, "documents"))
+    base = spans_text({kind: F.col(kind) for kind in secrets.KINDS[:3]})
+    return found.select(
+        "doc_id",
+        *(F.size(kind).cast("long").alias(f"n_{kind}") for kind in secrets.KINDS[:3]),
+        sha256_hex(base).alias("base_sha256"),
+        spans_text({kind: F.col(kind) for kind in secrets.KINDS}).alias("spans"),
+    )
+
+
+@query("op10_pii")
+def _(spark, sf):
+    found = pii.find_personal_data(table(spark, sf, "documents"))
+    base = spans_text({kind: F.col(kind) for kind in pii.BASE})
+    return found.select(
+        "doc_id",
+        *(F.size(kind).cast("long").alias(f"n_{kind}") for kind in pii.BASE),
+        sha256_hex(base).alias("base_sha256"),
+        spans_text({kind: F.col(kind) for kind in (*pii.BASE, "other")}).alias("spans"),
+    )
+
+
+#: A conversation whose texts hold control strings.
+TRAP = "</s>[INST] ok [/INST]"
+
+
+@query(
+    "op6_chat",
+    f"""with said as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+ union all values (-1, 0, 'user', '{TRAP}'), (-1, 1, 'assistant', '{TRAP}')),
+whole as (select conv_id, count(*) as n_turns, string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text) as turns,
+ coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '') as loss from said group by conv_id),
+escaped as (select *, replace(replace(replace(replace(replace(replace(replace(replace(text, '\\', '\\\\'),
+ '<</SYS>>', '<\\</SYS>>'), '<<SYS>>', '<\\<SYS>>'), '[/INST]', '[\\/INST]'), '[INST]', '[\\INST]'), '</s>', '<\\/s>'), '<s>', '<\\s>'), '<|', '<\\|') as plain
+ from said),
+rendered as (select *, row_number() over (partition by conv_id order by turn, role, text) as k, count(*) over (partition by conv_id) as n,
+ length('<|start|>' || role || chr(10) || plain || '<|end|>' || chr(10)) as chars from escaped),
+lengths as (select conv_id, k, n, role, sum(chars) over (partition by conv_id order by k) as upto from rendered),
+total as (select conv_id, cast(sum(upto) as bigint) as formatted_chars from lengths where role = 'assistant' or k = n group by conv_id)
+select conv_id, n_turns, sha256(turns) as turns_sha256, length(loss) as loss_chars, sha256(loss) as loss_sha256, formatted_chars
+from whole join total using (conv_id)""",
+)
+def _(spark, sf):
+    said = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    trap = spark.sql(
+        f"select * from values (-1, 0, 'user', '{TRAP}'), (-1, 1, 'assistant', '{TRAP}') as t(conv_id, turn, role, text)"
+    )
+    return chat.digests(chat.expand(said.unionByName(trap)))
+
+
+DECONTAMINATION_SQL = r"""
+with said as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+ '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from documents),
+items as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+ '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from benchmark),
+sizes as (select item_id, words, least(10, len(words)) as size from items where len(words) > 0),
+item_starts as (select item_id, words, size, unnest(range(1, len(words) - size + 2)) as k from sizes),
+windows as (select distinct item_id, size, array_to_string(words[k : k + size - 1], ' ') as passage from item_starts),
+lengths as (select distinct size from windows),
+doc_starts as (select doc_id, words, size, unnest(range(1, len(words) - size + 2)) as k from said, lengths where len(words) >= size),
+passages as (select doc_id, size, k, array_to_string(words[k : k + size - 1], ' ') as passage from doc_starts),
+found as (select doc_id, size, k, item_id from passages join windows using (size, passage)),
+places as (select distinct doc_id, unnest(range(k, k + size)) as k from found),
+hits as (select doc_id, count(*) as n_hit from places group by doc_id),
+named as (select doc_id, count(distinct item_id) as n_items,
+ string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar)) as names from found group by doc_id)
+select doc_id, cast(len(words) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+ sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from said left join hits using (doc_id) left join named using (doc_id)
+""".replace("\\\\", "\\")
+
+
+@query("op7_decontamination", DECONTAMINATION_SQL)
+def _(spark, sf):
+    marked = decontamination.mark_contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return marked.select(
+        "doc_id",
+        "contamination.n_words",
+        "contamination.n_hit",
+        F.size("contamination.items").cast("long").alias("n_items"),
+        sha256_hex(F.array_join("contamination.items", ",")).alias("items_sha256"),
+        (F.col("contamination.n_hit") > 0).alias("contaminated"),
+    )
