@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailloom.llm import chat, decontamination, line_dedup, pii, secrets, simhash
+from mailloom.llm import chat, decontamination, line_dedup, packing, pii, secrets, simhash
 from mailloom.llm.common import sha256_hex, spans_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -142,3 +142,8 @@ def _(spark, sf):
         sha256_hex(F.array_join("contamination.items", ",")).alias("items_sha256"),
         (F.col("contamination.n_hit") > 0).alias("contaminated"),
     )
+
+
+@query("op9_packing")
+def _(spark, sf):
+    return packing.pack(table(spark, sf, "documents"))
