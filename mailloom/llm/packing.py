@@ -10,7 +10,6 @@ one sequence after the other around the largest piece left.
 from __future__ import annotations
 
 import math
-import os
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -22,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mailloom.llm.common import cut, words_in_pieces
+from mailloom.llm.common import cut
+from mailloom.llm.word_tokens import tokenizer_at
 
 CAPACITY = 4096
 #: The id that ends a document.
@@ -33,61 +33,13 @@ GROUP_TOKENS = 1 << 22
 STEPS = 4000
 #: Fillings kept for one sequence.
 CHOICES = 6
-#: Words whose ids a worker remembers.
-REMEMBERED = 1 << 19
-#: Texts whose new words are looked up together.
-TOGETHER = 256
+#: Texts whose words are looked up together, and bytes of a text that is read in stretches.
+GROUP, LONG = 512, 1 << 20
 
-_tokenizers: dict[str | None, WordTokenizer] = {}
-
-
-class WordTokenizer:
-    """Ids of a text from the ids of its words.
-
-    The vocabulary's words end at white space, so a text has the ids of its words
-    one after the other; words come back often, so most ids are remembered.
-    """
-
-    def __init__(self, path: str | None):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        if path is None:
-            import public_tokenizers
-
-            path = public_tokenizers.path("word_bpe_49k.json")
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def learn(self, words: set[bytes]) -> None:
-        """Make sure that the ids of all the words are known."""
-        new = words.difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = words
-        if new:
-            new = list(new)
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-            self.known.update(zip(new, (np.array(e.ids, "<u4").tobytes() for e in found)))
-
-    def encode(self, text: bytes) -> Iterator[bytes]:
-        """Ids as little-endian unsigned 32-bit numbers, a stretch of text at a time."""
-        for words in words_in_pieces(text):
-            self.learn(set(words))
-            yield b"".join(map(self.known.__getitem__, words))
-
-
-def tokenizer_at(path: str | None) -> WordTokenizer:
-    """The worker's tokenizer for a file; the installed public vocabulary if there is no path."""
-    if path not in _tokenizers:
-        _tokenizers[path] = WordTokenizer(path)
-    return _tokenizers[path]
-
-
-def pieces_of(text: bytes, tokenizer: WordTokenizer, capacity: int) -> Iterator[bytes]:
+def pieces_of(stretches: Iterator[bytes], capacity: int) -> Iterator[bytes]:
     """The ids of a document and the end id, in pieces that are full but for the last."""
     rest = b""
-    for ids in chain(tokenizer.encode(text), [np.array([END_ID], "<u4").tobytes()]):
+    for ids in chain(stretches, [np.array([END_ID], "<u4").tobytes()]):
         rest += ids
         full = len(rest) // (4 * capacity) * 4 * capacity
         for at in range(0, full, 4 * capacity):
@@ -113,12 +65,14 @@ def tokenized_pieces(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = tokenizer_at(tokenizer_path)
         for batch in batches:
-            rows, ids = [], []
+            rows, ids, known = [], [], None
             texts = [(t.as_py() or "").encode("utf-8", "replace") for t in batch.column(1)]
             for k, text in enumerate(texts):
-                if k % TOGETHER == 0:
-                    tokenizer.learn(set().union(*(t.split() for t in texts[k : k + TOGETHER] if len(t) < 1 << 20)))
-                for piece, data in enumerate(pieces_of(text, tokenizer, capacity)):
+                if k % GROUP == 0:
+                    short = [t.split() for t in texts[k : k + GROUP] if len(t) < LONG]
+                    known = tokenizer.ids_of(set().union(*short))
+                stretches = tokenizer.encode(text, known if len(text) < LONG else None)
+                for piece, data in enumerate(pieces_of(stretches, capacity)):
                     rows.append((k, piece, piece * capacity, len(data) // 4, zlib.crc32(data)))
                     if with_ids:
                         ids.append(np.frombuffer(data, "<u4").astype(np.int64))
