@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailloom.llm import chat, decontamination, line_dedup, packing, pii, secrets, simhash
+from mailloom.llm import chat, decontamination, language, line_dedup, packing, pii, secrets, simhash, topk
 from mailloom.llm.common import sha256_hex, spans_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -147,3 +147,22 @@ def _(spark, sf):
 @query("op9_packing")
 def _(spark, sf):
     return packing.pack(table(spark, sf, "documents"))
+
+
+@query("op5_language")
+def _(spark, sf):
+    found = language.identify(table(spark, sf, "documents"))
+    return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query(
+    "op8_topk",
+    """with usable as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as x from embeddings
+ where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+pairs as (select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.x, c.x) as bigint) as score
+ from usable q join usable c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id),
+ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) as place from pairs)
+select query_id, cast(place as integer) as rank, vec_id, score from ranked where place <= 20""",
+)
+def _(spark, sf):
+    return topk.top_k(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
