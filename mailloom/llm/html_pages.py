@@ -111,18 +111,18 @@ class PageMaker:
         inner = f"<header>{title}</header>" if rng.random() < 0.15 else title
         for _ in range(rng.choice([1, 1, 2, 3, 5, 8, 12, 20])):
             kind = rng.random()
-            if kind < 0.75:
+            if kind < 0.72:
                 inner += self._leaf("p", self._text(*rng.choice([(1, 4), (5, 40), (20, 120)])), True)
-            elif kind < 0.83:
+            elif kind < 0.80:
                 inner += self._leaf(rng.choice(["h2", "h3"]), self._text(1, 6), True)
-            elif kind < 0.88:
+            elif kind < 0.85:
                 inner += "<ul>" + "".join(self._leaf("li", self._text(1, 20), True) for _ in range(rng.randint(2, 5))) + "</ul>"
-            elif kind < 0.91:
+            elif kind < 0.88:
                 inner += "<blockquote>" + self._leaf("p", self._text(5, 40), True) + "</blockquote>"
-            elif kind < 0.93:
+            elif kind < 0.90:
                 cells = "".join(self._leaf("td", self._text(1, 5), True) for _ in range(rng.randint(2, 4)))
                 inner += f"<table><tr>{cells}</tr></table>"
-            elif kind < 0.97:
+            elif kind < 0.95:
                 inner += self._ad()
             else:
                 inner += self._notice()
@@ -132,7 +132,7 @@ class PageMaker:
         """Html, and for the text of each block whether it is main."""
         rng = self.rng
         self.labels: list[tuple[str, bool]] = []
-        self.disguised = rng.random() < 0.2
+        self.disguised = rng.random() < 0.08
         before = [make for make, share in ((self._nav, 0.8), (self._header, 0.5), (self._notice, 0.3), (self._ad, 0.5), (self._form, 0.15)) if rng.random() < share]
         after = [make for make, share in ((self._side, 0.5), (self._ad, 0.2), (self._comments, 0.35), (self._form, 0.2), (self._notice, 0.15)) if rng.random() < share]
         rng.shuffle(before)

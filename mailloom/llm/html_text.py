@@ -10,6 +10,7 @@ pages whose own semantic tags say what is main.
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,7 +25,7 @@ from mailloom.llm.common import sampled
 from mailloom.llm.html_blocks import Block, blocks_of
 from mailloom.llm.html_pages import PageMaker
 
-PATHS, WORDS, MEASURES = 192, 64, 8
+PATHS, WORDS, MEASURES = 512, 64, 8
 INPUTS = PATHS + WORDS + MEASURES
 HIDDEN = 24
 #: Pages run through the network together.
@@ -42,13 +43,13 @@ def block_vectors(blocks: list[Block]) -> np.ndarray:
     """One row per block."""
     out = np.zeros((len(blocks), INPUTS), np.float32)
     for k, block in enumerate(blocks):
-        for depth, token in enumerate(block.path):
-            out[k, _bucket(token, PATHS)] = 1
+        for token in block.path:
+            out[k, _bucket(token, PATHS)] = 2
         if block.path:
             out[k, _bucket("leaf " + block.path[-1], PATHS)] = 1
         words = block.text.split(" ")
         slots = np.bincount([_bucket(w.lower(), WORDS) for w in words], minlength=WORDS)
-        out[k, PATHS : PATHS + WORDS] = np.minimum(slots, 3) / 3
+        out[k, PATHS : PATHS + WORDS] = np.minimum(slots, 3) / 10
         n = len(block.text)
         out[k, PATHS + WORDS :] = (
             np.log1p(n) / 8,
@@ -175,13 +176,13 @@ class Labeller:
         return [*ahead, *behind, (both * error[..., None]).sum((0, 1)), error.sum(keepdims=True).reshape(1)]
 
 
-def train(pages: list[np.ndarray], labels: list[np.ndarray], rounds: int = 14, rate: float = 0.01, seed: int = 3) -> Labeller:
+def train(pages: list[np.ndarray], labels: list[np.ndarray], rounds: int = 12, rate: float = 0.015, seed: int = 3) -> Labeller:
     """Adam on batches of pages of like length; labels are 1 main, 0 other, -1 unknown."""
     model = Labeller.new(seed)
     rng = np.random.default_rng(seed)
     full = [k for k in range(len(pages)) if len(pages[k])]
     moments = [(np.zeros_like(w), np.zeros_like(w)) for w in model.weights()]
-    step, batch = 0, 32
+    step, batch = 0, 64
     total = rounds * -(-len(full) // batch)
     for _ in range(rounds):
         order = sorted(full, key=lambda k: len(pages[k]) + rng.uniform(0, 6))
@@ -213,15 +214,8 @@ def own_labels(blocks: list[Block]) -> np.ndarray:
     return out
 
 
-def train_labeller(
-    pages: DataFrame, made_pages: int = 900, sample_pages: int = 200, html_column: str = "html", key: str = "page_id"
-) -> Labeller:
-    """A labeller from ``made_pages`` made-up pages and about ``sample_pages`` real ones.
-
-    The real ones are picked by a hash of their id and also give the words.
-    """
-    usable = pages.select(F.col(key).alias("id"), F.col(html_column).alias("html")).filter("html is not null")
-    real = sorted((r["html"] for r in sampled(usable, sample_pages, "id").select("html").collect()))
+def fit_labeller(real: list[str], made_pages: int) -> Labeller:
+    """A labeller from made-up pages in the words of real ones, and these themselves."""
     parsed = [blocks_of(page) for page in real]
     words = sorted({w for blocks in parsed for b in blocks for w in b.text.lower().split()})
     rows = [block_vectors(blocks) for blocks in parsed]
@@ -235,6 +229,24 @@ def train_labeller(
     return train(rows, labels)
 
 
+def train_labeller(
+    pages: DataFrame, made_pages: int = 800, sample_pages: int = 400, html_column: str = "html", key: str = "page_id"
+) -> Labeller:
+    """A labeller from ``made_pages`` made-up pages and about ``sample_pages`` real ones.
+
+    The real ones are picked by a hash of their id. The training itself is one task.
+    """
+    usable = pages.select(F.col(key).alias("id"), F.col(html_column).alias("html")).filter("html is not null")
+    real = sorted(r["html"] for r in sampled(usable, sample_pages, "id").select("html").collect())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            model = pickle.dumps(fit_labeller(real, made_pages))
+            yield pa.RecordBatch.from_arrays([pa.array([model] * batch.num_rows, pa.binary())], ["model"])
+
+    return pickle.loads(pages.sparkSession.range(0, 1, 1, 1).mapInArrow(run, "model binary").first()["model"])
+
+
 def extract(pages: DataFrame, model: Labeller, html_column: str = "html", columns: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """The named columns with ``text``, ``n_blocks`` and ``n_kept``.
 

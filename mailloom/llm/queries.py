@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailloom.llm import chat, decontamination, language, line_dedup, packing, pii, secrets, simhash, topk
+from mailloom.llm import chat, decontamination, html_text, language, line_dedup, packing, pii, secrets, simhash, topk
 from mailloom.llm.common import sha256_hex, spans_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -166,3 +166,10 @@ select query_id, cast(place as integer) as rank, vec_id, score from ranked where
 )
 def _(spark, sf):
     return topk.top_k(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op3_html")
+def _(spark, sf):
+    pages = table(spark, sf, "pages")
+    found = html_text.extract(pages, html_text.train_labeller(pages))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_blocks", "n_kept")
