@@ -226,8 +226,9 @@ def mark_contamination(
     text_column: str = "text",
     item_column: str = "item_id",
     item_text_column: str = "text",
+    name: str = "contamination",
 ) -> DataFrame:
-    """``docs`` with a struct ``contamination`` (``RESULT``).
+    """``docs`` with a struct ``name`` (``RESULT``).
 
     A window is ``window`` consecutive words of an item, or a shorter item as a
     whole. ``n_hit`` counts the document's words inside any occurrence of a
@@ -241,16 +242,16 @@ def mark_contamination(
     NULL and empty texts have no words; items without words have no windows; a
     NULL item id reads as the empty string. Repeated rows give repeated results.
     Without documents there are no rows, without items no hits. Other columns
-    pass through, an earlier ``contamination`` is replaced.
+    pass through, an earlier one of that name is replaced.
     """
-    source = docs.drop("contamination").withColumn("contamination", F.lit(None).cast(RESULT))
+    source = docs.drop(name).withColumn(name, F.lit(None).cast(RESULT))
     context = docs.sparkSession.sparkContext
     for block in _blocks(benchmark, window, item_column, item_text_column):
         shared = context.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                at = batch.schema.get_field_index("contamination")
+                at = batch.schema.get_field_index(name)
                 texts = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in batch.column(text_column)]
                 before = batch.column(at).to_pylist()
                 rows: list[dict] = []
@@ -273,5 +274,5 @@ def mark_contamination(
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, **columns: str) -> DataFrame:
     """The documents without any hit word, with all their columns."""
-    marked = mark_contamination(docs, benchmark, window, **columns)
-    return marked.filter(F.col("contamination.n_hit") == 0).drop("contamination")
+    marked = mark_contamination(docs, benchmark, window, name="__contamination", **columns)
+    return marked.filter(F.col("__contamination.n_hit") == 0).drop("__contamination")

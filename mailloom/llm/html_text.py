@@ -139,6 +139,13 @@ class Labeller:
         rng = np.random.default_rng(seed)
         return cls(Direction(rng), Direction(rng), rng.normal(0, 0.2, 2 * HIDDEN).astype(np.float32), np.zeros(1, np.float32))
 
+    @classmethod
+    def of(cls, weights: list[np.ndarray]) -> Labeller:
+        model = cls.new(0)
+        for own, given in zip(model.weights(), weights):
+            own[...] = given
+        return model
+
     def weights(self) -> list[np.ndarray]:
         return [w for d in (self.ahead, self.behind) for w in (d.into, d.back, d.bias)] + [self.out, self.bias]
 
@@ -241,10 +248,11 @@ def train_labeller(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            model = pickle.dumps(fit_labeller(real, made_pages))
+            model = pickle.dumps(fit_labeller(real, made_pages).weights())
             yield pa.RecordBatch.from_arrays([pa.array([model] * batch.num_rows, pa.binary())], ["model"])
 
-    return pickle.loads(pages.sparkSession.range(0, 1, 1, 1).mapInArrow(run, "model binary").first()["model"])
+    trained = pages.sparkSession.range(0, 1, 1, 1).mapInArrow(run, "model binary").first()["model"]
+    return Labeller.of(pickle.loads(trained))
 
 
 def extract(pages: DataFrame, model: Labeller, html_column: str = "html", columns: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

@@ -115,10 +115,11 @@ def fit(
     rounds: int = 8,
     rate: float = 4.0,
     batch: int = 64,
+    least_steps: int = 600,
     reject_share: float = 0.0005,
     seed: int = 7,
 ) -> LanguageModel:
-    """Train on labelled texts; a fifth of them only calibrates.
+    """Train on labelled texts for ``rounds`` rounds, or as many as ``least_steps`` take; a fifth only calibrates.
 
     At most ``reject_share`` of the right answers on the calibration texts score
     below the least accepted score, which is never above one half.
@@ -133,7 +134,9 @@ def fit(
     train = order[len(order) // 5 :]
     embedding = rng.uniform(-1 / WIDTH, 1 / WIDTH, (BUCKETS, WIDTH))
     weights, bias = np.zeros((WIDTH, len(names))), np.zeros(len(names))
-    steps = max(1, rounds * -(-len(train) // batch))
+    per_round = max(1, -(-len(train) // batch))
+    rounds = max(rounds, -(-least_steps // per_round))
+    steps = rounds * per_round
     step = 0
     for _ in range(rounds):
         train = rng.permutation(train)
@@ -242,6 +245,18 @@ def predict(
     return source.mapInArrow(run, schema)
 
 
+def keep_identified(docs: DataFrame, model: LanguageModel, text_column: str = "text") -> DataFrame:
+    """The documents that the model does not reject, unchanged; see ``predict``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(text_column)
+            yield batch.filter(pa.array([not shared.value.predict(t.as_py())[2] for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame, id_column: str = "doc_id", **options) -> DataFrame:
     """Train on the labelled documents and predict all of them.
 

@@ -51,10 +51,11 @@ def drop_shared_lines(
     docs: DataFrame,
     min_chars: int = 10,
     max_documents: int = 1,
+    counts: bool = True,
     id_column: str = "doc_id",
     text_column: str = "text",
 ) -> DataFrame:
-    """``docs`` with ``text`` cut, plus ``n_lines`` and ``n_dropped``.
+    """``docs`` with ``text`` cut, plus ``n_lines`` and ``n_dropped`` unless ``counts`` is false.
 
     A key found in more than ``max_documents`` documents loses all its lines but
     those in the document with the least id that holds it. Keys shorter than
@@ -69,16 +70,16 @@ def drop_shared_lines(
     NULL and empty texts: one empty line, text ``''``. A NULL id counts as one
     document with the largest id. Rows that repeat an id are one document: lines
     they share stay in both. An empty table gives no rows. Other columns pass
-    through, except those named ``n_lines`` and ``n_dropped``, which are replaced.
+    through; with ``counts``, those named ``n_lines`` and ``n_dropped`` are replaced.
     """
-    names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
+    names = [c for c in docs.columns if not counts or c.lower() not in ("n_lines", "n_dropped")]
     lines = _keyed_lines(docs, min_chars, id_column, text_column)
-    counts = [F.min("__id").alias("keeper"), F.max("__id").alias("last")]
+    holds = [F.min("__id").alias("keeper"), F.max("__id").alias("last")]
     if max_documents == 1:
-        shared = lines.groupBy("h1", "h2").agg(*counts).filter("keeper < last")
+        shared = lines.groupBy("h1", "h2").agg(*holds).filter("keeper < last")
     else:
         holders = lines.select("__id", "h1", "h2").distinct().groupBy("h1", "h2")
-        shared = holders.agg(*counts, F.count("*").alias("n")).filter(F.col("n") > max_documents)
+        shared = holders.agg(*holds, F.count("*").alias("n")).filter(F.col("n") > max_documents)
     # A table of its own: the join below can then split a hot key's lines.
     shared = cut(shared.select("h1", "h2", "keeper"))
     gone = (
@@ -94,8 +95,11 @@ def drop_shared_lines(
         F.array_join(F.transform(F.sort_array(stay), lambda at: F.get(lines_here, at)), "\n")
     )
     dropped = F.coalesce(F.size("__gone"), F.lit(0))
+    kept = [text.alias(c) if c == text_column else F.col(c) for c in names]
+    if not counts:
+        return keyed.select(*kept)
     return keyed.select(
-        *[text.alias(c) if c == text_column else F.col(c) for c in names],
+        *kept,
         F.size(lines_here).cast("long").alias("n_lines"),
         F.when(F.col("__gone").isNull(), 0).otherwise(dropped).cast("long").alias("n_dropped"),
     )

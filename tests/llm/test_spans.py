@@ -136,9 +136,19 @@ def test_estimated_reliabilities():
 
 
 def test_spans_beyond_the_rules(spark):
+    """Trained without labels on a corpus that holds such spans, the classifier tells them apart."""
+    import random
+
+    rng = random.Random(3)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    personal, clean = [], []
+    for _ in range(60):
+        personal.append(f"{rng.choice(['call me at', 'my phone is', 'reach us on'])} 555-{digits(3)}-{digits(4)} today")
+        personal.append(f"write to {rng.choice(['jane', 'joe'])}.doe [at] mail{digits(2)} [dot] com please")
+        clean.append(f"{rng.choice(['version', 'see section', 'in chapter'])} {digits(1)}.{digits(2)}.{digits(3)} of it")
+        clean.append(f"it rained on 19{digits(2)}-12-{digits(2)} and {digits(2)}.{digits(1)} more")
     words = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text")
-    personal = ["call me at 555-867-5309 today", "write to jane.doe [at] example [dot] com please"]
-    clean = ["version 3.14.159 of it", "see page 12-34 of 2001", "it rained in 1999-12-31 and 10.5 more"]
     probe = spark.createDataFrame([(10_000 + k, t) for k, t in enumerate(personal + clean)], words.schema)
     found = {r["doc_id"] - 10_000: r["other"] for r in pii.find_personal_data(words.union(probe)).filter("doc_id >= 10000").collect()}
-    assert [bool(found[k]) for k in range(5)] == [True, True, False, False, False]
+    assert sum(bool(found[k]) for k in range(len(personal))) >= 0.95 * len(personal)
+    assert sum(bool(found[k]) for k in range(len(personal), len(found))) == 0
