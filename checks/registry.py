@@ -114,6 +114,38 @@ def _(spark, sf):
     return table.read().select("id", "external_message_id", late, as_text("created_at"))
 
 
+@query(
+    "s5_repeats_in_batch",
+    f"""with {SRC}, named as (select * from emails_src where coalesce(sender, '') <> '')
+select external_message_id, min(arrival) as arrival from named where external_message_id is not null group by 1""",
+)
+def _(spark, sf):
+    rows = fixtures.emails_src(spark, sf).filter("coalesce(sender, '') <> '' and external_message_id is not null")
+    rows = importing.to_email_rows(rows, c("created_at")).withColumn("subject", c("arrival").cast("string"))
+    table = EmailTable(spark, new_work_folder(spark, "emails"), digits=1)
+    table.insert_if_absent(rows.unionByName(rows), "arrival")
+    table.insert_if_absent(rows, "arrival")
+    return table.read().select("external_message_id", c("subject").cast("long").alias("arrival"))
+
+
+@query(
+    "s6_repeated_updates",
+    f"""with {EMAILS} select id, case when arrival % 3 = 0 then 'second ' || external_message_id
+ else body_cleaned end as body_cleaned from emails""",
+)
+def _(spark, sf):
+    rows = fixtures.emails(spark, sf)
+    table = EmailTable(spark, new_work_folder(spark, "emails"), digits=1)
+    table.append(rows)
+    some = rows.filter(c("arrival") % 3 == 0)
+    both = [
+        some.select("id", F.lit(k).alias("at"), F.concat(F.lit(word), "external_message_id").alias("body_cleaned"))
+        for k, word in enumerate(("first ", "second "))
+    ]
+    table.update_bodies(both[1].unionByName(both[0]), order="at")
+    return table.read().select("id", "body_cleaned")
+
+
 @query(
     "s6_update_bodies",
     f"""with {EMAILS} select id, case when arrival % 3 = 0 then 'new ' || external_message_id
@@ -170,6 +202,16 @@ def _(spark, sf):
     return table.read().select("id", "payload.*", F.size("vector").alias("dim"))
 
 
+@query("s8_repeats_in_batch", POINTS_SQL)
+def _(spark, sf):
+    old, new = _old_and_new_points(spark, sf)
+    table = PointTable(spark, new_work_folder(spark, "points"))
+    both = new.withColumn("at", F.lit(1)).unionByName(old.withColumn("at", F.lit(0)))
+    table.upsert(both, order="at")
+    table.upsert(new.unionByName(new))
+    return table.read().select("id", "payload.*", F.size("vector").alias("dim"))
+
+
 @query("s8_point_table_compacted", POINTS_SQL)
 def _(spark, sf):
     old, new = _old_and_new_points(spark, sf)
@@ -267,6 +309,29 @@ def _(spark, sf):
     return importing.check_rows(rows).select("arrival", "skip_reason")
 
 
+REJECTED_SQL = f"""with {SRC} select arrival, external_message_id, case when sender is null then 'parse error'
+ when coalesce(external_message_id, '') = '' then 'no external_message_id' else 'no sender' end as skip_reason
+from emails_src where sender is null or coalesce(external_message_id, '') = '' or sender = ''"""
+
+
+@query("i8_rejected_rows", REJECTED_SQL)
+def _(spark, sf):
+    raw = fixtures.raw_messages(spark, sf)
+    table = EmailTable(spark, new_work_folder(spark, "emails"), digits=1)
+    jobs.import_messages(raw, table)
+    return table.rejected().select("arrival", "external_message_id", "skip_reason")
+
+
+@query("i8_rejected_stream", REJECTED_SQL)
+def _(spark, sf):
+    table = EmailTable(spark, new_work_folder(spark, "emails"), digits=1)
+    folder = new_work_folder(spark, "dump")
+    fixtures.raw_messages(spark, sf).write.parquet(folder)
+    raw = spark.readStream.schema("arrival long, id string, threadId string, raw string").parquet(folder)
+    streams.import_stream(raw, table, new_work_folder(spark, "check")).awaitTermination()
+    return table.rejected().select("arrival", "external_message_id", "skip_reason")
+
+
 @query(
     "i9_validity",
     f"""with {SRC} select case when coalesce(external_message_id, '') = '' then 'no external_message_id'
@@ -325,7 +390,7 @@ HALF = "sent_at >= (select timestamp '2024-01-01' + max(arrival) // 2 * interval
     "i14_backfill",
     f"""with {EMAILS}, late as (select * from emails where {HALF}),
  b as (select date_trunc('day', min(sent_at) + interval '1' day) as bound from late)
-select arrival, {duck_time('sent_at')} from emails_src, b where sent_at < b.bound or b.bound is null""",
+select arrival, {duck_time('sent_at')} from emails_src, b where sent_at < b.bound or b.bound is null or sent_at is null""",
 )
 def _(spark, sf):
     src = fixtures.emails_src(spark, sf)
@@ -445,7 +510,14 @@ _body_rule(
   from pages_noisy),
  scored as (select *, length({duck.strip("regexp_replace(block, '(?s)<[^>]*>', '', 'g')")}) as chars,
   length(regexp_replace(coalesce(array_to_string(regexp_extract_all(block, '(?is)<a\\b[^>]*>(.*?)</a>', 1), ''), ''), '(?s)<[^>]*>', '', 'g')) as linked from blocks),
- kept as (select page_id, string_agg(block, '' order by pos) as html from scored where chars >= 25 and linked <= chars * 0.5 group by 1)
+ worths as (select *, case when linked > chars * 0.5 or regexp_matches(block, '(?i)^<(?:nav|header|footer)[\\s/>]') then -chars - 25 else chars end as worth from scored),
+ sums as (select *, sum(worth) over (partition by page_id order by pos) as total from worths),
+ gains as (select *, least(0, coalesce(min(total) over (partition by page_id order by pos rows between unbounded preceding and 1 preceding), 0)) as low from sums),
+ best as (select page_id, max(total - low) as gain from gains group by 1),
+ ends as (select g.page_id, min_by(g.pos, g.pos) as last, min_by(g.low, g.pos) as low from gains g join best b on b.page_id = g.page_id and g.total - g.low = b.gain where b.gain > 0 group by 1),
+ runs as (select e.page_id, e.last, case when e.low = 0 then 1 else min(g.pos) + 1 end as first
+  from ends e left join gains g on g.page_id = e.page_id and g.total = e.low and g.pos < e.last group by e.page_id, e.last, e.low),
+ kept as (select s.page_id, string_agg(block, '' order by pos) as html from scored s join runs r on r.page_id = s.page_id and s.pos between r.first and r.last group by 1)
 select p.page_id, coalesce(nullif(k.html, ''), p.html) as html from pages_noisy p left join kept k on k.page_id = p.page_id""",
 )
 def _(spark, sf):
@@ -527,6 +599,15 @@ def _(spark, sf):
     return spark.createDataFrame([(counts["processed"], counts["updated"])], "processed long, updated long")
 
 
+@query("c19_clean_in_place", f"{CLEANED} select id, txt as body_cleaned, cast(16 as bigint) as buckets from cleaned")
+def _(spark, sf):
+    table = EmailTable(spark, new_work_folder(spark, "emails"), digits=1)
+    table.append(fixtures.emails(spark, sf))
+    jobs.clean_into(table)
+    buckets = table.read().select(F.count_distinct("bucket")).scalar()
+    return table.read().select("id", "body_cleaned", buckets.alias("buckets"))
+
+
 @query(
     "c19_clean_pages",
     f"""with {PAGES}, cleaned as ({duck.clean('pages_noisy', 'page_id', 'html', markup=True)}) select page_id, txt as body from cleaned""",
@@ -698,6 +779,33 @@ def _(spark, sf):
     return table.read().select("id", "payload.*", squares.alias("squares"))
 
 
+@query(
+    "v9_rejected_vectors",
+    f"with {CHUNKS} select {POINT_ID} as id, external_message_id, chunk_index, cast(64 as integer) as dim from chunks",
+)
+def _(spark, sf):
+    table = PointTable(spark, new_work_folder(spark, "points"), dim=256)
+    jobs.vectorize_emails(fixtures.emails(spark, sf), table, embedding.hashing_encoder(64))
+    rows = table.rejected().select("id", "payload.external_message_id", "payload.chunk_index", F.size("vector").alias("dim"))
+    return rows.unionByName(table.read().select("id", "payload.external_message_id", "payload.chunk_index", F.size("vector").alias("dim")))
+
+
+@query(
+    "v9_replace_emails",
+    f"""with {CHUNKS}, few as (select external_message_id, min(chunk_index) as chunk_index from chunks group by 1),
+ heads as (select chunks.* from chunks join few using (external_message_id, chunk_index))
+select {POINT_ID} as id, external_message_id, chunk_index, chunk_text from heads""".replace("from heads", "from heads chunks"),
+)
+def _(spark, sf):
+    """Emails with one chunk each come over the same emails with all chunks."""
+    emails = fixtures.emails(spark, sf)
+    table = PointTable(spark, new_work_folder(spark, "points"), dim=64)
+    jobs.vectorize_emails(emails, table, embedding.hashing_encoder(64))
+    heads = jobs.to_point_rows(emails, embedding.hashing_encoder(64)).filter("payload.chunk_index = 0")
+    table.upsert(heads, replace_emails=True)
+    return table.read().select("id", "payload.*")
+
+
 @query(
     "v9_ingest_counts",
     f"with {CHUNKS} select (select count(*) from emails) as emails_processed, (select count(*) from chunks) as chunks_upserted",
@@ -871,6 +979,17 @@ def _(spark, sf):
     return events.resume_matches(rows.withColumn("decision", F.lit("approve")), "decision")
 
 
+@query(
+    "e6_unmatched",
+    f"""with {TYPED}, ok as (select * from typed where address is not null)
+select r.message_id, r.snippet as thread_id from ok r where r.type = 'hitl_response'
+ and not exists (select 1 from ok q where q.type = 'new_request' and q.message_id = r.snippet)""",
+)
+def _(spark, sf):
+    rows = _threaded(events.readable(events.to_events(fixtures.event_emails(spark, sf))))
+    return events.unmatched_responses(rows).select("message_id", "thread_id")
+
+
 @query(
     "e7_security_route",
     f"""with {EVENTS} select message_id, case when security_status in ('clean', 'suspicious') then 'build_execution_plan' else 'shutdown' end as route
@@ -1009,6 +1128,47 @@ def _(spark, sf):
     return sizes[0].unionByName(sizes[1]).unionByName(sizes[2])
 
 
+ODD_TYPES = "case when step_index % 5 = 3 then null when step_index % 5 = 4 then 'fly' else type end"
+
+
+@query(
+    "e14_unknown_types",
+    f"""with {STEPS}, odd as (select plan_id, step_index, {ODD_TYPES} as type from plan_steps)
+select plan_id, step_index, type from odd where coalesce(type, '') not in ('perform_local_action', 'send_email', 'do_nothing')""",
+)
+def _(spark, sf):
+    steps = fixtures.plan_steps(spark, sf).withColumn("type", F.expr(ODD_TYPES))
+    return plan_steps.type_queues(steps)[plan_steps.UNKNOWN].select("plan_id", "step_index", "type")
+
+
+@query(
+    "e14_wrong_values",
+    f"""with {STEPS}, odd as (select plan_id, step_index, {ODD_TYPES} as type, case when step_index % 7 = 2 then 'lost' else status end as status from plan_steps)
+select plan_id, step_index, case when status not in ('pending', 'completed') then 'unknown status' else 'unknown type' end as reason
+from odd where coalesce(type, '') not in ('perform_local_action', 'send_email', 'do_nothing') or status not in ('pending', 'completed')""",
+)
+def _(spark, sf):
+    steps = fixtures.plan_steps(spark, sf).withColumn("type", F.expr(ODD_TYPES))
+    steps = steps.withColumn("status", F.expr("case when step_index % 7 = 2 then 'lost' else status end"))
+    return plan_steps.wrong_values(steps).select("plan_id", "step_index", "reason")
+
+
+@query(
+    "e14_reply_context",
+    f"""with {ARTIFACTS}, nxt as (select plan_id, arg_min(type, step_index) as type from plan_steps where status = 'pending' group by 1),
+ lists as (select plan_id, step_index, list(plan_id || '/' || step_index || '/' || i order by i) as names from artifacts group by all),
+ state as (select p.plan_id, list(struct_pack(step_index := cast(p.step_index as integer), status := status, type := type, summary := summary, reason := reason,
+   action_spec := action_spec) order by p.step_index) as steps,
+  list(struct_pack(step_index := p.step_index, artifacts := coalesce(l.names, [])) order by p.step_index) as results
+  from plan_steps p left join lists l on l.plan_id = p.plan_id and l.step_index = p.step_index group by p.plan_id)
+select s.plan_id, cast(to_json(struct_pack(plan_id := s.plan_id, steps := s.steps, results := s.results)) as varchar) as reply_context
+from state s join nxt n on n.plan_id = s.plan_id and n.type = 'send_email'""",
+)
+def _(spark, sf):
+    rows = plan_steps.step_inputs(fixtures.plans(spark, sf))
+    return rows.filter(c("type") == "send_email").select("plan_id", "reply_context")
+
+
 @query(
     "e14_step_inputs",
     f"""with {ARTIFACTS}, nxt as (select plan_id, min(step_index) as step_index, arg_min(type, step_index) as type
@@ -1106,13 +1266,12 @@ def _(spark, sf):
     "r4_resume_stream",
     f"""with {TYPED}, ok as (select * from typed where address is not null)
 select q.message_id as thread_id, q.message_id as request_id, {duck_time('q.ts', 'requested_at')}, r.message_id as response_id, {duck_time('r.ts', 'answered_at')}
-from ok q join ok r on q.type = 'new_request' and r.type = 'hitl_response' and r.snippet = q.message_id
- and r.ts >= q.ts and r.ts <= q.ts + interval '7' day""",
+from ok q join ok r on q.type = 'new_request' and r.type = 'hitl_response' and r.snippet = q.message_id and r.ts >= q.ts""",
 )
 def _(spark, sf):
     rows = _threaded(streams.classify(_stream(spark, sf, "events", fixtures.EVENT_EMAILS_SQL), INTERNAL, "ts"))
     out = new_work_folder(spark, "resumed")
-    streams.write_stream(streams.resume(rows, rows), out, new_work_folder(spark, "check")).awaitTermination()
+    streams.resume_stream(rows, new_work_folder(spark, "waiting"), out, new_work_folder(spark, "check")).awaitTermination()
     return spark.read.parquet(out).select(
         "thread_id", "request_id", as_text("requested_at"), "response_id", as_text("answered_at")
     )

@@ -129,15 +129,3 @@ def tree_text(source: pd.Series) -> pd.Series:
 def prune_hidden(source: pd.Series) -> pd.Series:
     """Markup without its hidden elements."""
     return _each(source, lambda s: prune(s, garbage=False))
-
-
-@F.pandas_udf(T.StringType())
-def prune_garbage(source: pd.Series) -> pd.Series:
-    """Markup without its garbage elements."""
-    return _each(source, lambda s: prune(s, hidden=False))
-
-
-@F.pandas_udf(T.StringType())
-def unescape(source: pd.Series) -> pd.Series:
-    """Entity references decoded."""
-    return _each(source, html.unescape)

@@ -11,12 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailloom.functions import html_tree, lines, text
+from mailloom.functions.text import bind
 
 _P = "__clean_"
 
-# Shortest block that counts as content, largest share of linked text.
-CONTENT_BLOCK_CHARS = 25
+# Largest share of linked text in content; what a block of links or of a page frame costs beside its length.
 CONTENT_LINK_SHARE = 0.5
+FRAME_COST = 25
+_FRAME = r"(?i)^<(?:nav|header|footer)[\s/>]"
 
 _CONTENT_SPLIT = (
     r"(?i)(?=<(?:p|div|section|article|li|tr|table|ul|ol|nav|header|footer|main|blockquote|h[1-6])(?:[\s/][^>]*)?>)"
@@ -24,10 +26,12 @@ _CONTENT_SPLIT = (
 
 
 def main_content(html: Column) -> Column:
-    """Blocks of the markup that read like content; the input if none does.
+    """The run of blocks that reads most like content; the input if none does.
 
-    Markup is cut at block-level opening tags. A block counts when its text is
-    long enough and not mostly link text.
+    Markup is cut at block-level opening tags. A block is worth the length of its
+    text; where most of it is link text or it opens a page frame, it costs that and
+    a bit. The run with the largest sum wins, the first and longest of equal ones.
+    All blocks of the run stay, short ones and opening tags included.
     """
     blocks = F.transform(
         F.split(html, _CONTENT_SPLIT),
@@ -43,12 +47,36 @@ def main_content(html: Column) -> Column:
             ).alias("linked"),
         ),
     )
-    kept = F.filter(
-        blocks,
-        lambda b: (b.chars >= CONTENT_BLOCK_CHARS) & (b.linked <= b.chars * F.lit(CONTENT_LINK_SHARE)),
+
+    def worth(b: Column) -> Column:
+        frame = (b.linked > b.chars * F.lit(CONTENT_LINK_SHARE)) | b.block.rlike(_FRAME)
+        return F.when(frame, -b.chars - FRAME_COST).otherwise(b.chars)
+
+    number = lambda value: F.lit(value).cast("int").alias
+    before = F.struct(
+        number(0)("at"), number(0)("sum"), number(0)("low"), number(1)("low_at"), number(0)("best"), number(1)("first"), number(0)("last")
     )
-    joined = F.array_join(F.transform(kept, lambda b: b.block), "")
-    return F.coalesce(F.nullif(joined, F.lit("")), html)
+
+    def step(s: Column, b: Column) -> Column:
+        # ``low`` is the least sum before a block, so the best run that ends here starts behind it.
+        total = s.sum + worth(b)
+        gain = total - s.low
+        return F.struct(
+            (s["at"] + 1).alias("at"),
+            total.alias("sum"),
+            F.least(s.low, total).alias("low"),
+            F.when(total < s.low, s["at"] + 2).otherwise(s.low_at).alias("low_at"),
+            F.greatest(s.best, gain).alias("best"),
+            F.when(gain > s.best, s.low_at).otherwise(s["first"]).alias("first"),
+            F.when(gain > s.best, s["at"] + 1).otherwise(s["last"]).alias("last"),
+        )
+
+    def region(all_blocks: Column) -> Column:
+        run = F.aggregate(all_blocks, before, step)
+        kept = bind(run, lambda r: F.slice(all_blocks, r["first"], r["last"] - r["first"] + 1))
+        return F.array_join(F.transform(kept, lambda b: b.block), "")
+
+    return F.coalesce(F.nullif(bind(blocks, region), F.lit("")), html)
 
 
 def pick_main_content(df: DataFrame, column: str, out: str) -> DataFrame:
@@ -65,7 +93,7 @@ def markup_to_text(
     """
     html, flat, tree, early = F.col(column), f"{_P}flat", f"{_P}tree", f"{_P}early"
     has_tags = html.contains("<") & html.contains(">") if has_tags is None else has_tags
-    has_entities = html.contains("&") if has_entities is None else has_entities
+    has_entities = html.rlike("&[#A-Za-z]") if has_entities is None else has_entities
     by_pattern = has_tags & ~F.col(early)
     needs_tree = F.col(early) | (has_tags & text.leaves_garbage(F.col(flat)))
     return (
@@ -106,7 +134,7 @@ def clean_bodies(
     df = (
         df.withColumn(seen, text.visible(F.coalesce(c(column), F.lit(""))))
         .withColumn(tags, c(seen).contains("<") & c(seen).contains(">"))
-        .withColumn(entities, c(seen).contains("&"))
+        .withColumn(entities, c(seen).rlike("&[#A-Za-z]"))
         .withColumn(markup, c(tags) | c(seen).contains('="'))
     )
     # Markup is removed twice, since the first pass may uncover more.

@@ -74,6 +74,12 @@ def resume_matches(events: DataFrame, decisions: str | None = None) -> DataFrame
     return requests.join(responses, "thread_id")
 
 
+def unmatched_responses(events: DataFrame) -> DataFrame:
+    """Responses whose thread no request has started."""
+    known = events.filter(F.col("type") == rules.EVENT_REQUEST).select("thread_id")
+    return events.filter(F.col("type") == rules.EVENT_RESPONSE).join(known, "thread_id", "left_anti")
+
+
 def security_route(status: Column) -> Column:
     """Clean and suspicious input is planned, anything else is shut down."""
     return F.when(status.isin(*rules.SECURITY_OPEN), rules.ROUTE_PLAN).otherwise(rules.ROUTE_SHUTDOWN)

@@ -9,7 +9,6 @@ from pyspark.sql import types as T
 from mailloom import rules
 from mailloom.functions.ids import email_id
 from mailloom.functions.mime import PARSED_FIELDS, parse_batches
-from mailloom.session import stage
 
 
 def decode_raw(raw: Column) -> Column:
@@ -74,28 +73,27 @@ def keep_first(rows: DataFrame, order: str = "arrival", key: str = "external_mes
     that holds a large part of the rows costs one row per task.
     """
     rank = "__rank"
-    first = Window.partitionBy(key).orderBy(order)
+    # Rows that share the order value as well are told apart by their content.
+    first = Window.partitionBy(key).orderBy(order, F.xxhash64(*rows.columns))
     return rows.withColumn(rank, F.row_number().over(first)).filter(F.col(rank) == 1).drop(rank)
 
 
-def keep_one_per_key(
+def repeated_keys(
     rows: DataFrame, order: str = "arrival", key: str = "external_message_id", *, newest: bool = False
 ) -> DataFrame:
-    """First (or newest) row per key of a written table, without moving the wide rows.
+    """Keys that occur more than once, with the first (or last) order value of each.
 
-    A narrow pass over key and order finds the keys that occur more than once,
-    usually few. They are staged, so the join knows their size: a small list is
-    broadcast and the wide rows stay where they are; a large one is joined by
-    shuffle, where hot keys are split. ``order`` is unique within a key.
+    A narrow pass over key and order, combined on the map side.
     """
     pick = F.max(order) if newest else F.min(order)
-    repeated = (
-        rows.groupBy(key)
-        .agg(pick.alias("__pick"), F.count("*").alias("__n"))
-        .filter(F.col("__n") > 1)
-        .drop("__n")
-    )
-    repeated = stage(repeated, "repeated-keys")
+    counted = rows.groupBy(key).agg(pick.alias("__pick"), F.count("*").alias("__n"))
+    return counted.filter((F.col("__n") > 1) & F.col(key).isNotNull()).drop("__n")
+
+
+def without_repeats(
+    rows: DataFrame, repeated: DataFrame, order: str = "arrival", key: str = "external_message_id"
+) -> DataFrame:
+    """``rows`` without the repeats of the listed keys; NULL keys all stay."""
     return (
         rows.join(repeated, key, "left")
         .filter(F.col("__pick").isNull() | (F.col(order) == F.col("__pick")))
@@ -103,6 +101,19 @@ def keep_one_per_key(
     )
 
 
+def keep_one_per_key(
+    rows: DataFrame, order: str = "arrival", key: str = "external_message_id", *, newest: bool = False
+) -> DataFrame:
+    """First (or newest) row per key of a written table, without sorting the wide rows.
+
+    ``order`` is unique within a key. The list of repeated keys is usually short,
+    and adaptive execution then broadcasts it; a long one is joined by shuffle,
+    where hot keys are split. A job that can write the list first (``staged``)
+    saves the wide rows the shuffle.
+    """
+    return without_repeats(rows, repeated_keys(rows, order, key, newest=newest), order, key)
+
+
 def existing_ids(table: DataFrame, wanted: DataFrame, key: str = "external_message_id") -> DataFrame:
     """Distinct keys of ``wanted`` that the table already holds, NULL never.
 
@@ -133,11 +144,16 @@ def older_messages(
 ) -> DataFrame:
     """Messages before the backfill bound of the table; all if it has no time yet.
 
+    Messages without a readable date are offered as well: nothing tells that they
+    are new, and a second offer does no harm where keys are inserted if absent.
+
     The bound is read first, as one value, so the comparison is with a literal
     that prunes partitions and row groups of the scan.
     """
     bound = oldest_sent(table).select(backfill_bound(F.col("oldest_sent_at"), overlap_days).alias("b")).first()["b"]
-    return messages if bound is None else messages.filter(F.col("sent_at") < F.lit(bound))
+    return messages if bound is None else messages.filter(
+        F.col("sent_at").isNull() | (F.col("sent_at") < F.lit(bound))
+    )
 
 
 def backfill_query(base_query: str, bound: Column) -> Column:
@@ -152,9 +168,11 @@ def with_chunk(rows: DataFrame, position: str, size: int = rules.IMPORT_CHUNK) -
     return rows.withColumn("chunk", F.floor(F.col(position) / F.lit(size)))
 
 
-def import_counters(checked: DataFrame, table: DataFrame, position: str = "arrival") -> DataFrame:
+def import_counters(checked: DataFrame, table: DataFrame | None, position: str = "arrival") -> DataFrame:
     """One row of run counters over checked rows (see ``check_rows``).
 
+    Without a table the new keys are not counted; an insert knows them itself.
+
     ``checked`` holds every listed message: ``fetched`` tells whether its raw
     form was read. Keys are counted per chunk first, which combines on the map
     side, and only these counts are matched with the table.
@@ -173,6 +191,8 @@ def import_counters(checked: DataFrame, table: DataFrame, position: str = "arriv
     per_chunk = valid.groupBy("external_message_id", "chunk").agg(F.count("*").alias("n"))
     per_key = per_chunk.groupBy("external_message_id").agg(F.sum(F.col("n") - 1).alias("repeats"))
     duplicates = per_key.agg(F.coalesce(F.sum("repeats"), F.lit(0)).alias("duplicate_in_chunk"))
+    if table is None:
+        return totals.withColumn("duplicate_in_chunk", duplicates.scalar())
     created = insert_if_absent(table, per_key).agg(F.count("*").alias("created"))
     return totals.withColumns(
         {"duplicate_in_chunk": duplicates.scalar(), "created": created.scalar()}

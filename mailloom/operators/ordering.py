@@ -2,41 +2,48 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mailloom.session import stage
+from mailloom.session import settled, staged
+
+#: Keys of a page up to this length are sent to all tasks.
+BROADCAST_ROWS = 10_000
+
+
+def _ranges(df: DataFrame, *order: str | Column) -> DataFrame:
+    """Rows in sorted ranges, with the number of their range (``__part``) and their place in it (``__local``)."""
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
+    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    # The low 33 bits count the rows of a partition in its order.
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return ranged.select("*", F.spark_partition_id().alias("__part"), place.alias("__local"))
+
+
+def _positions(ranged: DataFrame, out: str) -> DataFrame:
+    """Positions over all from written ranges: the counts of the ranges before, plus the place.
+
+    The counts are one row per range, which bounds the only single-task step and
+    what is broadcast.
+    """
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy("__part").agg(F.count("*").alias("n"))
+    starts = counts.select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
+    joined = ranged.join(F.broadcast(starts), "__part").withColumn(out, F.col("__start") + F.col("__local"))
+    return joined.drop("__part", "__local", "__start")
 
 
 def with_row_index(df: DataFrame, *order: str | Column, out: str = "row_index") -> DataFrame:
     """Zero-based position of every row in a total order.
 
-    Rows are range-partitioned and sorted in parallel and written once, so
-    that the ranges cannot move between the two reads. Each range is counted,
-    and the start of a range is the sum of the counts before it. The counts
-    are one row per partition, which bounds the only single-task step and
-    what is broadcast.
+    Rows are range-partitioned and sorted in parallel and written once, so that
+    the ranges cannot move between the two reads. There are at least as many
+    ranges as the input has partitions.
     """
-    part, local, start = "__part", "__local", "__start"
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (
-        df.repartitionByRange(parts, *order)
-        .sortWithinPartitions(*order)
-        .select("*", F.spark_partition_id().alias(part), F.monotonically_increasing_id().alias(local))
-    )
-    # The low 33 bits count the rows of a partition in its order.
-    ranged = stage(ranged.withColumn(local, F.col(local).bitwiseAND(F.lit((1 << 33) - 1))), "row-index")
-    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        ranged.groupBy(part)
-        .agg(F.count("*").alias("n"))
-        .select(part, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(start))
-    )
-    return (
-        ranged.join(F.broadcast(starts), part)
-        .withColumn(out, F.col(start) + F.col(local))
-        .drop(part, local, start)
-    )
+    return _positions(settled(_ranges(df, *order)), out)
 
 
 def with_batch_number(df: DataFrame, size: int, *order: str | Column, out: str = "batch") -> DataFrame:
@@ -54,21 +61,25 @@ def page(df: DataFrame, limit: int, offset: int, *order: str | Column) -> DataFr
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
-def deep_page(df: DataFrame, limit: int, offset: int, *order: str | Column) -> DataFrame:
-    """As ``page`` for any offset, by row position."""
-    index = "__index"
-    return (
-        with_row_index(df, *order, out=index)
-        .filter((F.col(index) >= offset) & (F.col(index) < offset + limit))
-        .drop(index)
-    )
+def deep_page(df: DataFrame, limit: int, offset: int, *order: str) -> DataFrame:
+    """As ``page`` for any offset and length, by row position.
+
+    ``order`` are columns that together are unique. Only they are sorted and
+    written; the positions pick the keys of the page, and these pick the rows.
+    """
+    keys = {name: f"__key{k}" for k, name in enumerate(order)}
+    with staged(_ranges(df.select(*order), *order), "page-index") as ranged:
+        index = _positions(ranged, "__index")
+        wanted = (F.col("__index") >= offset) & (F.col("__index") < offset + limit)
+        picked = settled(index.filter(wanted).select(*(F.col(n).alias(k) for n, k in keys.items())))
+    picked = F.broadcast(picked) if limit <= BROADCAST_ROWS else picked
+    same = reduce(and_, (df[name].eqNullSafe(picked[key]) for name, key in keys.items()))
+    return df.join(picked, same, "left_semi")
 
 
-def bounded_scan(
-    df: DataFrame, total: int, batch_size: int, start_batch: int, *order: str | Column
-) -> DataFrame:
-    """The rest of the first ``total`` rows from a resume batch on."""
+def bounded_scan(df: DataFrame, total: int, batch_size: int, start_batch: int, *order: str) -> DataFrame:
+    """The rest of the first ``total`` rows from a resume batch on; ``order`` as for ``deep_page``."""
     if batch_size <= 0 or total <= 0 or start_batch < 0:
         raise ValueError("total and batch_size must be above 0, start_batch not below 0")
     offset = start_batch * batch_size
-    return page(df, max(total - offset, 0), offset, *order)
+    return deep_page(df, max(total - offset, 0), offset, *order).orderBy(*order)

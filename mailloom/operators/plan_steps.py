@@ -101,15 +101,31 @@ def merge_results(left: Column, right: Column) -> Column:
     return F.map_concat(left, right)
 
 
+#: Queue of the steps whose type is missing or unknown.
+UNKNOWN = "unknown"
+
+
 def type_queues(steps: DataFrame) -> dict[str, DataFrame]:
-    """One work queue per step type."""
-    return {kind: steps.filter(F.col("type") == kind) for kind in rules.STEP_TYPES}
+    """One work queue per step type, and one for all other steps."""
+    queues = {kind: steps.filter(F.col("type") == kind) for kind in rules.STEP_TYPES}
+    known = F.coalesce(F.col("type").isin(*rules.STEP_TYPES), F.lit(False))
+    return {**queues, UNKNOWN: steps.filter(~known)}
+
+
+def wrong_values(steps: DataFrame) -> DataFrame:
+    """Steps whose status or type is none of the known ones, with ``reason``."""
+    known = lambda column, values: F.coalesce(F.col(column).isin(*values), F.lit(False))
+    reason = F.when(~known("status", rules.STEP_STATES), "unknown status").when(
+        ~known("type", rules.STEP_TYPES), "unknown type"
+    )
+    return steps.withColumn("reason", reason).filter("reason is not null")
 
 
 def step_inputs(plans: DataFrame) -> DataFrame:
     """The next step of each unfinished plan with its queue and the artifacts so far.
 
-    ``plans`` has plan_id, steps and results (array of step_index, artifacts).
+    ``plans`` has plan_id, steps and results (array of step_index, artifacts). A
+    step that sends an email gets the whole state of its plan as JSON for context.
     """
     step = next_pending(F.col("steps"))
     return (
@@ -121,6 +137,7 @@ def step_inputs(plans: DataFrame) -> DataFrame:
             F.col("step.step_index").alias("step_index"),
             F.col("step").alias("execution_plan_step_data"),
             F.when(F.col("step.type") == rules.STEP_TYPES[0], earlier_artifacts(F.col("results"))).alias("artifacts"),
+            F.when(F.col("step.type") == rules.STEP_TYPES[1], F.to_json(F.struct(*plans.columns))).alias("reply_context"),
         )
     )
 

@@ -6,13 +6,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def update_bodies(emails: DataFrame, updates: DataFrame) -> DataFrame:
+def one_update_per_id(updates: DataFrame, order: str | None = None) -> DataFrame:
+    """(id, body_cleaned) with each id once: the last by ``order``.
+
+    Without an order, repeats that agree are one update and repeats that differ
+    are an error. Combined before the shuffle.
+    """
+    body = F.struct("body_cleaned")
+    if order is not None:
+        picked = updates.groupBy("id").agg(F.max(F.struct(order, "body_cleaned")).alias("last"))
+        return picked.select("id", "last.body_cleaned")
+    seen = updates.groupBy("id").agg(F.min(body).alias("least"), F.max(body).alias("most"))
+    differ = F.raise_error(F.concat(F.lit("different updates of id "), F.col("id"))).cast("string")
+    return seen.select("id", F.when(F.col("least") != F.col("most"), differ).otherwise(F.col("least.body_cleaned")).alias("body_cleaned"))
+
+
+def update_bodies(emails: DataFrame, updates: DataFrame, order: str | None = None) -> DataFrame:
     """The table with ``body_cleaned`` replaced where ``updates`` (id, body_cleaned) has the id.
 
-    Ids are unique in ``updates``; an update to NULL is one too.
+    An update to NULL is one too; for repeated ids see ``one_update_per_id``.
     """
     new, hit = "__new", "__hit"
-    patch = updates.select("id", F.col("body_cleaned").alias(new), F.lit(True).alias(hit))
+    patch = one_update_per_id(updates, order).select("id", F.col("body_cleaned").alias(new), F.lit(True).alias(hit))
     return (
         emails.join(patch, "id", "left")
         .withColumn("body_cleaned", F.when(F.col(hit), F.col(new)).otherwise(F.col("body_cleaned")))
@@ -25,20 +40,27 @@ def delete_ids(table: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
     return table.join(ids.select(key), key, "left_anti")
 
 
-def latest_per_key(rows: DataFrame, version: str, key: str = "id") -> DataFrame:
-    """Last written row per key; filtered per map task before the shuffle."""
+def one_point_per_id(points: DataFrame, order: str | None = None) -> DataFrame:
+    """Each id of a batch once: the last by ``order``, without one the greatest by content.
+
+    Filtered per map task before the shuffle.
+    """
     rank = "__rank"
-    last = Window.partitionBy(key).orderBy(F.desc(version))
-    return rows.withColumn(rank, F.row_number().over(last)).filter(F.col(rank) == 1).drop(rank)
+    first = [order] if order else []
+    last = Window.partitionBy("id").orderBy(*map(F.desc, first + [n for n in points.columns if n not in ("id", order)]))
+    return points.withColumn(rank, F.row_number().over(last)).filter(F.col(rank) == 1).drop(rank)
 
 
-def upsert_points(points: DataFrame, new: DataFrame, *, replace_emails: bool = False) -> DataFrame:
-    """Points after writing ``new`` over ``points``, by id.
+def upsert_points(
+    points: DataFrame, new: DataFrame, *, replace_emails: bool = False, order: str | None = None
+) -> DataFrame:
+    """Points after writing ``new`` over ``points``, by id; ids repeated in ``new`` count once.
 
     Only the ids of ``new`` meet the old points. With ``replace_emails`` the
     old points of every re-ingested email go first, so a shorter email leaves
     no stale tail; the default keeps them.
     """
+    new = one_point_per_id(new, order).select(*points.columns)
     if replace_emails:
         touched = new.select(F.col("payload.external_message_id").alias("__email")).distinct()
         kept = points.join(touched, points["payload.external_message_id"] == touched["__email"], "left_anti")

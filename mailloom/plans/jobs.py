@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mailloom.operators import chunking, cleaning, embedding, importing
-from mailloom.session import observed, stage, staged
+from mailloom.session import observed, staged
 from mailloom.sources.tables import EmailTable, PointTable
 
 
@@ -17,16 +18,20 @@ def import_messages(
 ) -> DataFrame:
     """Import raw messages that the table does not hold; returns one row of counters.
 
-    ``raw`` has id, threadId, raw and a listing position. Parsing is the only
-    Python step and its result is written once, since both the insert and the
-    counters read it.
+    ``raw`` has id, threadId, raw and a listing number (see
+    ``ordering.with_row_index``), by which chunks are counted and the first of
+    equal keys is kept. Parsing is the only Python step and its result is written
+    once. Messages that cannot be read or stored go to ``table.rejected()`` with
+    their reason.
     """
     parsed = importing.to_email_rows(importing.parse_messages(raw), created_at)
     with staged(importing.check_rows(parsed), "parsed") as checked:
-        counters = stage(importing.import_counters(checked, table.read(), position), "counters")
-        valid = checked.filter(F.col("skip_reason").isNull())
-        table.insert_if_absent(importing.keep_one_per_key(valid, position))
-    return counters
+        counted = importing.import_counters(checked, None, position)
+        counters = counted.first().asDict()  # one row
+        table.reject(checked.filter(F.col("skip_reason").isNotNull()))
+        counters["created"] = table.insert_if_absent(checked.filter(F.col("skip_reason").isNull()), position)
+    schema = T.StructType([*counted.schema.fields, T.StructField("created", T.LongType())])
+    return raw.sparkSession.createDataFrame([tuple(counters.values())], schema)
 
 
 def clean_emails(emails: DataFrame, out_path: str, **options: bool) -> dict[str, int]:
@@ -45,19 +50,43 @@ def clean_emails(emails: DataFrame, out_path: str, **options: bool) -> dict[str,
     return observed(seen, "processed", "updated")
 
 
+def clean_into(table: EmailTable, **options: bool) -> dict[str, int]:
+    """Clean the bodies of a table in place; returns the counts.
+
+    Only rows whose body changes are written, and only their buckets replaced.
+    """
+    seen = Observation("cleaned")
+    cleaned = cleaning.clean_table(table.read(), **options).observe(
+        seen, F.count("*").alias("processed"), F.count_if("changed").alias("updated")
+    )
+    with staged(cleaned.filter("changed").select("id", "body_cleaned"), "cleaned") as updates:
+        table.update_bodies(updates)
+    return observed(seen, "processed", "updated")
+
+
 def to_point_rows(
-    emails: DataFrame, make_encoder: Callable, *, batch_size: int = 200, mode: str = chunking.COMPAT
+    emails: DataFrame,
+    make_encoder: Callable,
+    *,
+    batch_size: int = 200,
+    mode: str = chunking.COMPAT,
+    spell_empty: bool = True,
 ) -> DataFrame:
     """Points of emails: chunk, number, embed. Map-only with one Python step."""
-    chunks = chunking.with_point_id(chunking.chunk_emails(emails, mode=mode))
+    chunks = chunking.with_point_id(chunking.chunk_emails(emails, mode=mode, spell_empty=spell_empty))
     return embedding.to_points(embedding.embed(chunks, make_encoder, batch_size=batch_size))
 
 
-def vectorize_emails(emails: DataFrame, points: PointTable, make_encoder: Callable, **options) -> dict[str, int]:
-    """Chunk, embed and upsert; returns emails processed and chunks upserted."""
+def vectorize_emails(
+    emails: DataFrame, points: PointTable, make_encoder: Callable, *, replace_emails: bool = False, **options
+) -> dict[str, int]:
+    """Chunk, embed and upsert; returns emails processed and chunks upserted.
+
+    Vectors of a size that the point table does not take are in ``points.rejected()``.
+    """
     seen = Observation("vectorized")
     rows = to_point_rows(emails.observe(seen, F.count("*").alias("n")), make_encoder, **options)
-    upserted = points.upsert(rows)
+    upserted = points.upsert(rows, replace_emails=replace_emails)
     return {"emails_processed": observed(seen, "n")["n"], "chunks_upserted": upserted}
 
 

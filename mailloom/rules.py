@@ -152,9 +152,6 @@ COLUMN_LIMITS = {
 
 # Batch sizes and list limits.
 IMPORT_CHUNK = 100
-CLEAN_BATCH = 100
-INGEST_BATCH = 100
-INGEST_TOTAL = 50_000
 RECENT_LIMIT = 20
 SENDER_LIMIT = 50
 THREAD_LIMIT = 100
@@ -171,6 +168,7 @@ SENDER_EXTERNAL = "external"
 SECURITY_OPEN = ["clean", "suspicious"]
 STEP_PENDING = "pending"
 STEP_COMPLETED = "completed"
+STEP_STATES = [STEP_PENDING, STEP_COMPLETED]
 STEP_TYPES = ["perform_local_action", "send_email", "do_nothing"]
 CAPABILITIES = ["execute_browser_action", "execute_bash_action"]
 ROUTE_PLAN = "build_execution_plan"

@@ -66,6 +66,27 @@ def remove_path(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file of the shared store, None if it is not there."""
+    if not path_exists(spark, path):
+        return None
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = file.getFileSystem(spark._jsc.hadoopConfiguration()).open(file)
+    try:
+        return bytes(stream.readAllBytes()).decode("utf-8")
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = file.getFileSystem(spark._jsc.hadoopConfiguration()).create(file, True)
+    try:
+        stream.write(bytearray(text.encode("utf-8")))
+    finally:
+        stream.close()
+
+
 def partition_values(spark: SparkSession, path: str, column: str) -> list[str]:
     """Values of the first partition column of a table, from its folder names."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -80,20 +101,42 @@ def _write_once(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(folder), folder
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder, for results that must not be computed twice.
 
-    Used where an expensive or order-sensitive result is read more than once,
-    and where a join should know the true size of a side: Spark broadcasts the
-    table read back only if its files are below the broadcast threshold. The
-    written table survives the loss of executors.
+    The files survive the loss of executors; Spark's cleaner removes them once
+    the frame is out of use, where the cluster asks for it.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_root(df.sparkSession))
+    return df.checkpoint()
+
+
+@contextmanager
+def staged_until_done(df: DataFrame, label: str) -> Iterator[DataFrame]:
+    """As ``staged``, but if the block fails the table is kept and the error names it.
+
+    For blocks that replace what they have read: the written table may then be
+    the only full copy.
     """
-    return _write_once(df, label)[0]
+    table, folder = _write_once(df, label)
+    try:
+        yield table
+    except Exception as error:
+        raise RuntimeError(f"a full copy of the rows is kept in {folder}") from error
+    remove_path(df.sparkSession, folder)
 
 
 @contextmanager
 def staged(df: DataFrame, label: str) -> Iterator[DataFrame]:
-    """As ``stage``, for use within a block; the folder goes at its end."""
+    """Write ``df`` once to the shared folder and read it back, within a block.
+
+    Used where an expensive or order-sensitive result is read more than once,
+    and where a join should know the true size of a side: Spark broadcasts the
+    table read back only if its files are below the broadcast threshold. The
+    written table survives the loss of executors and goes at the end of the block.
+    """
     table, folder = _write_once(df, label)
     try:
         yield table

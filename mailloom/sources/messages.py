@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from mailloom.schemas import RAW_MESSAGES
 
@@ -14,13 +15,19 @@ def read_messages(spark: SparkSession, path: str, fmt: str = "json") -> DataFram
 def stream_messages(
     spark: SparkSession, path: str, fmt: str = "json", max_files_per_trigger: int = 1000
 ) -> DataFrame:
-    """New files of the folder as a stream; the file limit is the pacing."""
-    return (
+    """New files of the folder as a stream; the file limit is the pacing.
+
+    ``arrival`` orders the messages by time and name of their file; the import adds
+    the place in the file.
+    """
+    rows = (
         spark.readStream.schema(RAW_MESSAGES)
         .format(fmt)
         .option("maxFilesPerTrigger", max_files_per_trigger)
         .load(path)
     )
+    arrival = F.struct("_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_block_start")
+    return rows.withColumn("arrival", arrival)
 
 
 def read_database(

@@ -5,10 +5,14 @@ is a hash of the external id: even in size, known from a key alone, and the
 unit of rewriting. ``points`` takes whole batches of upserts as appended
 versions, so an upsert costs as much as its batch; reading takes the last
 version per id and ``compact`` folds the versions.
+
+Rows that a table does not take are not lost: they go to a folder beside it,
+with the reason.
 """
 
 from __future__ import annotations
 
+import json
 import time
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -16,19 +20,64 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mailloom.functions.ids import bucket
-from mailloom.operators import importing, upsert
-from mailloom.schemas import EMAILS, POINTS
-from mailloom.session import observed, partition_values, path_exists, remove_path, staged
+from mailloom.operators import embedding, importing, upsert
+from mailloom.schemas import EMAILS, POINT_VERSIONS, POINTS
+from mailloom.session import (
+    observed,
+    partition_values,
+    path_exists,
+    read_text,
+    remove_path,
+    staged,
+    staged_until_done,
+    write_text,
+)
+
+
+class _Folder:
+    """A table's folder, a small file with its fixed settings, and the rejected rows beside it."""
 
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
 
-class EmailTable:
+    def _settled(self, name: str, given, default):
+        """The stored value of a setting; a different one given is an error. Stores a first value."""
+        file = f"{self.path}/_settings.json"
+        stored = json.loads(read_text(self.spark, file) or "{}")
+        if name in stored:
+            if given is not None and given != stored[name]:
+                raise ValueError(f"{self.path} was written with {name}={stored[name]}, not {given}")
+            return stored[name]
+        value = default if given is None else given
+        write_text(self.spark, file, json.dumps({**stored, name: value}))
+        return value
+
+    @property
+    def rejected_path(self) -> str:
+        return f"{self.path}_rejected"
+
+    def reject(self, rows: DataFrame) -> None:
+        """Append rows that the table does not take; nothing is written for none."""
+        if not rows.isEmpty():
+            rows.write.mode("append").option("mergeSchema", "true").parquet(self.rejected_path)
+
+    def rejected(self) -> DataFrame | None:
+        """All rejected rows so far, None if there never were any."""
+        if not path_exists(self.spark, self.rejected_path):
+            return None
+        return self.spark.read.option("mergeSchema", "true").parquet(self.rejected_path)
+
+
+class EmailTable(_Folder):
     """The emails table at a path, in 16 to the power of ``digits`` buckets.
 
     Two digits suit up to some hundred gigabytes, three some hundred terabytes.
+    The number is stored with the table.
     """
 
-    def __init__(self, spark: SparkSession, path: str, digits: int = 2):
-        self.spark, self.path, self.digits = spark, path.rstrip("/"), digits
+    def __init__(self, spark: SparkSession, path: str, digits: int | None = None):
+        super().__init__(spark, path)
+        self.digits = self._settled("digits", digits, 2)
 
     def _bucket(self) -> Column:
         return bucket(F.col("id"), self.digits)
@@ -36,17 +85,18 @@ class EmailTable:
     def read(self) -> DataFrame:
         """All rows with the ``bucket`` column; empty before the first write."""
         schema = T.StructType(EMAILS.fields + [T.StructField("bucket", T.StringType())])
-        if not path_exists(self.spark, self.path):
-            return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(self.path)
 
     def _write(self, rows: DataFrame, mode: str) -> None:
         rows = rows.select(*EMAILS.names).withColumn("bucket", self._bucket())
         # Rebalancing gives each bucket few, evenly sized files at any volume.
+        # Sorted keys and their filters let a look-up skip row groups.
         (
             rows.hint("rebalance", "bucket")
+            .sortWithinPartitions("bucket", "external_message_id")
             .write.mode(mode)
             .option("partitionOverwriteMode", "dynamic")
+            .option("parquet.bloom.filter.enabled#external_message_id", "true")
             .partitionBy("bucket")
             .parquet(self.path)
         )
@@ -54,76 +104,117 @@ class EmailTable:
     def append(self, rows: DataFrame) -> None:
         self._write(rows, "append")
 
-    def insert_if_absent(self, rows: DataFrame) -> int:
+    def _buckets_of(self, rows: DataFrame) -> list[str]:
+        """Buckets that rows with ids fall in; as many as there are buckets at most."""
+        return [r[0] for r in rows.select(self._bucket().alias("b")).distinct().collect() if r[0] is not None]
+
+    def insert_if_absent(self, rows: DataFrame, order: str = "created_at") -> int:
         """Append rows with a new external id; returns how many there were.
 
-        The ids already held are staged first: few in the usual incremental
-        run, so they are broadcast and the new rows are not moved for the check.
-        Safe to repeat: what a broken attempt has written is found and skipped.
+        Of rows that share an external id the first by ``order`` counts, of equal
+        ones the least by content; rows without one are all new. Only the buckets that the rows fall in are read
+        for keys. The ids already held are staged first: few in the usual
+        incremental run, so they are broadcast and the new rows are not moved for
+        the check. Safe to repeat: what a broken attempt has written is found and
+        skipped.
         """
         seen = Observation("inserted")
-        with staged(importing.existing_ids(self.read(), rows), "existing-ids") as held:
+        here = self.read().filter(F.col("bucket").isin(self._buckets_of(rows)))
+        with (
+            staged(importing.existing_ids(here, rows), "existing-ids") as held,
+            staged(importing.repeated_keys(rows, order), "repeated-keys") as repeated,
+        ):
             new = rows.join(held, "external_message_id", "left_anti")
-            self.append(new.observe(seen, F.count("*").alias("n")))
+            once = new.join(repeated, "external_message_id", "left_anti")
+            first = importing.keep_first(new.join(repeated, "external_message_id", "left_semi"), order)
+            self.append(once.unionByName(first).observe(seen, F.count("*").alias("n")))
         return observed(seen, "n")["n"]
 
-    def _rewrite(self, keys: DataFrame, change) -> None:
-        """Apply ``change`` to the buckets of the given ids and replace those buckets."""
-        touched = [r[0] for r in keys.select(self._bucket()).distinct().collect()]  # bounded by the buckets
+    def _replace(self, touched: list[str], change) -> None:
+        """Apply ``change`` to the rows of some buckets and replace those buckets."""
         if not touched:
             return
-        with staged(change(self.read().filter(F.col("bucket").isin(touched))), "rewrite") as changed:
+        with staged_until_done(change(self.read().filter(F.col("bucket").isin(touched))), "rewrite") as changed:
             left = {r[0] for r in changed.select("bucket").distinct().collect()}
             self._write(changed, "overwrite")
-        for emptied in set(touched) - left:
-            remove_path(self.spark, f"{self.path}/bucket={emptied}")
+            for emptied in set(touched) - left:
+                remove_path(self.spark, f"{self.path}/bucket={emptied}")
 
-    def update_bodies(self, updates: DataFrame) -> None:
-        self._rewrite(updates, lambda rows: upsert.update_bodies(rows, updates))
+    def update_bodies(self, updates: DataFrame, order: str | None = None) -> None:
+        """Replace bodies by id; see ``upsert.one_update_per_id`` for repeated ids."""
+        self._replace(self._buckets_of(updates), lambda rows: upsert.update_bodies(rows, updates, order))
 
     def delete(self, ids: DataFrame) -> None:
-        self._rewrite(ids, lambda rows: upsert.delete_ids(rows, ids))
+        self._replace(self._buckets_of(ids), lambda rows: upsert.delete_ids(rows, ids))
 
+    def compact(self, max_files: int = 8) -> list[str]:
+        """Rewrite the buckets that hold more than ``max_files`` files; returns them."""
+        files = self.read().select("bucket", F.input_file_name().alias("file")).distinct()
+        many = [r["bucket"] for r in files.groupBy("bucket").count().filter(F.col("count") > max_files).collect()]
+        self._replace(many, lambda rows: rows)
+        return many
 
-class PointTable:
-    """The vector points at a path."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+class PointTable(_Folder):
+    """The vector points at a path; ``dim`` is the size that vectors must have, if any.
+
+    After ``compact_after`` upserts the versions are folded into one.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, dim: int | None = None, compact_after: int = 64):
+        super().__init__(spark, path)
+        self.dim = self._settled("dim", dim, None)
+        self.compact_after = compact_after
 
     def versions(self) -> list[int]:
         """Versions held, one per upsert since the last compaction."""
-        if not path_exists(self.spark, self.path):
-            return []
         return sorted(map(int, partition_values(self.spark, self.path, "version")))
 
     def _all_rows(self) -> DataFrame:
-        schema = T.StructType(POINTS.fields + [T.StructField("version", T.LongType())])
-        if not path_exists(self.spark, self.path):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(self.path)
+        return self.spark.read.schema(POINT_VERSIONS).parquet(self.path)
 
     def read(self) -> DataFrame:
-        """Last written row per id; only the ids written more than once are matched."""
-        if len(self.versions()) < 2:
-            return self._all_rows().drop("version")
-        return importing.keep_one_per_key(self._all_rows(), "version", "id", newest=True).drop("version")
+        """Last written row per id; only the ids written more than once are matched. Writes nothing."""
+        rows = self._all_rows()
+        if len(self.versions()) > 1:
+            rows = importing.keep_one_per_key(rows, "version", "id", newest=True)
+        return rows.filter(~F.col("deleted")).select(*POINTS.names)
+
+    def _next_version(self) -> int:
+        return max([time.time_ns() // 1000, *(v + 1 for v in self.versions())])
+
+    def _append(self, points: DataFrame, deleted: Column, version: int) -> None:
+        rows = points.withColumn("deleted", deleted).select(*POINT_VERSIONS.names[:-1])
+        rows.withColumn("version", F.lit(version)).write.mode("append").partitionBy("version").parquet(self.path)
 
-    def upsert(self, points: DataFrame) -> int:
+    def upsert(self, points: DataFrame, *, order: str | None = None, replace_emails: bool = False) -> int:
         """Write points over those with the same id; returns how many were written.
 
-        Safe to repeat: a second copy has the same content and a later version.
+        Of points that share an id in the batch the last by ``order`` counts.
+        Vectors of another size than ``dim`` are rejected. With
+        ``replace_emails`` the old points of the batch's emails go, so a shorter
+        email leaves no stale tail. Safe to repeat: a second copy has the same
+        content and a later version.
         """
         seen = Observation("upserted")
-        version = max([time.time_ns() // 1000, *(v + 1 for v in self.versions())])
-        (
-            points.select(*POINTS.names)
-            .observe(seen, F.count("*").alias("n"))
-            .withColumn("version", F.lit(version))
-            .write.mode("append")
-            .partitionBy("version")
-            .parquet(self.path)
-        )
+        version = self._next_version()
+        with staged(points, "points") as batch:
+            good = batch
+            if self.dim is not None:
+                good, bad = embedding.split_by_dim(batch, dim=self.dim)
+                self.reject(bad.withColumn("reason", F.lit(f"vector size is not {self.dim}")))
+            new = upsert.one_point_per_id(good, order)
+            if replace_emails:
+                # The old ids go first, under a version before that of the new points.
+                emails = new.select(F.col("payload.external_message_id").alias("__email")).distinct()
+                old = self.read().select("id", "payload", "vector")
+                stale = old.join(emails, F.col("payload.external_message_id") == F.col("__email"), "left_semi")
+                gone = stale.select("id", F.lit(None).cast(POINTS["payload"].dataType).alias("payload"), F.lit(None).cast("array<float>").alias("vector"))
+                self._append(gone, F.lit(True), version)
+                version += 1
+            self._append(new.select(*POINTS.names).observe(seen, F.count("*").alias("n")), F.lit(False), version)
+        if len(self.versions()) > self.compact_after:
+            self.compact()
         return observed(seen, "n")["n"]
 
     def compact(self) -> None:
@@ -131,6 +222,6 @@ class PointTable:
         old = self.versions()
         if len(old) < 2:
             return
-        self.upsert(self.read())
+        self._append(self.read(), F.lit(False), self._next_version())
         for version in old:
             remove_path(self.spark, f"{self.path}/version={version}")

@@ -6,35 +6,47 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from mailloom import rules
 from mailloom.operators import cleaning, events, importing
 from mailloom.plans.jobs import to_point_rows
-from mailloom.session import staged
+from mailloom.session import path_exists, staged
 from mailloom.sources.tables import EmailTable, PointTable
 
 
-def import_stream(raw: DataFrame, table: EmailTable, checkpoint: str, *, order: str = "id") -> StreamingQuery:
+def import_stream(raw: DataFrame, table: EmailTable, checkpoint: str, *, order: str = "arrival") -> StreamingQuery:
     """Parse, check, deduplicate and insert each micro-batch.
 
-    The table itself remembers the keys, so no state grows with the stream and
-    a repeated batch inserts nothing twice.
+    ``order`` is a column of the stream that tells which of equal keys came
+    first; ``stream_messages`` adds ``arrival``. Equal ones go by their place in
+    the batch. The table itself remembers the
+    keys, so no state grows with the stream and a repeated batch inserts nothing
+    twice. Messages that cannot be read or stored go to ``table.rejected()``; a
+    repeated batch may list them again.
     """
 
     def insert(batch: DataFrame, _batch_id: int) -> None:
-        batch = batch.withColumn("__order", F.col(order))
-        rows = importing.to_email_rows(importing.parse_messages(batch))
-        valid = importing.keep_first(importing.valid_rows(rows), "__order")
+        placed = batch.withColumn("__order", F.struct(order, F.monotonically_increasing_id().alias("place")))
+        rows = importing.to_email_rows(importing.parse_messages(placed))
         # One write of the parsed batch, since Spark would otherwise parse per use.
-        with staged(valid, "import-batch") as rows:
-            table.insert_if_absent(rows)
+        with staged(importing.check_rows(rows), "import-batch") as checked:
+            table.reject(checked.filter(F.col("skip_reason").isNotNull()).drop("__order"))
+            table.insert_if_absent(checked.filter(F.col("skip_reason").isNull()), "__order")
 
     return _run(raw.writeStream.foreachBatch(insert), checkpoint)
 
 
 def vectorize_stream(
-    emails: DataFrame, points: PointTable, make_encoder: Callable, checkpoint: str, *, spread_to: int | None = None
+    emails: DataFrame,
+    points: PointTable,
+    make_encoder: Callable,
+    checkpoint: str,
+    *,
+    spread_to: int | None = None,
+    replace_emails: bool = False,
+    spell_empty: bool = True,
 ) -> StreamingQuery:
     """Clean, chunk, embed and upsert emails as they arrive. All but the sink is stateless.
 
@@ -42,8 +54,9 @@ def vectorize_stream(
     bring few large files per batch.
     """
     emails = emails.repartition(spread_to) if spread_to else emails
-    rows = to_point_rows(cleaning.clean_table(emails).drop("changed"), make_encoder)
-    return _run(rows.writeStream.foreachBatch(lambda batch, _id: points.upsert(batch)), checkpoint)
+    rows = to_point_rows(cleaning.clean_table(emails).drop("changed"), make_encoder, spell_empty=spell_empty)
+    upsert = lambda batch, _id: points.upsert(batch, replace_emails=replace_emails)
+    return _run(rows.writeStream.foreachBatch(upsert), checkpoint)
 
 
 def classify(emails: DataFrame, internal_address: str, *carry: str) -> DataFrame:
@@ -53,31 +66,88 @@ def classify(emails: DataFrame, internal_address: str, *carry: str) -> DataFrame
     )
 
 
-def resume(requests: DataFrame, responses: DataFrame, *, time: str = "ts", wait: str = "7 days") -> DataFrame:
-    """Emit a response once its request is known, within a bounded wait.
-
-    Both sides carry an event time; the bound lets the state of unanswered
-    requests expire.
-    """
-    asked = requests.filter(F.col("type") == rules.EVENT_REQUEST).select(
+def _asked(events_: DataFrame, time: str) -> DataFrame:
+    return events_.filter(F.col("type") == rules.EVENT_REQUEST).select(
         "thread_id", F.col("message_id").alias("request_id"), F.col(time).alias("requested_at")
     )
-    answered = responses.filter(F.col("type") == rules.EVENT_RESPONSE).select(
-        F.col("thread_id").alias("answered_thread"),
-        F.col("message_id").alias("response_id"),
-        F.col(time).alias("answered_at"),
+
+
+def _answered(events_: DataFrame, time: str) -> DataFrame:
+    return events_.filter(F.col("type") == rules.EVENT_RESPONSE).select(
+        "thread_id", F.col("message_id").alias("response_id"), F.col(time).alias("answered_at")
     )
+
+
+def _matched(asked: DataFrame, answered: DataFrame) -> DataFrame:
+    joined = asked.join(answered, "thread_id").filter("answered_at >= requested_at")
+    return joined.select("thread_id", "request_id", "requested_at", "response_id", "answered_at")
+
+
+def resume(requests: DataFrame, responses: DataFrame, *, time: str = "ts", wait: str | None = None) -> DataFrame:
+    """Emit a response once its request is known.
+
+    Batch frames are matched without a limit of time. Streams need ``wait``,
+    which lets the state of unanswered requests expire and so loses later answers;
+    ``resume_stream`` has no such limit.
+    """
+    asked, answered = _asked(requests, time), _answered(responses, time)
+    if wait is None:
+        if requests.isStreaming or responses.isStreaming:
+            raise ValueError("a stream is matched within a wait, or without a limit by resume_stream")
+        return _matched(asked, answered)
+    answered = answered.withColumnRenamed("thread_id", "answered_thread")
+    if requests.isStreaming:
+        asked, answered = asked.withWatermark("requested_at", wait), answered.withWatermark("answered_at", wait)
     within = (
         (F.col("thread_id") == F.col("answered_thread"))
         & (F.col("answered_at") >= F.col("requested_at"))
         & (F.col("answered_at") <= F.col("requested_at") + F.expr(f"interval {wait}"))
     )
-    if requests.isStreaming:
-        asked = asked.withWatermark("requested_at", wait)
-        answered = answered.withWatermark("answered_at", wait)
     return asked.join(answered, within).drop("answered_thread")
 
 
+def resume_stream(
+    events_: DataFrame, store: str, out: str, checkpoint: str, *, time: str = "ts", digits: int = 2
+) -> StreamingQuery:
+    """Emit each response with its request, however far apart they come and in either order.
+
+    Requests and responses wait in two tables below ``store``, in buckets by a
+    hash of the thread. A micro-batch is matched within itself and with what
+    waits in its own buckets, then added to the tables. Tables and output are
+    partitioned by the number of the batch, which is overwritten if the batch is
+    repeated, so each pair comes out once.
+    """
+    kinds = {"asked": _asked, "answered": _answered}
+
+    def write(rows: DataFrame, path: str, batch_id: int, *parts: str) -> None:
+        numbered = rows.withColumn("batch", F.lit(batch_id).cast("long"))
+        writer = numbered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("batch", *parts).parquet(path)
+
+    def match(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        bucket = F.substring(F.md5("thread_id"), 1, digits)
+        with staged(batch.select("thread_id", "message_id", "type", time).withColumn("bucket", bucket), "events") as here:
+            buckets = [r[0] for r in here.select("bucket").distinct().collect() if r[0] is not None]
+            new, waiting = {}, {}
+            for kind, pick in kinds.items():
+                new[kind] = pick(here, time)
+                path = f"{store}/{kind}"
+                waiting[kind] = new[kind].limit(0)
+                if path_exists(spark, path):
+                    schema = T.StructType([*new[kind].schema.fields, T.StructField("bucket", T.StringType()), T.StructField("batch", T.LongType())])
+                    held = spark.read.schema(schema).parquet(path).filter(F.col("bucket").isin(buckets))
+                    waiting[kind] = held.filter(F.col("batch") < batch_id).select(*new[kind].columns)
+            pairs = _matched(new["asked"].unionByName(waiting["asked"]), new["answered"]).unionByName(
+                _matched(new["asked"], waiting["answered"])
+            )
+            write(pairs, out, batch_id)
+            for kind, rows in new.items():
+                write(rows.withColumn("bucket", bucket), f"{store}/{kind}", batch_id, "bucket")
+
+    return _run(events_.writeStream.foreachBatch(match), checkpoint)
+
+
 def write_stream(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append a stateless or joined stream to parquet."""
     return (

@@ -134,7 +134,7 @@ def test_backfill(spark):
     empty = messages.filter("false")
     assert importing.older_messages(messages, empty).count() == 3
     table = messages.filter("i = 2")
-    assert {r["i"] for r in importing.older_messages(messages, table).collect()} == {1, 2}
+    assert {r["i"] for r in importing.older_messages(messages, table).collect()} == {1, 2, 3}
     bound = importing.oldest_sent(table).select(importing.backfill_bound(F.col("oldest_sent_at")).alias("b"))
     query = bound.select(importing.backfill_query("in:inbox", F.col("b"))).first()[0]
     assert query == "in:inbox before:2024/01/04"

