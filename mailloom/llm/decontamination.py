@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 #: every character beyond ASCII.
 IS_WORD = np.array([48 <= b <= 57 or 97 <= b <= 122 or b >= 128 for b in range(256)])
 #: Text bytes of one suffix array; a longer document is a shard alone.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 #: Test text of one pass over the documents.
 BLOCK_BYTES = 16 << 20
 #: An odd number; word hashes are polynomials in it.
