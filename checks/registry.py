@@ -572,7 +572,7 @@ _line_rule("c16_footer_lines", duck.is_footer, lines.is_footer)
     f"""with {SRC} {duck.dedupe_rows("select * from (" + duck.line_rows("emails_src", "arrival", "body_text") + ")", "arrival").replace("as txt", "as body")}""",
 )
 def _(spark, sf):
-    kept = lines.drop_repeats(lines.with_lowered(lines.split_lines(c("body_text"))))
+    kept = lines.drop_repeats(lines.with_keys(lines.with_lowered(lines.split_lines(c("body_text")))))
     bodies = _bodies(spark, sf).filter(c("body_text").isNotNull())
     return bodies.select("arrival", text.strip(lines.join_lines(kept)).alias("body"))
 

@@ -65,6 +65,20 @@ def is_noise(lowered: Column) -> Column:
     return lowered.rlike(rf"(?dsU)\A(?:{_SEPARATOR}|{_IMAGE}|{_MARKUP})") | is_footer(lowered)
 
 
+# Starts of the lines that the anchored rules know.
+_STARTS = "|".join([rules.SEPARATOR_LINE, r"\[image", _MARKUP.replace("$", ""), *map(re.escape, rules.FOOTER_LINES)])
+
+
+def may_hold_noise(lowered: Column) -> Column:
+    """False only for a lower-cased text none of whose lines can be noise.
+
+    A pass over the whole text in place of one per line; it may say yes too often.
+    """
+    phrases = reduce(or_, [lowered.contains(phrase) for phrase in [*_PLAIN_PHRASES, "://"]])
+    anchored = lowered.rlike(rf"(?dmU)^[\s\p{{Z}}]*+(?:{_STARTS})")
+    return phrases | lowered.rlike("|".join(_PHRASE_PATTERNS)) | anchored
+
+
 def with_lowered(lines: Column) -> Column:
     """Lines as structs of the stripped line and its lower-cased form."""
     stripped = F.transform(lines, strip)
@@ -93,13 +107,9 @@ def _with_previous(items: Column) -> Column:
     )
 
 
-def drop_repeats(pairs: Column) -> Column:
-    """Keep the first of each short repeated line and one of equal neighbours.
-
-    Neighbours are compared after the short repeats are gone. Blank lines have
-    an empty key: they separate neighbours and collapse among themselves.
-    """
-    keyed = F.transform(
+def with_keys(pairs: Column) -> Column:
+    """Lines as structs of their key, by which repeats are told, their place and the line."""
+    return F.transform(
         pairs,
         lambda p, i: F.struct(
             F.regexp_replace(p.lowered, r"(?U)\s+", " ").alias("key"),
@@ -107,6 +117,20 @@ def drop_repeats(pairs: Column) -> Column:
             p.line.alias("line"),
         ),
     )
+
+
+def has_repeats(keyed: Column) -> Column:
+    """Whether any line that is not blank occurs twice."""
+    keys = F.filter(F.transform(keyed, lambda k: k.key), lambda k: k != "")
+    return bind(keys, lambda k: F.size(F.array_distinct(k)) < F.size(k))
+
+
+def drop_repeats(keyed: Column) -> Column:
+    """Keep the first of each short repeated line and one of equal neighbours.
+
+    Neighbours are compared after the short repeats are gone. Blank lines have
+    an empty key: they separate neighbours and collapse among themselves.
+    """
     firsts = F.filter(
         _with_previous(F.sort_array(keyed)),
         lambda z: (F.length(z.item.key) >= rules.SHORT_LINE)

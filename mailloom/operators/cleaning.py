@@ -114,10 +114,20 @@ def markup_to_text(
     )
 
 
-def clean_lines(body: Column) -> Column:
-    """Noise lines dropped and repeated lines removed, within one text."""
-    kept = lines.drop_repeats(lines.drop_noise(lines.with_lowered(lines.split_lines(body))))
-    return text.strip(lines.join_lines(kept))
+def clean_lines(body: Column, noisy: Column) -> Column:
+    """Noise lines dropped and repeated lines removed, within one text.
+
+    Texts that hold no noise, or no line twice, skip the work on each line;
+    without repeats there are only blank lines to collapse.
+    """
+
+    def unrepeated(keyed: Column) -> Column:
+        plain = text.collapse_blank_lines(F.array_join(F.transform(keyed, lambda k: k.line), "\n"))
+        return F.when(lines.has_repeats(keyed), text.strip(lines.join_lines(lines.drop_repeats(keyed)))).otherwise(plain)
+
+    pairs = lines.with_lowered(lines.split_lines(body))
+    kept = bind(pairs, lambda p: F.when(noisy, lines.drop_noise(p)).otherwise(p))
+    return bind(lines.with_keys(kept), unrepeated)
 
 
 def clean_bodies(
@@ -129,8 +139,8 @@ def clean_bodies(
 ) -> DataFrame:
     """Add ``out``: the cleaned form of ``column`` (NULL and blank give '')."""
     c = F.col
-    names = [f"{_P}{n}" for n in ("seen", "bare", "raw", "full", "tags", "entities", "markup")]
-    seen, bare, raw, full, tags, entities, markup = names
+    names = [f"{_P}{n}" for n in ("seen", "bare", "raw", "full", "tags", "entities", "markup", "own", "noisy")]
+    seen, bare, raw, full, tags, entities, markup, own, noisy = names
     df = (
         df.withColumn(seen, text.visible(F.coalesce(c(column), F.lit(""))))
         .withColumn(tags, c(seen).contains("<") & c(seen).contains(">"))
@@ -149,7 +159,9 @@ def clean_bodies(
         markup_to_text(df, bare, raw, has_tags=c(tags), has_entities=c(entities))
         # Decoded entities may bring invisible characters again.
         .withColumn(full, F.when(c(entities), text.visible(c(raw))).otherwise(c(raw)))
-        .withColumn(out, text.blank_signatures(clean_lines(text.cut_reply(text.normalise(c(full))))))
+        .withColumn(own, text.cut_reply(text.normalise(c(full))))
+        .withColumn(noisy, lines.may_hold_noise(F.lower(c(own))))
+        .withColumn(out, text.blank_signatures(clean_lines(c(own), c(noisy))))
     )
     return df.drop(*names)
 

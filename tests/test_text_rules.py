@@ -157,7 +157,7 @@ def test_repeated_lines_against_a_sequential_form(values):
     pieces = ["Thanks", "thanks ", "x", "", "", "A" * 119, "A" * 120, "b" * 130, "B" * 130, "mid", "mid  dle", "Mid dle"]
     texts = ["\n".join(rng.choices(pieces, k=rng.randint(1, 14))) for _ in range(500)]
     deduped = lambda c: text.strip(
-        lines.join_lines(lines.drop_repeats(lines.with_lowered(lines.split_lines(c))))
+        lines.join_lines(lines.drop_repeats(lines.with_keys(lines.with_lowered(lines.split_lines(c)))))
     )
     assert values(deduped, texts) == [_dedupe(t) for t in texts]
 
