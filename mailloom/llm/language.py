@@ -27,6 +27,8 @@ LONGEST = 3
 #: Characters looked at together.
 STRETCH = 1 << 20
 UNKNOWN = "und"
+#: Answers with this score are always accepted.
+LEAST_SCORE = 0.4
 
 _LETTERS = np.array([chr(c).isalpha() for c in range(1 << 16)])
 
@@ -122,7 +124,7 @@ def fit(
     """Train on labelled texts for ``rounds`` rounds, or as many as ``least_steps`` take; a fifth only calibrates.
 
     At most ``reject_share`` of the right answers on the calibration texts score
-    below the least accepted score, which is never above one half.
+    below the least accepted score, which is never above ``LEAST_SCORE``.
     """
     names = sorted(set(languages))
     if not names:
@@ -179,7 +181,7 @@ def _calibrate(model: LanguageModel, texts: list[str], label: np.ndarray, rng, r
     chance = _softmax(table / model.temperature)
     right = chance.max(axis=1)[chance.argmax(axis=1) == y]
     if len(right):
-        model.least = float(min(0.5, np.quantile(right, reject_share)))
+        model.least = float(min(LEAST_SCORE, np.quantile(right, reject_share)))
 
 
 def held_out(doc_id: Column) -> Column:
