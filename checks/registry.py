@@ -277,6 +277,45 @@ def _(spark, sf):
     return fixtures.emails_src(spark, sf).select("arrival", mime.decode_mime_words(word).alias("subject"))
 
 
+@query(
+    "i3_encoded_words",
+    """select doc_id, case doc_id % 5 when 0 then 'Re: Grüße ' || doc_id || ' <u' || doc_id || '@x.org>' when 1 then 'one' || doc_id || 'two'
+ when 2 then 'a + b % = ' || doc_id when 3 then 'ÄÖ ' || doc_id || ' tail' else 'plain ' || doc_id end as subject from documents""",
+)
+def _(spark, sf):
+    """Quoted and base64 words, beside text, next to each other on two lines, in another charset."""
+    forms = [
+        "'Re: =?utf-8?q?Gr=C3=BC=C3=9Fe_' || doc_id || '?= <u' || doc_id || '@x.org>'",
+        "'=?UTF-8?B?' || base64(encode('one' || doc_id, 'UTF-8')) || '?=\n =?us-ascii?Q?two?='",
+        "'=?UTF-8?Q?a_+_b_%_=3D_' || doc_id || '?='",
+        "'=?iso-8859-1?Q?=C4=D6?= ' || doc_id || ' tail'",
+        "'plain ' || doc_id",
+    ]
+    cases = " ".join(f"when {k} then {form}" for k, form in enumerate(forms))
+    value = F.expr(f"case doc_id % 5 {cases} end")
+    return fixtures.table(spark, sf, "documents").select("doc_id", mime.decode_mime_words(value).alias("subject"))
+
+
+@query(
+    "i7_date_headers",
+    f"""with {SRC} select arrival, {duck_time("case when arrival % 6 = 5 then null else sent_at end", "sent_at")} from emails_src""",
+)
+def _(spark, sf):
+    """Dates with offset, zone name, comment, two-digit year, no day name, and none at all."""
+    day, clock = "date_format(sent_at, 'EEE, d MMM yyyy ')", "date_format(sent_at, 'HH:mm:ss')"
+    forms = [
+        f"{day} || {clock} || ' +0000'",
+        f"date_format(sent_at - interval 5 hours, 'd MMM yyyy HH:mm:ss') || ' EST'",
+        f"{day} || {clock} || ' +0000 (UTC)'",
+        f"date_format(sent_at, 'EEE, dd MMM yy HH:mm:ss') || ' GMT'",
+        f"date_format(sent_at, 'dd MMM yyyy HH:mm') || ' +0000'",
+        "'no date ' || arrival",
+    ]
+    cases = " ".join(f"when {k} then {form}" for k, form in enumerate(forms))
+    rows = fixtures.emails_src(spark, sf).withColumn("header", F.expr(f"case arrival % 6 {cases} end"))
+    return rows.select("arrival", mime.sent_times(c("header")).alias("sent_at")).select("arrival", as_text("sent_at"))
+
+
 @query("i4_plain_body", f"with {SRC}, {PARSED} select arrival, body_text from parsed")
 def _(spark, sf):
     return importing.parse_messages(fixtures.raw_messages(spark, sf)).select("arrival", "body_text")

@@ -16,6 +16,7 @@ from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,11 +48,84 @@ def decoded(value: str | None) -> str | None:
 
 
 @F.pandas_udf(T.StringType())
-def decode_mime_words(values: pd.Series) -> pd.Series:
-    """Encoded words decoded, NULL stays NULL."""
+def _decode_odd_words(values: pd.Series) -> pd.Series:
+    """Encoded words decoded by the standard library, NULL stays NULL."""
     return values.map(decoded, na_action="ignore").astype(object).where(values.notna(), None)
 
 
+_WORD = r"=\?([^?\s]*)\?([bBqQ])\?([^?\s]*)\?="
+
+
+def _word_text(charset: Column, encoding: Column, encoded: Column) -> Column:
+    """Text of one encoded word; NULL if it is not plain UTF-8 or ASCII."""
+    base64 = F.try_to_binary(encoded, F.lit("base64")).cast("string")
+    escaped = F.replace(F.replace(F.replace(encoded, F.lit("%"), F.lit("%25")), F.lit("+"), F.lit("%2B")), F.lit("_"), F.lit("%20"))
+    quoted = F.try_url_decode(F.regexp_replace(escaped, "=([0-9A-Fa-f]{2})", "%$1"))
+    text = F.when(F.lower(encoding) == "b", base64).otherwise(F.when(~escaped.rlike("=(?![0-9A-Fa-f]{2})"), quoted))
+    fits = F.is_valid_utf8(text) & ~text.contains("\ufffd") & (text != "") & ~text.rlike(r"^\s|\s$|[\n\r]")
+    known = (F.lower(charset) == "utf-8") | ((F.lower(charset) == "us-ascii") & text.rlike(r"^[\x00-\x7F]*$"))
+    return F.when(known & fits, text)
+
+
+def decode_mime_words(value: Column) -> Column:
+    """Encoded words decoded, NULL stays NULL.
+
+    Built-in functions decode words in UTF-8 or ASCII, in base64 or quoted form,
+    that stand apart from other text by one space. White space between two words
+    goes. All other values with encoded words take the standard library.
+    """
+    words = F.arrays_zip(*(F.regexp_extract_all(value, F.lit(_WORD), F.lit(k)).alias(n) for k, n in ((1, "c"), (2, "e"), (3, "t"))))
+    texts = F.transform(words, lambda w: _word_text(w["c"], w["e"], w["t"]))
+    gaps = F.split(value, _WORD, -1)
+    last = F.size(gaps) - 1
+
+    def joint(gap: Column, at: Column) -> Column:
+        """The text between two words, NULL if its spacing is not the usual one."""
+        usual = F.when(at == 0, gap.rlike(r"^$|^\S(.*\S)? $")).when(at == last, gap.rlike(r"^$|^ \S(.*\S)?$"))
+        return F.when(F.coalesce(usual, gap.rlike(r"^ \S(.*\S)? $")), gap).when((at > 0) & (at < last) & gap.rlike(r"^\s+$"), "")
+
+    pieces = F.zip_with(F.transform(gaps, joint), F.concat(texts, F.array(F.lit(""))), lambda gap, text: F.concat(gap, text))
+    simple = F.when(F.forall(pieces, lambda p: p.isNotNull()), F.array_join(pieces, ""))
+    return F.when(~value.contains("=?"), value).otherwise(
+        F.coalesce(simple, _decode_odd_words(F.when(value.contains("=?") & simple.isNull(), value)))
+    )
+
+
+#: Zone names of the mail standard.
+ZONES = {
+    "UT": "+0000", "UTC": "+0000", "GMT": "+0000", "Z": "+0000", "EST": "-0500", "EDT": "-0400", "CST": "-0600",
+    "CDT": "-0500", "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700",
+}
+
+
+@F.pandas_udf(T.TimestampType())
+def _odd_times(values: pd.Series) -> pd.Series:
+    return pd.to_datetime(pd.Series([sent_time(v) for v in values], index=values.index, dtype=object), utc=True)
+
+
+def sent_times(header: Column) -> Column:
+    """A Date header as a time, NULL if missing or unreadable.
+
+    The usual form (day name or none, four-digit year, offset or zone name, with or
+    without seconds and a comment) is read by built-in functions; only what they
+    cannot read takes the standard library.
+    """
+    bare = F.trim(F.regexp_replace(header, r"\([^()]*\)|^\s*[A-Za-z]{3},", ""))
+    zone = F.regexp_extract(bare, r"\s(" + "|".join(ZONES) + r")$", 1)
+    names = F.create_map(*(F.lit(x) for item in ZONES.items() for x in item))
+    stem = F.regexp_replace(bare, r"\s[A-Z]{1,3}$", "")
+    offset = F.when(zone != "", F.concat(stem, F.lit(" "), F.element_at(names, zone))).otherwise(bare)
+    spaced = F.regexp_replace(offset, r"\s+", " ")
+    usual = spaced.rlike(r"^[0-9]{1,2} [A-Z][a-z]{2} [1-9][0-9]{3} [0-9]{2}:[0-9]{2}(:[0-9]{2})? [+-][0-9]{4}$")
+    read = F.when(
+        usual,
+        F.coalesce(
+            F.try_to_timestamp(spaced, F.lit("d MMM yyyy HH:mm:ss xx")), F.try_to_timestamp(spaced, F.lit("d MMM yyyy HH:mm xx"))
+        ),
+    )
+    return F.coalesce(read, _odd_times(F.when(read.isNull(), header)))
+
+
 def sent_time(value: str | None) -> datetime | None:
     """A Date header as UTC time, NULL if missing or unreadable."""
     try:

@@ -122,6 +122,37 @@ def break_tags(html: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(html, OTHER_TAG, TAG_MARK), f"{TAG_MARK}+", "\n")
 
 
+# Character references that built-in functions decode; the tree helper knows all.
+ENTITIES = {
+    "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "copy": "©", "reg": "®", "trade": "™",
+    "middot": "·", "bull": "•", "hellip": "…", "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’", "ldquo": "“",
+    "rdquo": "”", "laquo": "«", "raquo": "»", "euro": "€", "pound": "£", "yen": "¥", "cent": "¢", "sect": "§", "deg": "°",
+    "times": "×", "auml": "ä", "ouml": "ö", "uuml": "ü", "Auml": "Ä", "Ouml": "Ö", "Uuml": "Ü", "szlig": "ß", "eacute": "é",
+    "egrave": "è", "agrave": "à", "ccedil": "ç", "ntilde": "ñ", "iexcl": "¡", "iquest": "¿",
+}
+_REFERENCE = rf"&(?:{'|'.join(ENTITIES)}|#(?:3[2-9]|[4-9][0-9]|1[01][0-9]|12[0-6]|1[6-9][0-9]|[2-9][0-9][0-9]|[1-9][0-9]{{3}}));"
+
+
+def plain_entities(html: Column) -> Column:
+    """Whether every ``&`` that may begin a reference begins one that ``decode_entities`` knows."""
+    return F.regexp_count(html, F.lit("&[#A-Za-z]")) == F.regexp_count(html, F.lit(_REFERENCE))
+
+
+def decode_entities(text: Column) -> Column:
+    """Known names and decimal numbers up to 9999 decoded, each once."""
+    names = F.create_map(*(F.lit(x) for item in ENTITIES.items() for x in item))
+
+    def character(name: Column) -> Column:
+        code = F.lpad(F.hex(F.try_to_number(F.substring(name, F.lit(2), F.length(name)), F.lit("9999")).cast("long")), 8, "0")
+        return F.when(name.startswith("#"), F.decode(F.unhex(code), "UTF-32")).otherwise(F.element_at(names, name))
+
+    found = F.transform(
+        F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(0)), lambda r: character(F.substring(r, F.lit(2), F.length(r) - 2))
+    )
+    pieces = F.zip_with(F.split(text, _REFERENCE), found, lambda gap, c: F.concat(gap, F.coalesce(c, F.lit(""))))
+    return F.array_join(pieces, "")
+
+
 def collapse_blank_lines(text: Column) -> Column:
     """At most one blank line in a row, none at the ends, for stripped lines."""
     return strip(F.regexp_replace(text, r"\n{3,}", "\n\n"))

@@ -88,10 +88,10 @@ def markup_to_text(
 ) -> DataFrame:
     """Drop garbage and hidden elements, break at tags, decode entities.
 
-    Patterns serve well-formed rows inside the JVM. Only rows with entities,
+    Patterns serve well-formed rows inside the JVM. Only rows with rare entities,
     hidden elements or unpaired garbage tags are handed to the tree helper.
     """
-    html, flat, tree, early = F.col(column), f"{_P}flat", f"{_P}tree", f"{_P}early"
+    html, flat, tree, early, plain = F.col(column), f"{_P}flat", f"{_P}tree", f"{_P}early", f"{_P}plain"
     has_tags = html.contains("<") & html.contains(">") if has_tags is None else has_tags
     has_entities = html.rlike("&[#A-Za-z]") if has_entities is None else has_entities
     by_pattern = has_tags & ~F.col(early)
@@ -99,18 +99,19 @@ def markup_to_text(
     return (
         df.withColumn(
             early,
-            has_entities | (has_tags & (text.hides_elements(html) | text.garbage_is_unpaired(html))),
+            (has_entities & ~text.plain_entities(html)) | (has_tags & (text.hides_elements(html) | text.garbage_is_unpaired(html))),
         )
         .withColumn(flat, F.when(by_pattern, text.drop_garbage(html)).otherwise(html))
         .withColumn(tree, F.when(needs_tree, html))
+        .withColumn(plain, F.when(by_pattern, text.break_tags(F.col(flat))).otherwise(F.col(flat)))
         .withColumn(
             out,
             F.coalesce(
                 html_tree.tree_text(F.col(tree)),
-                F.when(by_pattern, text.break_tags(F.col(flat))).otherwise(F.col(flat)),
+                F.when(has_entities, text.decode_entities(F.col(plain))).otherwise(F.col(plain)),
             ),
         )
-        .drop(flat, tree, early)
+        .drop(flat, tree, early, plain)
     )
 
 

@@ -153,3 +153,35 @@ def test_import_job_twice(spark, tmp_path):
     assert table.read().count() == 1
     assert jobs.import_messages(raw, table).first()["created"] == 0
     assert table.read().count() == 1
+
+
+def test_encoded_words_like_the_library(values):
+    import base64
+    import random
+
+    rng = random.Random(7)
+
+    def word():
+        text = "".join(rng.choice("abc ÄßИ=?_%+.é") for _ in range(rng.randint(1, 6)))
+        charset = rng.choice(["utf-8", "UTF-8", "us-ascii", "iso-8859-1", "nonsense"])
+        try:
+            data = text.encode(charset)
+        except (LookupError, UnicodeEncodeError):
+            data = text.encode()
+        if rng.random() < 0.5:
+            return f"=?{charset}?B?{base64.b64encode(data).decode()}?="
+        return f"=?{charset}?q?{''.join(chr(b) if chr(b).isalnum() and b < 128 else '_' if b == 32 else f'={b:02X}' for b in data)}?="
+
+    items = ["".join(rng.choice([word(), word(), "text", " ", "  ", "\n ", "a b", "(x)", "=?", "?="]) for _ in range(rng.randint(1, 6))) for _ in range(600)]
+    items += ["=?utf-8?B?!!!?=", "=?utf-8?q?=GG?=", "=?utf-8?b??=", "=?utf-8?q?=FF?= x", "", None]
+    assert values(mime.decode_mime_words, items) == [mime.decoded(x) for x in items]
+
+
+def test_dates_like_the_library(values):
+    items = [
+        "Mon, 1 Jan 2024 10:00:00 +0200", "01 Jan 2024 10:00 -0130", "Tue, 02 Jan 2024 03:04:05 GMT (x)", "2 Jan 24 03:04:05 EST",
+        "Mon, 1 Jan 2024 10:00:00", "no date", "", None, "Mon, 31 Feb 2024 10:00:00 +0000", "1 jan 2024 10:00:00 +0000",
+        "Mon,  1  Jan 2024  10:00:00  PDT", "1 Jan 2024 10:00:00 +2500", "1 Jan 2024 25:00:00 +0000", "1 Jan 0001 00:00:00 +0000",
+    ]
+    naive = [t and t.replace(tzinfo=None) for t in map(mime.sent_time, items)]
+    assert values(lambda c: F.date_format(mime.sent_times(c), "yyyy-MM-dd HH:mm:ss"), items) == [t and t.isoformat(" ") for t in naive]
