@@ -26,12 +26,17 @@ HEADLINES = [
     "i16_run_counters",
     "v5_point_ids",
     "v9_ingest_job",
+    "s5_insert_if_absent",
+    "s6_update_bodies",
     "s8_upsert_points",
+    "s8_point_table",
+    "c19_clean_in_place",
     "f4_newest_per_thread",
     "t1_recent",
     "e4_events",
     "e6_resume",
     "e14_step_inputs",
+    "r1_import_stream",
     "r2_vectorize_stream",
     "r4_resume_stream",
 ]
