@@ -177,7 +177,7 @@ class GrayTree:
         self.starts = [np.arange(len(codes))]
         self.pattern, self.mask = [codes], [np.full(len(codes), ~np.uint64(0))]
         self.first_child: list[np.ndarray] = []
-        group = groups
+        self.groups = group = groups
         while len(group) > len(np.unique(group)):
             opens = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
             place = np.arange(len(group)) - np.repeat(opens, np.diff(np.append(opens, len(group))))
@@ -195,6 +195,10 @@ class GrayTree:
 
     def link(self, limit: int, sets: _Sets) -> None:
         """Unite all codes of a group within ``limit`` bits, top down, a block of node pairs at a time."""
+        # Neighbours in Gray order first: dense groups then are mostly one set, and pruned as such.
+        codes = self.pattern[0]
+        near = (np.bitwise_count(codes[1:] ^ codes[:-1]) <= limit) & (self.groups[1:] == self.groups[:-1])
+        sets.join(np.flatnonzero(near), np.flatnonzero(near) + 1)
         top = len(self.pattern) - 1
         nodes = np.arange(len(self.pattern[top]))
         work = [(top, nodes[at : at + PAIRS], nodes[at : at + PAIRS]) for at in range(0, len(nodes), PAIRS)]
