@@ -30,7 +30,7 @@ END_ID = 1
 #: Tokens that are packed together.
 GROUP_TOKENS = 1 << 22
 #: Fillings looked at in the search of one group; the best solution so far counts.
-STEPS = 1500
+STEPS = 400
 #: Fillings kept for one sequence.
 CHOICES = 6
 #: Texts whose words are looked up together, and bytes of a text that is read in stretches.
