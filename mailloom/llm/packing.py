@@ -13,7 +13,7 @@ import math
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -29,10 +29,12 @@ CAPACITY = 4096
 END_ID = 1
 #: Tokens that are packed together.
 GROUP_TOKENS = 1 << 22
-#: Fillings looked at in the search of one group; the best solution so far counts.
-STEPS = 400
-#: Fillings kept for one sequence.
-CHOICES = 6
+#: Steps for each piece in the search of one group; the best solution so far counts.
+STEPS = 40
+#: Pairs and sizes that are tried before all fillings of a sequence are gone through.
+QUICK, QUICK_TRIPLES = 3, 64
+#: Fillings that each further one is compared with.
+COMPARED = 16
 #: Texts whose words are looked up together, and bytes of a text that is read in stretches.
 GROUP, LONG = 512, 1 << 20
 
@@ -122,97 +124,171 @@ def _fits_inside(small: tuple[int, ...], large: tuple[int, ...]) -> bool:
 
 
 class BinCompletion:
-    """Branch and bound over the fillings of one bin after the other."""
+    """Branch and bound over the fillings of one bin after the other.
+
+    The sizes left are also the bits of an integer and of its mirror image, so the
+    largest size that fits and the pairs with a given sum are one operation each.
+    """
 
     def __init__(self, sizes: list[int], capacity: int):
-        self.capacity, self.total = capacity, sum(sizes)
-        self.counts = np.bincount(sizes, minlength=capacity + 1)
+        self.capacity, self.total, self.pieces = capacity, sum(sizes), len(sizes)
+        self.counts = np.bincount(sizes, minlength=capacity + 1).tolist()
+        self.left = sum(1 << k for k, n in enumerate(self.counts) if n)
+        self.mirror = sum(1 << (capacity - k) for k, n in enumerate(self.counts) if n)
         self.bound = -(-self.total // capacity)
         self.best = best_fit(sizes, capacity)
+        self.steps = 0
+
+    def _take(self, size: int) -> None:
+        self.counts[size] -= 1
+        if not self.counts[size]:
+            self.left ^= 1 << size
+            self.mirror ^= 1 << (self.capacity - size)
+
+    def _give(self, size: int) -> None:
+        if not self.counts[size]:
+            self.left ^= 1 << size
+            self.mirror ^= 1 << (self.capacity - size)
+        self.counts[size] += 1
+
+    def _pairs(self, room: int) -> Iterator[tuple[int, int]]:
+        """Two sizes left that fill ``room``, the most unequal first."""
+        both = (self.left & (self.mirror >> (self.capacity - room))) >> -(-room // 2) if room > 0 else 0
+        while both:
+            a = both.bit_length() - 1
+            both ^= 1 << a
+            a += -(-room // 2)
+            if 2 * a > room or self.counts[a] > 1:
+                yield a, room - a
+
+    def _quick(self, room: int) -> list[tuple[int, ...]]:
+        """Some fillings without waste of few and large pieces, to be tried first."""
+        start: list[int] = []
+        while (most := (self.left & ((2 << room) - 1)).bit_length() - 1) > 0 and room > 3 * most:
+            self._take(most)
+            start.append(most)
+            room -= most
+        found = [()] if not room else [(room,)] if self.counts[room] else []
+        found += islice(self._pairs(room), QUICK)
+        sizes = self.left & ((1 << room) - 1)
+        for _ in range(QUICK_TRIPLES):
+            if found or not sizes:
+                break
+            a = sizes.bit_length() - 1
+            sizes ^= 1 << a
+            self._take(a)
+            found += [(a, *pair) for pair in islice(self._pairs(room - a), 1)]
+            self._give(a)
+            self.steps -= 1
+        for size in start:
+            self._give(size)
+        self.steps -= len(start) + 1
+        return [tuple(sorted((*start, *f), reverse=True)) for f in found]
+
+    def _sums(self, room: int) -> tuple[list[int], list[int]]:
+        """Sizes left up to ``room``, and for each number of them the sums they make, as bits."""
+        sizes = [k for k in range(1, room + 1) if self.counts[k]]
+        sums, within = [1], (2 << room) - 1
+        for size in sizes:
+            made, copies, batch = sums[-1], min(self.counts[size], room // size), 1
+            while copies > 0:
+                made |= made << (min(batch, copies) * size)
+                copies, batch = copies - batch, 2 * batch
+            sums.append(made & within)
+        self.steps -= len(sizes) // 4 + 1
+        return sizes, sums
+
+    def _all(self, room: int, slack: int) -> Iterator[tuple[int, ...]]:
+        """Every set of sizes left that leaves at most ``slack`` of ``room`` and no room for one more, least waste first.
+
+        Only sums that smaller sizes can make are followed, so no branch is in vain.
+        What the search takes between two fillings it gives back before the next;
+        the sums are made again then, as a thousand open bins cannot keep theirs.
+        """
+        sizes, sums = self._sums(room)
+        goal = room
+        while (goal := (sums[-1] & ((2 << goal) - 1)).bit_length() - 1) >= max(0, room - slack):
+            # Size number and copies of it; the next number is below the one before.
+            path: list[tuple[int, int]] = []
+            rest, at, copies = goal, len(sizes), None
+            while True:
+                self.steps -= 1
+                if self.steps < 0:
+                    return
+                if rest == 0 and copies is None:
+                    used = dict(path)
+                    spare = next((s for k, s in enumerate(sizes, 1) if self.counts[s] > used.get(k, 0)), room + 1)
+                    if spare > room - goal:
+                        yield tuple(sizes[k - 1] for k, n in path for _ in range(n))
+                        sizes, sums = self._sums(room)
+                elif at and sums[at] >> rest & 1:
+                    size = sizes[at - 1]
+                    if copies is None:
+                        copies = min(self.counts[size], rest // size)
+                    while copies and not sums[at - 1] >> (rest - copies * size) & 1:
+                        copies -= 1
+                    if copies:
+                        path.append((at, copies))
+                        rest, at, copies = rest - copies * size, at - 1, None
+                    else:
+                        at, copies = at - 1, None
+                    continue
+                if not path:
+                    break
+                at, copies = path.pop()
+                rest += copies * sizes[at - 1]
+                copies -= 1
+                if not copies:
+                    at, copies = at - 1, None
+            goal -= 1
+            if goal < 0:
+                break
 
-    def _below(self) -> np.ndarray:
-        """For each number, the largest size left that does not exceed it (0: none)."""
-        return np.maximum.accumulate(np.where(self.counts > 0, np.arange(self.capacity + 1), 0))
-
-    def fillings(self, room: int) -> list[tuple[int, ...]]:
-        """Sets of sizes left that fill ``room`` best, none inside another, least waste first."""
-        below = self._below()
-        single = int(below[room])
-        if not single:
-            return [()]
-        found: set[tuple[int, ...]] = {(single,)}
-        if single < room:
-            sizes = np.flatnonzero(self.counts[: room + 1])
-            sizes = sizes[sizes > 0]
-            found.update(self._pairs(sizes, room, below, single))
-            if max(map(sum, found)) < room:
-                for first in sizes[::-1][:12].tolist():
-                    self.counts[first] -= 1
-                    more = self._below()
-                    found.update((first, *pair) for pair in self._pairs(sizes[sizes <= first], room - first, more, single - first, first))
-                    self.counts[first] += 1
-        found = {self._extended(f, room) for f in found}
-        kept: list[tuple[int, ...]] = []
-        for one in sorted(found, key=lambda f: (-sum(f), len(f), f))[: 3 * CHOICES]:
-            if not any(_fits_inside(one, k) for k in kept):
-                kept.append(one)
-        return kept[:CHOICES]
-
-    def _pairs(self, sizes: np.ndarray, room: int, below: np.ndarray, over: int, most: int | None = None) -> list[tuple[int, int]]:
-        """The fullest pairs of sizes that fit in ``room`` and are over a sum already reached."""
-        a = sizes[sizes < room]
-        if most is not None:
-            a = a[(a <= most) & (self.counts[a] > 0)]
-        if not len(a):
-            return []
-        partner = below[np.minimum(room - a, a)]
-        alone = (partner == a) & (self.counts[a] < 2)
-        partner = np.where(alone, below[np.maximum(a - 1, 0)], partner)
-        sums = np.where(partner > 0, a + partner, 0)
-        best = np.argsort(-sums, kind="stable")[:CHOICES]
-        return [(int(a[k]), int(partner[k])) for k in best if sums[k] > max(over, 0)]
-
-    def _extended(self, filling: tuple[int, ...], room: int) -> tuple[int, ...]:
-        """With the largest sizes that still fit."""
-        out = list(filling)
-        np.subtract.at(self.counts, out, 1)
-        while (size := int(self._below()[room - sum(out)])) > 0:
-            self.counts[size] -= 1
-            out.append(size)
-        np.add.at(self.counts, out, 1)
-        return tuple(sorted(out, reverse=True))
-
-    def solve(self, steps: int = STEPS) -> list[list[int]]:
-        """Fewest bins found; surely fewest if the bound is met or the search ended before ``steps``."""
-        waste, depth = 0, []
-        while len(self.best) > self.bound and steps > 0:
-            allowed = (len(self.best) - 1) * self.capacity - self.total
-            left = np.flatnonzero(self.counts)
-            if len(left) and waste <= allowed:
-                top = int(left[-1])
-                self.counts[top] -= 1
-                room = self.capacity - top
-                choices = [f for f in self.fillings(room) if waste + room - sum(f) <= allowed]
-                self.counts[top] += 1
-                steps -= 1
-                depth.append([top, choices, None])
-            elif not len(left) and len(depth) < len(self.best):
-                self.best = [[top, *chosen] for top, _, chosen in depth]
+    def _fillings(self, room: int, slack: int) -> Iterator[tuple[int, ...]]:
+        """Fillings that are not inside one before: quick ones, then all in order of waste."""
+        before: list[tuple[int, ...]] = []
+        for one in chain(self._quick(room), self._all(room, slack)):
+            if any(_fits_inside(one, b) for b in before[:COMPARED]):
                 continue
-            # Undo the last choices until one has an alternative left.
-            while depth:
-                top, choices, chosen = depth[-1]
-                if chosen is not None:
-                    np.add.at(self.counts, [top, *chosen], 1)
-                    waste -= self.capacity - top - sum(chosen)
-                    depth[-1][2] = None
-                if choices:
-                    depth[-1][2] = chosen = choices.pop(0)
-                    np.subtract.at(self.counts, [top, *chosen], 1)
-                    waste += self.capacity - top - sum(chosen)
+            before.append(one)
+            yield one
+
+    def solve(self, steps: int | None = None) -> list[list[int]]:
+        """Fewest bins found; surely fewest if the bound is met or the search ended before ``steps``.
+
+        A step places a piece or looks at a size. Without a number there are ``STEPS``
+        for each piece, which is several times what one whole solution takes.
+        """
+        self.steps = STEPS * self.pieces if steps is None else steps
+        waste, bins, open_bins = 0, [], []
+        while len(self.best) > self.bound and self.steps > 0:
+            slack = (len(self.best) - 1) * self.capacity - self.total - waste
+            if not self.left:
+                if slack >= 0:
+                    self.best = [list(b) for b in bins]
+            elif slack >= 0:
+                top = self.left.bit_length() - 1
+                self._take(top)
+                open_bins.append((top, self._fillings(self.capacity - top, slack)))
+                bins.append(None)
+            # Replace the last filling by its next, or drop its bin if there is none.
+            while open_bins:
+                top, fillings = open_bins[-1]
+                if bins[-1] is not None:
+                    for size in bins[-1][1:]:
+                        self._give(size)
+                    waste -= self.capacity - sum(bins[-1])
+                chosen = next(fillings, None)
+                if chosen is not None and self.steps > 0:
+                    for size in chosen:
+                        self._take(size)
+                    bins[-1] = (top, *chosen)
+                    waste += self.capacity - sum(bins[-1])
                     break
-                depth.pop()
-            if not depth:
+                self._give(top)
+                open_bins.pop()
+                bins.pop()
+            if not open_bins:
                 break
         return self.best
 

@@ -241,6 +241,15 @@ def test_bin_completion_beats_best_fit():
     assert len(packing.BinCompletion(sizes, 100).solve()) == 8 < len(packing.best_fit(sizes, 100))
 
 
+def test_search_improves_a_group_of_production_size():
+    lengths = np.random.default_rng(0).lognormal(6.2, 0.9, 5000).astype(int) + 1
+    group = packing.BinCompletion(np.clip(lengths, 1, 4095).tolist(), 4096)
+    assert len(group.best) == group.bound + 1 == 883
+    bins = group.solve()
+    assert len(bins) == group.bound and sorted(sum(map(list, bins), [])) == sorted(np.clip(lengths, 1, 4095).tolist())
+    assert max(map(sum, bins)) <= 4096
+
+
 def test_top_k_of_odd_vectors(spark, monkeypatch):
     monkeypatch.setattr(topk, "TILE", 7)
     monkeypatch.setattr(topk, "ROWS", 2)
