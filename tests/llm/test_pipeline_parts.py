@@ -5,6 +5,7 @@ import html
 import random
 import re
 import zlib
+from itertools import product
 
 import numpy as np
 import pytest
@@ -241,6 +242,25 @@ def test_bin_completion_beats_best_fit():
     assert len(packing.BinCompletion(sizes, 100).solve()) == 8 < len(packing.best_fit(sizes, 100))
 
 
+@pytest.mark.parametrize("sizes", [[52, 43, 28, 22, 16, 16, 8, 8, 7], [62, 44, 35, 17, 12, 10, 7, 5, 4, 4]])
+def test_search_reaches_fillings_of_many_pieces(sizes):
+    assert len(packing.BinCompletion(sizes, 100).solve()) == 2 < len(packing.best_fit(sizes, 100))
+
+
+def test_all_fillings_come_in_order_of_waste():
+    sizes = [31, 29, 23, 23, 17, 11, 7, 5, 5, 2]
+    group = packing.BinCompletion(sizes, 100)
+    group.steps = 10**6
+    found = list(group._all(60, 60))
+    want = set()
+    for chosen in product([False, True], repeat=len(sizes)):
+        spare = 60 - sum(s for s, c in zip(sizes, chosen) if c)
+        if spare >= 0 and all(c or s > spare for s, c in zip(sizes, chosen)):
+            want.add(tuple(s for s, c in zip(sizes, chosen) if c))
+    assert len(found) == len(want) and set(found) == want
+    assert [sum(f) for f in found] == sorted(map(sum, found), reverse=True)
+
+
 def test_search_improves_a_group_of_production_size():
     lengths = np.random.default_rng(0).lognormal(6.2, 0.9, 5000).astype(int) + 1
     group = packing.BinCompletion(np.clip(lengths, 1, 4095).tolist(), 4096)
