@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailloom.llm import chat, decontamination, html_text, language, line_dedup, packing, pii, secrets, simhash, topk
+from mailloom.llm import (
+    chat,
+    decontamination,
+    html_text,
+    language,
+    line_dedup,
+    packing,
+    pii,
+    quality,
+    secrets,
+    simhash,
+    topk,
+)
 from mailloom.llm.common import sha256_hex, spans_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -173,3 +185,10 @@ def _(spark, sf):
     pages = table(spark, sf, "pages")
     found = html_text.extract(pages, html_text.train_labeller(pages))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_blocks", "n_kept")
+
+
+@query("op11_quality")
+def _(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    found = quality.score(docs, quality.train_model(docs, table(spark, sf, "labels")))
+    return found.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
