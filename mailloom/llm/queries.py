@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from mailloom.llm import (
     chat,
     decontamination,
+    divergence,
     html_text,
     language,
     line_dedup,
@@ -192,3 +193,31 @@ def _(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     found = quality.score(docs, quality.train_model(docs, table(spark, sf, "labels")))
     return found.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+DIVERGENCE_SQL = r"""
+with docs as (select row_number() over () as d, coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as text from documents),
+said as (select d, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+ '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from docs),
+kept as (select lang, term, count(*)::hugeint as c from said group by lang, term having count(distinct d) >= 30),
+totals as (select lang, count(*) as v, sum(c)::hugeint as n from kept group by lang),
+used as (select s.lang, s.source, s.term, count(*)::hugeint as c from said s join kept using (lang, term) group by all),
+named as (select distinct lang, source from docs),
+sums as (select lang, source, coalesce(sum(c), 0)::hugeint as n from named left join used using (lang, source) group by all),
+cells as (select g.lang, g.source, k.term, coalesce(u.c, 0) as c, g.n, t.v, k.c as cl, t.n as nl
+ from sums g join kept k using (lang) join totals t using (lang) left join used u using (lang, source, term)),
+shares as (select lang, source, term, c, 1 + (1000000000 * (c + 5)) // (n + 5 * v) as p, 1 + (1000000000 * (cl + 5)) // (nl + 5 * v) as q from cells),
+pairs as (select a.lang, a.source, 'pair' as part, b.source as item,
+ coalesce((select sum(abs(x.p - y.p)) from shares x join shares y using (lang, term)
+  where x.lang = a.lang and x.source = a.source and y.source = b.source), 0)::bigint as value
+ from named a join named b on a.lang = b.lang and a.source <> b.source),
+terms as (select lang, source, 'term' as part, term as item, (p - q)::bigint as value from shares where c > 0 and p > q),
+ranked as (select *, row_number() over (partition by lang, source, part order by value desc, item)::integer as rank
+ from (select * from pairs union all select * from terms))
+select * from ranked where part = 'pair' or rank <= 50
+"""
+
+
+@query("op12_divergence", DIVERGENCE_SQL)
+def _(spark, sf):
+    return divergence.audit(table(spark, sf, "documents"))
