@@ -20,6 +20,7 @@ from mailloom.llm import (
     secrets,
     simhash,
     topk,
+    whitening,
 )
 from mailloom.llm.common import sha256_hex, spans_text
 
@@ -221,3 +222,9 @@ select * from ranked where part = 'pair' or rank <= 50
 @query("op12_divergence", DIVERGENCE_SQL)
 def _(spark, sf):
     return divergence.audit(table(spark, sf, "documents"))
+
+
+@query("op13_whitening")
+def _(spark, sf):
+    found = whitening.whiten(table(spark, sf, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))
