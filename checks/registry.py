@@ -30,6 +30,7 @@ from mailloom.session import new_work_folder
 from mailloom.sources.messages import read_messages
 from mailloom.sources.tables import EmailTable, PointTable
 from mailloom.streaming import jobs as streams
+from mailloom.streaming import plans as plan_streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -1310,7 +1311,37 @@ from ok q join ok r on q.type = 'new_request' and r.type = 'hitl_response' and r
 def _(spark, sf):
     rows = _threaded(streams.classify(_stream(spark, sf, "events", fixtures.EVENT_EMAILS_SQL), INTERNAL, "ts"))
     out = new_work_folder(spark, "resumed")
-    streams.resume_stream(rows, new_work_folder(spark, "waiting"), out, new_work_folder(spark, "check")).awaitTermination()
+    streams.resume_stream(rows, out, new_work_folder(spark, "check")).awaitTermination()
     return spark.read.parquet(out).select(
         "thread_id", "request_id", as_text("requested_at"), "response_id", as_text("answered_at")
     )
+
+
+@query(
+    "e8_plan_stream",
+    f"""with {STEPS}, events as (select *, turn_done or status = 'completed' as done from (select *, step_index % 4 = 1 or status = 'completed' as turn_done from plan_steps)),
+ results as (select plan_id, step_index, unnest(generate_series(1, n_artifacts)) as i from events where done),
+ flat as (select plan_id, string_agg(plan_id || '/' || step_index || '/' || i, ',' order by step_index, i) as artifacts from results group by 1),
+ heads as (select plan_id, min(step_index) filter (not done) as step_index, arg_min(type, step_index) filter (not done) as type,
+  count(*) filter (done) as completed, count(*) filter (done and plan_id % 5 = 0) as n_repeated from events group by 1)
+select h.plan_id, cast(coalesce(step_index, -1) as bigint) as step_index, type,
+ case when step_index is null then 'shutdown' else 'dispatch_execution_plan_step' end as route, completed, n_repeated,
+ coalesce(artifacts, '') as artifacts from heads h left join flat f on f.plan_id = h.plan_id""",
+)
+def _(spark, sf):
+    """E8 to E12 on a stream: steps and results in any order over several batches, some results twice."""
+    steps = fixtures.plan_steps(spark, sf)
+    done = (c("status") == rules.STEP_COMPLETED) | (c("step_index") % 4 == 1)
+    names = ("plan_id", "step_index", "type")
+    announced = steps.select(*names, F.lit(rules.STEP_PENDING).alias("status"), F.lit(None).cast("array<string>").alias("artifacts"))
+    results = steps.filter(done).select(*names, F.lit(None).cast("string").alias("status"), fixtures.artifacts(c("n_artifacts")).alias("artifacts"))
+    rows = announced.unionByName(results).unionByName(results.filter(c("plan_id") % 5 == 0))
+    folder, out = new_work_folder(spark, "plan-events"), new_work_folder(spark, "plan-progress")
+    rows.repartition(3, F.rand(7)).write.parquet(folder)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    streams.write_stream(plan_streams.advance(stream), out, new_work_folder(spark, "check")).awaitTermination()
+    last = plan_streams.standing(spark.read.parquet(out))
+    return last.select(
+        "plan_id", F.coalesce("step_index", F.lit(-1).cast("long")).alias("step_index"), "type", "route", "completed", F.size("repeated").cast("long").alias("n_repeated"),
+        F.array_join("artifacts", ",").alias("artifacts"),
+    )

@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from mailloom import rules
 from mailloom.operators import cleaning, events, importing
 from mailloom.plans.jobs import to_point_rows
-from mailloom.session import path_exists, staged
+from mailloom.session import staged
 from mailloom.sources.tables import EmailTable, PointTable
+from mailloom.streaming.state import keep_state_on_disk
 
 
 def import_stream(raw: DataFrame, table: EmailTable, checkpoint: str, *, order: str = "arrival") -> StreamingQuery:
@@ -106,46 +106,18 @@ def resume(requests: DataFrame, responses: DataFrame, *, time: str = "ts", wait:
     return asked.join(answered, within).drop("answered_thread")
 
 
-def resume_stream(
-    events_: DataFrame, store: str, out: str, checkpoint: str, *, time: str = "ts", digits: int = 2
-) -> StreamingQuery:
+def resume_stream(events_: DataFrame, out: str, checkpoint: str, *, time: str = "ts") -> StreamingQuery:
     """Emit each response with its request, however far apart they come and in either order.
 
-    Requests and responses wait in two tables below ``store``, in buckets by a
-    hash of the thread. A micro-batch is matched within itself and with what
-    waits in its own buckets, then added to the tables. Tables and output are
-    partitioned by the number of the batch, which is overwritten if the batch is
-    repeated, so each pair comes out once.
+    A join of the stream with itself on the thread: both sides wait in keyed state
+    without a watermark, so nothing expires, and each micro-batch reads only the
+    threads it brings. Events without a thread never match and are not kept. The
+    sink and the state share a checkpoint, so each pair comes out once, also after
+    a restart.
     """
-    kinds = {"asked": _asked, "answered": _answered}
-
-    def write(rows: DataFrame, path: str, batch_id: int, *parts: str) -> None:
-        numbered = rows.withColumn("batch", F.lit(batch_id).cast("long"))
-        writer = numbered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        writer.partitionBy("batch", *parts).parquet(path)
-
-    def match(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        bucket = F.substring(F.md5("thread_id"), 1, digits)
-        with staged(batch.select("thread_id", "message_id", "type", time).withColumn("bucket", bucket), "events") as here:
-            buckets = [r[0] for r in here.select("bucket").distinct().collect() if r[0] is not None]
-            new, waiting = {}, {}
-            for kind, pick in kinds.items():
-                new[kind] = pick(here, time)
-                path = f"{store}/{kind}"
-                waiting[kind] = new[kind].limit(0)
-                if path_exists(spark, path):
-                    schema = T.StructType([*new[kind].schema.fields, T.StructField("bucket", T.StringType()), T.StructField("batch", T.LongType())])
-                    held = spark.read.schema(schema).parquet(path).filter(F.col("bucket").isin(buckets))
-                    waiting[kind] = held.filter(F.col("batch") < batch_id).select(*new[kind].columns)
-            pairs = _matched(new["asked"].unionByName(waiting["asked"]), new["answered"]).unionByName(
-                _matched(new["asked"], waiting["answered"])
-            )
-            write(pairs, out, batch_id)
-            for kind, rows in new.items():
-                write(rows.withColumn("bucket", bucket), f"{store}/{kind}", batch_id, "bucket")
-
-    return _run(events_.writeStream.foreachBatch(match), checkpoint)
+    keep_state_on_disk(events_.sparkSession)
+    named = events_.filter(F.col("thread_id").isNotNull())
+    return write_stream(_matched(_asked(named, time), _answered(named, time)), out, checkpoint)
 
 
 def write_stream(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

@@ -1,5 +1,7 @@
 """Sinks, look-ups, paging, plans and streams on small tables."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -305,7 +307,7 @@ def test_page_index_has_no_wide_column(spark, tmp_path):
 def test_answers_wait_without_limit(spark, tmp_path):
     """Requests and responses years apart, in either order, over several batches."""
     schema = "thread_id string, message_id string, type string, ts timestamp"
-    source, store, out = (str(tmp_path / n) for n in ("in", "store", "out"))
+    source, out = (str(tmp_path / n) for n in ("in", "out"))
     day = lambda n: F.timestamp_seconds(F.lit(86400 * n))
 
     def feed(*rows):
@@ -313,7 +315,7 @@ def test_answers_wait_without_limit(spark, tmp_path):
         for df in one:
             df.write.mode("append").parquet(source)
         stream = spark.readStream.schema(schema).parquet(source)
-        streams.resume_stream(stream, store, out, str(tmp_path / "check")).awaitTermination()
+        streams.resume_stream(stream, out, str(tmp_path / "check")).awaitTermination()
         pairs = spark.read.schema("request_id string, response_id string").parquet(out)
         return sorted((r["request_id"], r["response_id"]) for r in pairs.collect())
 
@@ -322,3 +324,46 @@ def test_answers_wait_without_limit(spark, tmp_path):
     assert feed(("t", "r1", "hitl_response", 1200), ("t", "r0", "hitl_response", 0)) == [("q1", "r1"), ("q2", "r2")]
     with pytest.raises(ValueError, match="resume_stream"):
         streams.resume(spark.readStream.schema(schema).parquet(source), spark.read.schema(schema).parquet(source))
+
+
+def test_plans_advance_in_any_order(spark, tmp_path):
+    """Steps and results shuffled over batches and restarts, against the steps of each plan taken together."""
+    from mailloom.streaming import plans
+
+    rng = random.Random(5)
+    schema = "plan_id string, step_index int, type string, status string, artifacts array<string>"
+    rows, want = [], {}
+    for plan in "abcdef":
+        steps = list(range(rng.randint(1, 6)))
+        done = {k: [f"{plan}{k}{i}" for i in range(rng.randint(0, 2))] for k in steps if rng.random() < 0.6}
+        twice = [k for k in done if rng.random() < 0.4]
+        rows += [(plan, k, f"t{k}", "pending", None) for k in steps] + [(plan, k, None, None, v) for k, v in done.items()]
+        rows += [(plan, k, None, None, done[k]) for k in twice]
+        left = [k for k in steps if k not in done]
+        head = (left[0], f"t{left[0]}", "dispatch_execution_plan_step") if left else (None, None, "shutdown")
+        want[plan] = (*head, len(done), [a for k in sorted(done) for a in done[k]], sorted(twice), [])
+    rows += [("z", 4, None, None, ["late"]), (None, 1, "t", "pending", None), ("z", None, "t", "pending", None)]
+    want["z"] = (None, None, "shutdown", 0, ["late"], [], [4])
+    rng.shuffle(rows)
+    source, out, check = (str(tmp_path / n) for n in ("in", "out", "check"))
+    for at in range(0, len(rows), len(rows) // 3 + 1):
+        spark.createDataFrame(rows[at : at + len(rows) // 3 + 1], schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        streams.write_stream(plans.advance(stream), out, check).awaitTermination()
+    got = {r[0]: tuple(r)[1:] for r in plans.standing(spark.read.parquet(out)).collect()}
+    assert got == want
+
+
+def test_resume_keeps_keyed_state(spark, tmp_path):
+    """The join is the engine's own, over state without a limit; nothing is written but pairs and checkpoint."""
+    schema = "thread_id string, message_id string, type string, ts timestamp"
+    spark.createDataFrame([("t", "q", "new_request"), ("t", "r", "hitl_response"), (None, "x", "new_request")], "thread_id string, message_id string, type string").withColumn(
+        "ts", F.timestamp_seconds(F.lit(5))
+    ).write.parquet(str(tmp_path / "in"))
+    query = streams.resume_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "check"))
+    query.awaitTermination()
+    (operator,) = query.recentProgress[0].stateOperators
+    assert operator.operatorName == "symmetricHashJoin" and operator.numRowsTotal == 2
+    assert "RocksDB" in str(operator.customMetrics) or "rocksdb" in str(operator.customMetrics)
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["check", "in", "out"]
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 1
