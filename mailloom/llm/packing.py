@@ -35,14 +35,13 @@ STEPS = 40
 QUICK, QUICK_TRIPLES = 3, 64
 #: Fillings that each further one is compared with.
 COMPARED = 16
-#: Texts whose words are looked up together, and bytes of a text that is read in stretches.
-GROUP, LONG = 512, 1 << 20
 
-def pieces_of(stretches: Iterator[bytes], capacity: int) -> Iterator[bytes]:
+
+def pieces_of(stretches: Iterator[np.ndarray], capacity: int) -> Iterator[bytes]:
     """The ids of a document and the end id, in pieces that are full but for the last."""
     rest = b""
-    for ids in chain(stretches, [np.array([END_ID], "<u4").tobytes()]):
-        rest += ids
+    for ids in chain(stretches, [np.array([END_ID], "<u4")]):
+        rest += ids.tobytes()
         full = len(rest) // (4 * capacity) * 4 * capacity
         for at in range(0, full, 4 * capacity):
             yield rest[at : at + 4 * capacity]
@@ -67,13 +66,8 @@ def tokenized_pieces(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = tokenizer_at(tokenizer_path)
         for batch in batches:
-            rows, ids, known = [], [], None
-            texts = [(t.as_py() or "").encode("utf-8", "replace") for t in batch.column(1)]
-            for k, text in enumerate(texts):
-                if k % GROUP == 0:
-                    short = [t.split() for t in texts[k : k + GROUP] if len(t) < LONG]
-                    known = tokenizer.ids_of(set().union(*short))
-                stretches = tokenizer.encode(text, known if len(text) < LONG else None)
+            rows, ids = [], []
+            for k, stretches in enumerate(tokenizer.encode(batch.column(1))):
                 for piece, data in enumerate(pieces_of(stretches, capacity)):
                     rows.append((k, piece, piece * capacity, len(data) // 4, zlib.crc32(data)))
                     if with_ids:

@@ -8,16 +8,22 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from mailloom.llm.common import words_in_pieces
 
 #: Words whose ids a worker remembers.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 20
 #: Words looked up at once.
 TOGETHER = 4000
-#: Words of plain letters and usual marks; the quick way takes these only.
-PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ.,;:!?]+")
-RUNS = re.compile("[a-zß-öø-ÿ]+|[.,;:!?]+")
+#: Bytes of short texts that are split together, and of a text that is read in stretches.
+GROUP, LONG = 16 << 20, 1 << 20
+#: Marks that the vocabulary joins to runs; the apostrophe has rules of its own.
+MARKS = r"!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~"
+#: Words of plain letters, digits and marks; the quick way takes these only. Each digit is a run.
+PLAIN = f"^[A-Za-zÀ-ÖØ-öø-ÿ0-9{MARKS}]+$"
+RUNS = f"([a-zß-öø-ÿ]+|[0-9]|[{MARKS}]+)"
 #: Ends of runs and of words in the text that the quick way encodes.
 RUN_END, WORD_END = "\0", "\1"
 
@@ -32,7 +38,7 @@ def _letter_bytes() -> dict[str, int]:
 
 
 class QuickWords:
-    """The same merges with a faster encoder, for words of plain letters.
+    """The same merges with a faster encoder, for words of plain letters, digits and marks.
 
     The vocabulary marks the last letter of a run by a suffix. Here a zero byte
     after the run plays that part: it joins the letter before it first of all,
@@ -53,27 +59,31 @@ class QuickWords:
         letters = sorted(byte_of, key=byte_of.get)
         order = [letter + suffix for letter in letters] + letters + joined
         ranks = {plain(token): rank for rank, token in enumerate(order)}
-        self.ids = np.array([vocabulary.get(token, 0) for token in order], "<u4")
+        self.ids = np.array([vocabulary.get(token, 0) for token in order], np.uint32)
         self.divider = ranks[WORD_END.encode()]
         self.encoder = tiktoken.Encoding(
             "runs", pat_str=r"[^\x00\x01]+\x00|\x01", mergeable_ranks=ranks, special_tokens={}
         )
 
-    def encode(self, words: list[str]) -> Iterator[bytes]:
-        text = RUNS.sub(r"\g<0>" + RUN_END, WORD_END.join(words).lower())
-        ranks = np.array(self.encoder.encode_ordinary(text), np.int64)
-        data, start = self.ids[ranks].tobytes(), 0
-        for end in (4 * np.flatnonzero(ranks == self.divider)).tolist():
-            yield data[start:end]
-            start = end + 4
-        yield data[start:]
+    def encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each word, and all ids."""
+        runs = pc.replace_substring_regex(pc.utf8_lower(words), RUNS, r"\1" + RUN_END)
+        bounds = pa.array([*range(0, len(runs), TOGETHER), len(runs)], pa.int32())
+        sizes, ids = [], []
+        for text in pc.binary_join(pa.ListArray.from_arrays(bounds, runs), WORD_END).to_pylist():
+            ranks = np.array(self.encoder.encode_ordinary(text), np.int64)
+            ends = np.flatnonzero(ranks == self.divider)
+            sizes.append(np.diff(ends, prepend=-1, append=len(ranks)) - 1)
+            ids.append(self.ids[np.delete(ranks, ends)])
+        return np.concatenate(sizes), np.concatenate(ids)
 
 
 class WordTokenizer:
-    """Ids of a text from the ids of its words.
+    """Ids of texts from the ids of their words.
 
     The vocabulary's words end at white space, so a text has the ids of its words
-    one after the other. Words that came twice are remembered.
+    one after the other. The distinct words of many texts are looked up together;
+    a worker remembers the ids of those it has met, in one flat array.
     """
 
     def __init__(self, path: str | None):
@@ -86,47 +96,107 @@ class WordTokenizer:
             path = public_tokenizers.path("word_bpe_49k.json")
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
-            model = json.load(file)["model"]
+            content = json.load(file)
+        model = content["model"]
+        # Whole tokens that the library looks for in any text; words with one are left to it.
+        added = [t["content"] for t in content.get("added_tokens") or []]
+        self.added = "(?i)" + "|".join(map(re.escape, added)) if added else None
         self.quick = None
         if model.get("type") == "BPE" and model.get("end_of_word_suffix"):
             self.quick = QuickWords(model["vocab"], model["merges"], model["end_of_word_suffix"])
-        self.known: dict[bytes, bytes] = {}
-        self.once: set[bytes] = set()
-
-    def ids_of(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """Each word with its ids as little-endian unsigned 32-bit numbers."""
-        if len(self.once) > REMEMBERED:
-            self.once.clear()
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        out: dict[bytes, bytes] = {}
-        plain: list[str] = []
-        odd: list[bytes] = []
-        for word in words:
-            ids = self.known.get(word)
-            if ids is not None:
-                out[word] = ids
-            elif self.quick and PLAIN.fullmatch(text := word.decode()):
-                plain.append(text)
-            else:
-                odd.append(word)
-        fresh: dict[bytes, bytes] = {}
-        for at in range(0, len(plain), TOGETHER):
-            some = plain[at : at + TOGETHER]
-            fresh.update(zip((w.encode() for w in some), self.quick.encode(some)))
-        if odd:
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in odd], add_special_tokens=False)
-            fresh.update(zip(odd, (np.array(one.ids, "<u4").tobytes() for one in found)))
-        again = self.once.intersection(fresh)
-        self.known.update((word, fresh[word]) for word in again)
-        self.once.update(fresh)
-        out.update(fresh)
-        return out
-
-    def encode(self, text: bytes, ids: dict[bytes, bytes] | None = None) -> Iterator[bytes]:
-        """Ids of a text, a stretch at a time; ``ids`` has those of its words if they are known already."""
-        for words in words_in_pieces(text):
-            yield b"".join(map((ids or self.ids_of(set(words))).__getitem__, words))
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = pa.array([], pa.string())
+        self.start, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _encoded(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each word, and all ids in order."""
+        sizes = np.zeros(len(words), np.int64)
+        plain = np.zeros(len(words), bool)
+        if self.quick:
+            plain = pc.match_substring_regex(words, PLAIN).to_numpy(zero_copy_only=False)
+            if self.added:
+                plain = plain & ~pc.match_substring_regex(words, self.added).to_numpy(zero_copy_only=False)
+        rest = np.flatnonzero(~plain)
+        odd = [e.ids for e in self.tokenizer.encode_batch_fast(words.take(pa.array(rest)).to_pylist(), add_special_tokens=False)]
+        sizes[rest] = [len(i) for i in odd]
+        if not plain.any():
+            return sizes, np.array([i for ids in odd for i in ids], np.uint32)
+        sizes[plain], quick_ids = self.quick.encode(words.filter(pa.array(plain)))
+        ids = np.empty(int(sizes.sum()), np.uint32)
+        of_plain = np.repeat(plain, sizes)
+        ids[of_plain] = quick_ids
+        ids[~of_plain] = [i for one in odd for i in one]
+        return sizes, ids
+
+    def places(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of some distinct words start in ``flat``, and how many they are."""
+        row = pc.fill_null(pc.index_in(words, self.known), -1).to_numpy()
+        fresh = np.flatnonzero(row < 0)
+        if len(fresh) and len(self.known) + len(fresh) > REMEMBERED and len(self.known) > len(words):
+            # Only the words of these texts stay.
+            held = np.flatnonzero(row >= 0)
+            start, size, flat = self.start[row[held]], self.size[row[held]], self.flat
+            self._forget()
+            self._add(words.take(pa.array(held)), size, _gathered(flat, start, size))
+            row = np.full(len(words), -1)
+            row[held] = np.arange(len(held))
+        if len(fresh):
+            first = len(self.known)
+            new = words.take(pa.array(fresh))
+            self._add(new, *self._encoded(new))
+            row = row.copy()
+            row[fresh] = np.arange(first, first + len(fresh))
+        return self.start[row], self.size[row]
+
+    def _add(self, words: pa.Array, sizes: np.ndarray, ids: np.ndarray) -> None:
+        self.known = pa.concat_arrays([self.known, words])
+        self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(sizes) - sizes))
+        self.size = np.concatenate((self.size, sizes))
+        self.flat = np.concatenate((self.flat, ids))
+
+    def ids_of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words that may repeat, and where those of each word end."""
+        coded = words.dictionary_encode()
+        start, size = self.places(coded.dictionary)
+        which = coded.indices.to_numpy()
+        sizes = size[which]
+        return _gathered(self.flat, start[which], sizes), np.cumsum(sizes)
+
+    def ids_of_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of short texts, and where those of each text end."""
+        split = pc.ascii_split_whitespace(texts)
+        ids, ends = self.ids_of_words(split.flatten())
+        last = split.offsets.to_numpy()[1:] - split.offsets[0].as_py()
+        return ids, np.concatenate(([0], ends))[last]
+
+    def stretches(self, text: bytes) -> Iterator[np.ndarray]:
+        """Ids of a long text, a stretch at a time."""
+        for words in words_in_pieces(text, LONG):
+            yield self.ids_of_words(pa.array(words, pa.binary()).cast(pa.string()))[0]
+
+    def encode(self, texts: pa.Array) -> Iterator[Iterator[np.ndarray]]:
+        """For each text in order its ids, in one stretch or several. NULL counts as empty."""
+        texts = pc.fill_null(texts, "")
+        size = pc.binary_length(texts).to_numpy().astype(np.int64)
+        group = np.cumsum(size) // GROUP
+        bounds = np.flatnonzero((np.diff(group) > 0) | (size[1:] >= LONG) | (size[:-1] >= LONG)) + 1
+        for first, last in zip([0, *bounds], [*bounds, len(texts)]):
+            if last - first == 1 and size[first] >= LONG:
+                yield self.stretches(texts[first].as_buffer().to_pybytes())
+            elif last > first:
+                ids, ends = self.ids_of_texts(texts.slice(first, last - first))
+                for a, b in zip([0, *ends], ends):
+                    yield iter([ids[a:b]])
+
+
+def _gathered(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches of ``flat`` with these starts and sizes, one after the other."""
+    ends = np.cumsum(size)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+    return flat[np.repeat((start - ends + size).astype(kind), size) + np.arange(total, dtype=kind)]
 
 
 def tokenizer_at(path: str | None) -> WordTokenizer:

@@ -396,3 +396,21 @@ def test_gradients_of_the_labeller():
 def test_blocks():
     got = [(b.text, b.path[-1]) for b in blocks_of('<div id="A-b"><p>x<b>y</b> &amp;amp; z<p>&lt;p&gt;<br>q</div><li>1<li>2<td a=">">t')]
     assert got == [("xy &amp; z", "p"), ("<p> q", "p"), ("1", "li"), ("2", "li"), ("t", "td")]
+
+
+def test_token_ids_of_all_kinds_of_words(monkeypatch):
+    """Long texts, many groups and a small memory, against the vocabulary's own library."""
+    import pyarrow as pa
+
+    from mailloom.llm import word_tokens
+
+    monkeypatch.setattr(word_tokens, "REMEMBERED", 300)
+    monkeypatch.setattr(word_tokens, "GROUP", 2000)
+    monkeypatch.setattr(word_tokens, "LONG", 5000)
+    rng = random.Random(4)
+    letters = "abcXYZéÜß0123456789.,;:!?#$%&*+-/=@^_`{|}~\\\"()[]<>' ́Ωж日"
+    texts = [None, "", " ", "<|ENDOFTEXT|> a<|endoftext|>b", "a " * 9000]
+    texts += ["".join(rng.choice(letters + "    \n") for _ in range(rng.randint(0, 400))) for _ in range(200)]
+    tokenizer = word_tokens.WordTokenizer(None)
+    got = [np.concatenate([*stretches, np.zeros(0, np.uint32)]).tolist() for stretches in tokenizer.encode(pa.array(texts))]
+    assert got == [tokenizer.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
