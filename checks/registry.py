@@ -217,9 +217,8 @@ def _(spark, sf):
 def _(spark, sf):
     old, new = _old_and_new_points(spark, sf)
     table = PointTable(spark, new_work_folder(spark, "points"))
-    table.upsert(old)
-    table.upsert(new)
-    table.compact()
+    PointTable(spark, table.path).upsert(old)
+    PointTable(spark, table.path).upsert(new)
     return table.read().select("id", "payload.*", F.size("vector").alias("dim"))
 
 

@@ -67,3 +67,18 @@ def upsert_points(
     else:
         kept = points.join(new.select("id"), "id", "left_anti")
     return kept.select(*new.columns).unionByName(new)
+
+
+def merge_points(points: DataFrame, new: DataFrame, *, replace_emails: bool = False) -> DataFrame:
+    """As ``upsert_points`` for ids that ``new`` has once, as one full join by id.
+
+    A side that is stored in buckets by id stays where it is, and so do the rows of
+    the result; only ``new`` is dealt to the buckets.
+    """
+    names = [n for n in points.columns if n != "id"]
+    if replace_emails:
+        touched = new.select(F.col("payload.external_message_id").alias("__email")).distinct()
+        points = points.join(touched, points["payload.external_message_id"] == touched["__email"], "left_anti")
+    old = points.select("id", F.struct(*names).alias("__old"))
+    both = old.join(new.select("id", F.struct(*names).alias("__new")), "id", "full_outer")
+    return both.select("id", F.coalesce("__new", "__old").alias("__one")).select("id", "__one.*")

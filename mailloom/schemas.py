@@ -46,16 +46,6 @@ POINTS = T.StructType(
     ]
 )
 
-#: A point with the version of its upsert; a deleted one hides older versions of its id.
-POINT_VERSIONS = T.StructType(
-    [
-        T.StructField("id", T.StringType(), False),
-        *POINTS.fields[1:],
-        T.StructField("deleted", T.BooleanType(), False),
-        T.StructField("version", T.LongType()),
-    ]
-)
-
 PLAN_STEP = T.StructType(
     [
         T.StructField("status", T.StringType()),

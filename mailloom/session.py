@@ -87,14 +87,6 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         stream.close()
 
 
-def partition_values(spark: SparkSession, path: str, column: str) -> list[str]:
-    """Values of the first partition column of a table, from its folder names."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    listed = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
-    names = [status.getPath().getName() for status in listed]
-    return [name.split("=", 1)[1] for name in names if name.startswith(f"{column}=")]
-
-
 def _write_once(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     folder = new_work_folder(df.sparkSession, label)
     df.write.mode("errorifexists").parquet(folder)

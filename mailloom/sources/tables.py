@@ -2,9 +2,8 @@
 
 ``emails`` is laid out in buckets by the first hex digits of the row id, which
 is a hash of the external id: even in size, known from a key alone, and the
-unit of rewriting. ``points`` takes whole batches of upserts as appended
-versions, so an upsert costs as much as its batch; reading takes the last
-version per id and ``compact`` folds the versions.
+unit of rewriting. ``points`` is a Spark table in buckets by id, and an upsert is
+one join with it, written anew.
 
 Rows that a table does not take are not lost: they go to a folder beside it,
 with the reason.
@@ -13,7 +12,7 @@ with the reason.
 from __future__ import annotations
 
 import json
-import time
+import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -21,10 +20,9 @@ from pyspark.sql import types as T
 
 from mailloom.functions.ids import bucket
 from mailloom.operators import embedding, importing, upsert
-from mailloom.schemas import EMAILS, POINT_VERSIONS, POINTS
+from mailloom.schemas import EMAILS, POINTS
 from mailloom.session import (
     observed,
-    partition_values,
     path_exists,
     read_text,
     remove_path,
@@ -49,9 +47,15 @@ class _Folder:
                 raise ValueError(f"{self.path} was written with {name}={stored[name]}, not {given}")
             return stored[name]
         value = default if given is None else given
-        write_text(self.spark, file, json.dumps({**stored, name: value}))
+        if value is not None:
+            self._store(name, value)
         return value
 
+    def _store(self, name: str, value) -> None:
+        file = f"{self.path}/_settings.json"
+        stored = json.loads(read_text(self.spark, file) or "{}")
+        write_text(self.spark, file, json.dumps({**stored, name: value}))
+
     @property
     def rejected_path(self) -> str:
         return f"{self.path}_rejected"
@@ -156,72 +160,63 @@ class EmailTable(_Folder):
 
 
 class PointTable(_Folder):
-    """The vector points at a path; ``dim`` is the size that vectors must have, if any.
+    """The vector points at a path, as a Spark table in buckets by id; ``dim`` is the size that vectors must have, if any.
 
-    After ``compact_after`` upserts the versions are folded into one.
+    Joins by id with the table, reading or upserting, do not move its rows. An
+    upsert writes the whole table anew beside the old one and then points to it, so
+    it holds entirely or not at all; one that brings more at once costs no more.
+    Buckets of about a gigabyte suit; their number is stored with the table.
     """
 
-    def __init__(self, spark: SparkSession, path: str, dim: int | None = None, compact_after: int = 64):
+    def __init__(self, spark: SparkSession, path: str, dim: int | None = None, buckets: int | None = None):
         super().__init__(spark, path)
         self.dim = self._settled("dim", dim, None)
-        self.compact_after = compact_after
+        self.buckets = self._settled("buckets", buckets, 16)
 
-    def versions(self) -> list[int]:
-        """Versions held, one per upsert since the last compaction."""
-        return sorted(map(int, partition_values(self.spark, self.path, "version")))
-
-    def _all_rows(self) -> DataFrame:
-        return self.spark.read.schema(POINT_VERSIONS).parquet(self.path)
+    def _name(self, folder: str) -> str:
+        return f"points_{folder}"
 
     def read(self) -> DataFrame:
-        """Last written row per id; only the ids written more than once are matched. Writes nothing."""
-        rows = self._all_rows()
-        if len(self.versions()) > 1:
-            rows = importing.keep_one_per_key(rows, "version", "id", newest=True)
-        return rows.filter(~F.col("deleted")).select(*POINTS.names)
-
-    def _next_version(self) -> int:
-        return max([time.time_ns() // 1000, *(v + 1 for v in self.versions())])
-
-    def _append(self, points: DataFrame, deleted: Column, version: int) -> None:
-        rows = points.withColumn("deleted", deleted).select(*POINT_VERSIONS.names[:-1])
-        rows.withColumn("version", F.lit(version)).write.mode("append").partitionBy("version").parquet(self.path)
+        """All points; empty before the first write."""
+        folder = self._settled("rows", None, None)
+        if folder is None:
+            return self.spark.createDataFrame([], POINTS)
+        name = self._name(folder)
+        if not self.spark.catalog.tableExists(name):
+            fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in POINTS.fields)
+            place = f"{self.path}/{folder}".replace("'", "\\'")
+            self.spark.sql(
+                f"create table {name} ({fields}) using parquet clustered by (id) sorted by (id) into {self.buckets} buckets location '{place}'"
+            )
+        return self.spark.table(name)
+
+    def _write(self, points: DataFrame) -> None:
+        """Put ``points`` in place of all rows."""
+        old, new = self._settled("rows", None, None), uuid.uuid4().hex
+        writer = points.select(*POINTS.names).write.format("parquet").bucketBy(self.buckets, "id").sortBy("id")
+        writer.option("path", f"{self.path}/{new}").saveAsTable(self._name(new))
+        self._store("rows", new)
+        if old is not None:
+            self.spark.sql(f"drop table if exists {self._name(old)}")
+            remove_path(self.spark, f"{self.path}/{old}")
 
     def upsert(self, points: DataFrame, *, order: str | None = None, replace_emails: bool = False) -> int:
         """Write points over those with the same id; returns how many were written.
 
         Of points that share an id in the batch the last by ``order`` counts.
         Vectors of another size than ``dim`` are rejected. With
-        ``replace_emails`` the old points of the batch's emails go, so a shorter
-        email leaves no stale tail. Safe to repeat: a second copy has the same
-        content and a later version.
+        ``replace_emails`` the old points of the batch's emails go in the same
+        write, so a shorter email leaves no stale tail. Safe to repeat.
         """
         seen = Observation("upserted")
-        version = self._next_version()
         with staged(points, "points") as batch:
             good = batch
             if self.dim is not None:
                 good, bad = embedding.split_by_dim(batch, dim=self.dim)
                 self.reject(bad.withColumn("reason", F.lit(f"vector size is not {self.dim}")))
-            new = upsert.one_point_per_id(good, order)
-            if replace_emails:
-                # The old ids go first, under a version before that of the new points.
-                emails = new.select(F.col("payload.external_message_id").alias("__email")).distinct()
-                old = self.read().select("id", "payload", "vector")
-                stale = old.join(emails, F.col("payload.external_message_id") == F.col("__email"), "left_semi")
-                gone = stale.select("id", F.lit(None).cast(POINTS["payload"].dataType).alias("payload"), F.lit(None).cast("array<float>").alias("vector"))
-                self._append(gone, F.lit(True), version)
-                version += 1
-            self._append(new.select(*POINTS.names).observe(seen, F.count("*").alias("n")), F.lit(False), version)
-        if len(self.versions()) > self.compact_after:
-            self.compact()
+            new = upsert.one_point_per_id(good, order).select(*POINTS.names).observe(seen, F.count("*").alias("n"))
+            if self._settled("rows", None, None) is None:
+                self._write(new.repartition(self.buckets, "id"))
+            else:
+                self._write(upsert.merge_points(self.read(), new, replace_emails=replace_emails))
         return observed(seen, "n")["n"]
-
-    def compact(self) -> None:
-        """Fold all versions into one."""
-        old = self.versions()
-        if len(old) < 2:
-            return
-        self._append(self.read(), F.lit(False), self._next_version())
-        for version in old:
-            remove_path(self.spark, f"{self.path}/version={version}")

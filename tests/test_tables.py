@@ -99,9 +99,7 @@ def test_point_upserts(spark, tmp_path):
     table = PointTable(spark, str(tmp_path / "points"))
     assert table.read().count() == 0 and table.upsert(old) == 3 and table.upsert(new) == 2
     assert texts(table.read()) == merged
-    table.compact()
-    assert texts(table.read()) == merged
-    assert len(table.versions()) == 1
+    assert texts(PointTable(spark, table.path).read()) == merged
 
 
 def test_events(spark):
@@ -256,7 +254,7 @@ def vector_points(spark, rows):
 
 
 def test_points_of_one_batch(spark, tmp_path):
-    table = PointTable(spark, str(tmp_path / "points"), dim=2, compact_after=3)
+    table = PointTable(spark, str(tmp_path / "points"), dim=2, buckets=4)
     both = vector_points(spark, [("a", "m", "old", [1.0, 0.0]), ("a", "m", "new", [0.0, 1.0]), ("b", "m", "b", [1.0]), ("c", "n", "c", [1.0, 1.0])])
     numbered = both.withColumn("n", F.when(F.col("payload.chunk_text") == "new", 2).otherwise(1))
     assert table.upsert(numbered, order="n") == 2
@@ -264,13 +262,16 @@ def test_points_of_one_batch(spark, tmp_path):
     assert texts() == {"a": "new", "c": "c"}
     assert [(r["id"], r["reason"]) for r in table.rejected().collect()] == [("b", "vector size is not 2")]
     table.upsert(both)
-    table.compact()
-    assert table.read().count() == 2 and len(table.versions()) == 1
+    assert table.read().count() == 2
     table.upsert(vector_points(spark, [("d", "m", "d", [1.0, 1.0])]), replace_emails=True)
     assert texts() == {"c": "c", "d": "d"}
     for k in range(4):
         table.upsert(vector_points(spark, [("e", "m", str(k), [1.0, 1.0])]))
-    assert len(table.versions()) <= 4 and texts() == {"c": "c", "d": "d", "e": "3"}
+    assert texts() == {"c": "c", "d": "d", "e": "3"}
+    spark.sql(f"drop table {table._name(table._settled('rows', None, None))}")
+    assert PointTable(spark, str(tmp_path / "points")).read().count() == 3
+    folders = [p for p in (tmp_path / "points").iterdir() if p.is_dir()]
+    assert len(folders) == 1 and len(list(folders[0].glob("*.parquet"))) <= 4
     with pytest.raises(ValueError, match="dim=2"):
         PointTable(spark, str(tmp_path / "points"), dim=3)
 
@@ -367,3 +368,29 @@ def test_resume_keeps_keyed_state(spark, tmp_path):
     assert "RocksDB" in str(operator.customMetrics) or "rocksdb" in str(operator.customMetrics)
     assert sorted(p.name for p in tmp_path.iterdir()) == ["check", "in", "out"]
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_stored_points_are_not_moved(spark, tmp_path):
+    """Read with a join by id and upsert: an exchange for the new rows only."""
+    table = PointTable(spark, str(tmp_path / "points"), buckets=4)
+    table.upsert(vector_points(spark, [(f"p{k}", f"m{k}", "x", [1.0]) for k in range(40)]))
+    vector_points(spark, [(f"p{k}", f"m{k}", "y", [2.0]) for k in range(30, 50)]).write.parquet(str(tmp_path / "new"))
+    new = spark.read.parquet(str(tmp_path / "new"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for joined in (upsert.merge_points(table.read(), new), table.read().join(new.select("id"), "id")):
+            plan = joined._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange hashpartitioning(id") == 1 and "Bucketed: true" in plan, plan
+        merged = {r["id"]: r["payload"]["chunk_text"] for r in upsert.merge_points(table.read(), new).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert merged == {f"p{k}": "x" if k < 30 else "y" for k in range(50)}
+
+
+def test_failed_upsert_leaves_the_old_points(spark, tmp_path, monkeypatch):
+    table = PointTable(spark, str(tmp_path / "points"))
+    table.upsert(vector_points(spark, [("a", "m", "a", [1.0]), ("b", "m", "b", [1.0])]))
+    monkeypatch.setattr(table, "_store", lambda name, value: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        table.upsert(vector_points(spark, [("c", "m", "c", [1.0])]), replace_emails=True)
+    assert sorted(r["id"] for r in PointTable(spark, table.path).read().collect()) == ["a", "b"]
