@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,35 +67,92 @@ def with_matches(df: DataFrame, text: str, patterns: dict[str, tuple[str, int]])
     of the gaps between them, which are cut out only where there is a match. No
     pattern may match the empty string.
     """
-    found = {f"__all_{name}": F.regexp_extract_all(text, F.lit(p), F.lit(0)) for name, (p, _) in patterns.items()}
-    placed = {name: _places(F.col(text), F.col(f"__all_{name}"), p, group) for name, (p, group) in patterns.items()}
-    return settled(df.withColumns(found), placed).drop(*found)
+    steps = {f"__steps_{name}": _steps(F.col(text), p, group) for name, (p, group) in patterns.items()}
+    sums = {f"__sums_{name}": _running_sums(F.col(f"__steps_{name}"), lambda s: s["gap"] + s["hit"]) for name in patterns}
+    placed = {name: _placed(F.col(f"__steps_{name}"), F.col(f"__sums_{name}")) for name in patterns}
+    return settled(settled(settled(df, steps), sums), placed).drop(*steps, *sums)
 
 
-def _places(text: Column, found: Column, pattern: str, group: int) -> Column:
+def _steps(text: Column, pattern: str, group: int) -> Column:
+    """Length of the gap before each match, of the match, and its value."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = found if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    gaps = F.split(text, pattern, -1)
-    none = F.array().cast(PLACES)
-    steps = F.slice(F.arrays_zip(gaps.alias("gap"), found.alias("hit"), values.alias("value")), 1, F.size(found))
-    before = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    sizes = lambda strings: F.transform(strings, lambda s: F.length(s))
+    gaps = F.slice(F.split(text, pattern, -1), 1, F.size(found))
+    zipped = F.arrays_zip(sizes(gaps).alias("gap"), sizes(found).alias("hit"), values.alias("value"))
+    return F.when(F.size(found) == 0, F.array().cast("array<struct<gap:int,hit:int,value:string>>")).otherwise(zipped)
 
-    def step(state: Column, item: Column) -> Column:
-        start = state["at"] + F.length(item["gap"])
-        end = start + F.length(item["hit"])
-        one = F.struct(start.alias("start"), end.alias("end"), item["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(one)).alias("out"))
 
-    return F.when(F.size(found) == 0, none).otherwise(F.aggregate(steps, before, step, lambda state: state["out"]))
+def _running_sums(steps: Column, size: Callable[[Column], Column]) -> Column:
+    """The sum of the sizes before each step; ``steps`` must be a column of its own.
+
+    An array that grows inside a fold is copied at each step. So the steps are folded
+    in stretches of about the root of their number, and then the sums of the stretches.
+    """
+    none = F.array().cast("array<int>")
+
+    def sums(numbers: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+        grown = lambda state, n: F.struct((state["at"] + n).alias("at"), F.concat(state["out"], F.array(state["at"])).alias("out"))
+        return F.aggregate(numbers, start, grown)
+
+    width = F.ceil(F.sqrt(F.size(steps))).cast("int")
+    firsts = F.sequence(F.lit(1), F.size(steps), width)
+    stretches = F.transform(firsts, lambda first: sums(F.transform(F.slice(steps, first, width), size)))
+
+    def joined(parts: Column) -> Column:
+        before = sums(F.transform(parts, lambda p: p["at"]))["out"]
+        return F.flatten(F.zip_with(parts, before, lambda p, add: F.transform(p["out"], lambda n: n + add)))
+
+    # A fold of one step binds the stretches, so that they are computed once.
+    bound = F.aggregate(F.array(stretches), none, lambda _, parts: joined(parts))
+    return F.when(F.size(steps) == 0, none).otherwise(bound)
+
+
+def _placed(steps: Column, sums: Column) -> Column:
+    def one(step: Column, before: Column) -> Column:
+        start = before + step["gap"]
+        return F.struct(start.alias("start"), (start + step["hit"]).alias("end"), step["value"].alias("value"))
+
+    return F.zip_with(steps, sums, one)
 
 
 def overlaps(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (b["start"] < a["end"])
 
 
-def outside(places: Column, *others: Column) -> Column:
-    """The places that overlap none of the others."""
-    taken = F.concat(*others)
-    return F.filter(places, lambda a: ~F.exists(taken, lambda b: overlaps(a, b)))
+def without_overlaps(df: DataFrame, places: dict[str, list[str]]) -> DataFrame:
+    """Each named column of places without those that overlap a place of the listed columns.
+
+    The places that are in the way are sorted and cut in stretches of about the root
+    of their number; a place looks only into the stretches that it reaches.
+    """
+    bounds = lambda part: F.struct(
+        F.array_min(F.transform(part, lambda p: p["start"])).alias("start"),
+        F.array_max(F.transform(part, lambda p: p["end"])).alias("end"),
+        part.alias("part"),
+    )
+    sorted_, cut_, kept = {}, {}, {}
+    for name, others in places.items():
+        ends = lambda c: F.transform(c, lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end")))
+        taken, parts = F.col(f"__taken_{name}"), F.col(f"__parts_{name}")
+        needed = F.size(name) > 0
+        none = F.array().cast("array<struct<start:int,end:int>>")
+        sorted_[f"__taken_{name}"] = F.when(needed, F.sort_array(F.concat(*map(ends, others)))).otherwise(none)
+        width = F.ceil(F.sqrt(F.size(taken))).cast("int")
+        # Sorted, so a stretch is bound by its own places.
+        stretches = lambda taken, width: F.transform(
+            F.sequence(F.lit(1), F.size(taken), width), lambda first: bounds(F.slice(taken, first, width))
+        )
+        kind = "array<struct<start:int,end:int,part:array<struct<start:int,end:int>>>>"
+        cut_[f"__parts_{name}"] = F.when(F.size(taken) > 0, stretches(taken, width)).otherwise(F.array().cast(kind))
+        kept[name] = _outside(F.col(name), parts)
+    return settled(settled(settled(df, sorted_), cut_), kept).drop(*sorted_, *cut_)
+
+
+def _outside(places: Column, parts: Column) -> Column:
+    hit = lambda p: F.exists(parts, lambda s: overlaps(p, s) & F.exists(s["part"], lambda o: overlaps(p, o)))
+    return F.filter(places, lambda p: ~hit(p))
 
 
 def spans_text(kinds: dict[str, Column]) -> Column:

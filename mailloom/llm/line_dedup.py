@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailloom.llm.common import LOWER, UPPER, cut
+from mailloom.llm.common import LOWER, UPPER, cut, settled
 
 #: White space that a key loses at both ends: space and the controls 9 to 13.
 BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -40,7 +40,9 @@ def _document(id_column: str, text_column: str) -> list[Column]:
 
 def _keyed_lines(docs: DataFrame, min_chars: int, id_column: str, text_column: str) -> DataFrame:
     """One row per line with a key long enough: document, position, 128-bit hash of the key."""
-    lines = docs.select(*_document(id_column, text_column), F.posexplode(lines_of(F.col(text_column))).alias("position", "line"))
+    # Named before the lines are exploded, so that a text is hashed once and not for each line.
+    named = docs.select(*_document(id_column, text_column), F.col(text_column).alias("__text"))
+    lines = named.select("__id", "__content", F.posexplode(lines_of(F.col("__text"))).alias("position", "line"))
     keys = lines.select("__id", "__content", "position", line_key(F.col("line")).alias("key"))
     return keys.filter(F.length("key") >= min_chars).select(
         "__id", "__content", "position", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2")
@@ -73,7 +75,8 @@ def drop_shared_lines(
     through; with ``counts``, those named ``n_lines`` and ``n_dropped`` are replaced.
     """
     names = [c for c in docs.columns if not counts or c.lower() not in ("n_lines", "n_dropped")]
-    lines = _keyed_lines(docs, min_chars, id_column, text_column)
+    # Hashed once: the counts and the places of shared lines both read this narrow table.
+    lines = cut(_keyed_lines(docs, min_chars, id_column, text_column))
     holds = [F.min("__id").alias("keeper"), F.max("__id").alias("last")]
     if max_documents == 1:
         shared = lines.groupBy("h1", "h2").agg(*holds).filter("keeper < last")
@@ -89,10 +92,11 @@ def drop_shared_lines(
         .agg(F.collect_set("position").alias("__gone"))
     )
     keyed = docs.select(*names, *_document(id_column, text_column)).join(gone, ["__id", "__content"], "left")
-    lines_here = lines_of(F.col(text_column))
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines_here) - 1), F.col("__gone"))
+    # Split once, and only what is put together anew.
+    keyed = settled(keyed, {"__lines": F.when(F.col("__gone").isNotNull(), lines_of(F.col(text_column)))})
+    stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
     text = F.when(F.col("__gone").isNull(), F.coalesce(text_column, F.lit(""))).otherwise(
-        F.array_join(F.transform(F.sort_array(stay), lambda at: F.get(lines_here, at)), "\n")
+        F.array_join(F.transform(F.sort_array(stay), lambda at: F.get(F.col("__lines"), at)), "\n")
     )
     dropped = F.coalesce(F.size("__gone"), F.lit(0))
     kept = [text.alias(c) if c == text_column else F.col(c) for c in names]
@@ -100,6 +104,6 @@ def drop_shared_lines(
         return keyed.select(*kept)
     return keyed.select(
         *kept,
-        F.size(lines_here).cast("long").alias("n_lines"),
+        F.coalesce(F.size("__lines"), F.size(lines_of(F.col(text_column)))).cast("long").alias("n_lines"),
         F.when(F.col("__gone").isNull(), 0).otherwise(dropped).cast("long").alias("n_dropped"),
     )

@@ -19,7 +19,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailloom.llm.common import outside, sampled, settled, with_matches
+from mailloom.llm.common import sampled, settled, with_matches, without_overlaps
 
 #: The rules. Their repeats are possessive and starts inside a run
 #: that has failed are skipped, which changes no match but keeps long runs linear.
@@ -97,7 +97,7 @@ def with_places(texts: DataFrame, text: str = "text") -> DataFrame:
             "phone": F.filter("phone", lambda p: F.length(_digits(p["value"])).between(10, 15)),
         },
     )
-    return settled(right, {kind: outside(F.col(kind), *map(F.col, BASE)) for kind in EXTRA})
+    return without_overlaps(right, {kind: list(BASE) for kind in EXTRA})
 
 
 def _before(text: Column, place: Column) -> Column:
@@ -252,5 +252,5 @@ def find_personal_data(
 
     number, mail, name = map(judged, EXTRA)
     found = settled(found, {"number": number, "mail": mail, "name": name}).drop("text")
-    found = settled(found, {"number": outside(F.col("number"), F.col("mail"))})
+    found = without_overlaps(found, {"number": ["mail"]})
     return settled(found, {"other": F.concat("number", "mail", "name")}).select("doc_id", *BASE, "other")

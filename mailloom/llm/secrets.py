@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailloom.llm.common import outside, sampled, settled, with_matches
+from mailloom.llm.common import sampled, settled, with_matches, without_overlaps
 
 #: The rules and their least lengths.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -134,4 +134,5 @@ def find_secrets(
     ratios = log_ratios(labelled_strings(sampled(texts, sample_rows, "doc_id")))
     found = with_matches(with_base_places(texts), "text", {"random": (CANDIDATE, 0)})
     random = F.filter("random", lambda p: randomness(p["value"], ratios) > threshold)
-    return settled(found.drop("text"), {"random": outside(random, *map(F.col, KINDS[:3]))})
+    found = settled(found, {"random": random}).drop("text")
+    return without_overlaps(found, {"random": list(KINDS[:3])})

@@ -414,3 +414,19 @@ def test_token_ids_of_all_kinds_of_words(monkeypatch):
     tokenizer = word_tokens.WordTokenizer(None)
     got = [np.concatenate([*stretches, np.zeros(0, np.uint32)]).tolist() for stretches in tokenizer.encode(pa.array(texts))]
     assert got == [tokenizer.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_long_text_of_many_lines(spark):
+    """Time in proportion to the lines: a quadratic step would take minutes here."""
+    import time
+
+    def taken(n):
+        text = "\n".join(f"line number {k} of it" for k in range(n))
+        docs = spark.createDataFrame([(1, "line number 7 of it"), (2, text)], "doc_id long, text string")
+        start = time.perf_counter()
+        rows = {r[0]: tuple(r)[1:] for r in line_dedup.drop_shared_lines(docs).select("doc_id", "n_lines", "n_dropped", F.length("text")).collect()}
+        assert rows == {1: (1, 0, 19), 2: (n, 1, len(text) - 20)}
+        return time.perf_counter() - start
+
+    taken(1000)
+    assert taken(100_000) < 4 * taken(25_000) + 10

@@ -1,6 +1,7 @@
 """Secrets and personal data against the rules spelled out in Python, and what the models add."""
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -152,3 +153,25 @@ def test_spans_beyond_the_rules(spark):
     found = {r["doc_id"] - 10_000: r["other"] for r in pii.find_personal_data(words.union(probe)).filter("doc_id >= 10000").collect()}
     assert sum(bool(found[k]) for k in range(len(personal))) >= 0.95 * len(personal)
     assert sum(bool(found[k]) for k in range(len(personal), len(found))) == 0
+
+
+@pytest.mark.parametrize("count", [0, 1, 2, 3, 17, 100_000])
+def test_places_of_many_matches(spark, count):
+    """Running sums in stretches; 100,000 matches in one text would take minutes with a growing array."""
+    text = "é" + "".join(f"token=abcde{k % 10}{'x' * (k % 3)} " for k in range(count))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    (row,) = secrets.with_base_places(docs).select(F.transform("assign", lambda p: F.array(p["start"], p["end"])).alias("at")).collect()
+    assert row["at"] == [[m.start(), m.end()] for m in re.finditer(r"token=\w+", text)]
+
+
+def test_many_places_in_the_way(spark):
+    from mailloom.llm.common import without_overlaps
+
+    rng = random.Random(3)
+    some = lambda n: sorted((s, s + rng.randint(1, 30)) for s in rng.sample(range(20_000), n))
+    rows = [(k, some(n), some(m), some(m // 2)) for k, (n, m) in enumerate([(0, 5), (5, 0), (1, 1), (300, 700), (900, 40)])]
+    place = "array<struct<start:int,end:int>>"
+    df = spark.createDataFrame(rows, f"k int, a {place}, b {place}, c {place}")
+    got = {r["k"]: [tuple(p) for p in r["a"]] for r in without_overlaps(df, {"a": ["b", "c"]}).collect()}
+    hit = lambda p, others: any(p[0] < o[1] and o[0] < p[1] for o in others)
+    assert got == {k: [p for p in a if not hit(p, b + c)] for k, a, b, c in rows}
