@@ -171,7 +171,13 @@ def sampled(df: DataFrame, rows: int, *key: str) -> DataFrame:
 
     Only for fitting models: the bound is a parameter of the operator that fits.
     """
-    share = rows / max(1, df.count())
-    if share >= 1:
-        return df
-    return df.filter(F.pmod(F.xxhash64(F.lit("sample"), *key), F.lit(1_000_000)) < int(share * 1_000_000))
+    least = hash_limit(rows, df.count())
+    return df if least is None else df.filter(F.shiftrightunsigned(F.xxhash64(F.lit("sample"), *key), 1) < least)
+
+
+def hash_limit(rows: int, total: int) -> int | None:
+    """Below this limit lie the upper 63 bits of the hashes of about ``rows`` of ``total`` rows; None for all.
+
+    Whole numbers, so the limit is above zero for any table that a long can count.
+    """
+    return None if rows >= total else max(1, (rows << 63) // total)

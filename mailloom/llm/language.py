@@ -8,6 +8,12 @@ softmax, the trained table and layer fold into one table of scores per subword,
 so a text costs one look-up per subword. On labelled texts kept from training, a
 temperature makes the probabilities honest and a quantile of the scores of right
 answers becomes the least score that is accepted.
+
+A softmax is sure of texts that are like none of its languages, too. So a second
+signal is the share of a text's subwords that hardly any training text has: low
+for any learned language and for mixtures of them, high for others and for random
+letters. How far it may rise above its mean is calibrated on the same texts, by
+their length.
 """
 
 from __future__ import annotations
@@ -21,14 +27,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mailloom.llm.common import hash_limit
+
 BUCKETS = 1 << 15
 WIDTH = 16
 LONGEST = 3
 #: Characters looked at together.
 STRETCH = 1 << 20
 UNKNOWN = "und"
-#: Answers with this score are always accepted.
+#: Answers with this score are accepted, unless their subwords are too rare.
 LEAST_SCORE = 0.4
+#: Share of all subwords below which one is rare.
+SELDOM = 1e-6
+#: Subwords from which on a text is no surer to be usual, and room above the strangest right answer.
+ENOUGH, ROOM = 400, 1.5
 
 _LETTERS = np.array([chr(c).isalpha() for c in range(1 << 16)])
 
@@ -69,31 +81,39 @@ def subwords(text: str) -> np.ndarray:
 @dataclass
 class LanguageModel:
     languages: list[str]
-    #: Score of each language per subword, and what is added once.
+    #: Score of each language per subword and last whether the subword is rare; what is added once to the scores.
     table: np.ndarray
     bias: np.ndarray
     temperature: float = 1.0
     least: float = 0.0
+    #: Share of rare subwords in calibration texts, its spread per subword, and how many spreads are accepted.
+    usual: tuple[float, float, float] = (0.0, 1.0, np.inf)
 
-    def logits(self, text: str) -> np.ndarray | None:
-        """Scores before the softmax; None for a text without a letter."""
-        total, n = np.zeros(len(self.languages)), 0
+    def signals(self, text: str) -> tuple[np.ndarray, float, int] | None:
+        """Scores before the softmax, share of rare subwords and number of subwords; None for a text without a letter."""
+        total, n = np.zeros(len(self.languages) + 1), 0
         for at in range(0, len(text), STRETCH):
             rows = subwords(text[at : at + STRETCH])
             total += self.table[rows].sum(axis=0, dtype=np.float64)
             n += len(rows)
-        return total / n + self.bias if n else None
+        return (total[:-1] / n + self.bias, float(total[-1] / n), n) if n else None
+
+    def strangeness(self, rarity: float, n: int) -> float:
+        """Spreads by which more of a text's subwords are rare than usual; longer texts must be closer, up to a length."""
+        mean, spread, _ = self.usual
+        return (rarity - mean) * np.sqrt(min(n, ENOUGH)) / spread
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, calibrated probability, and whether the answer is rejected."""
-        logits = self.logits(text) if text and self.languages else None
-        if logits is None:
+        found = self.signals(text) if text and self.languages else None
+        if found is None:
             return UNKNOWN, 0.0, True
+        logits, rarity, n = found
         odds = logits / self.temperature
         odds = np.exp(odds - odds.max())
         best = int(odds.argmax())
         score = float(odds[best] / odds.sum())
-        return self.languages[best], score, score < self.least
+        return self.languages[best], score, score < self.least or self.strangeness(rarity, n) > self.usual[2]
 
 
 def _stretches(texts: list[str], rng: np.random.Generator) -> list[str]:
@@ -128,7 +148,7 @@ def fit(
     """
     names = sorted(set(languages))
     if not names:
-        return LanguageModel([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
+        return LanguageModel([], np.zeros((BUCKETS, 1), np.float32), np.zeros(0))
     rng = np.random.default_rng(seed)
     label = np.array([names.index(x) for x in languages])
     order = rng.permutation(len(texts))
@@ -163,25 +183,38 @@ def fit(
             distinct, place = np.unique(flat, return_inverse=True)
             sums = np.stack([np.bincount(place, back[:, w], len(distinct)) for w in range(WIDTH)], axis=1)
             embedding[distinct] -= speed * batch * sums
-    model = LanguageModel(names, (embedding @ weights).astype(np.float32), bias)
+    rare = _rarity([texts[k] for k in train])
+    model = LanguageModel(names, np.column_stack((embedding @ weights, rare)).astype(np.float32), bias)
     _calibrate(model, [texts[k] for k in kept_out], label[kept_out], rng, reject_share)
     return model
 
 
+def _rarity(texts: list[str]) -> np.ndarray:
+    """1 for each subword that the training texts seldom have, 0 for the others."""
+    counts = sum((np.bincount(subwords(text), minlength=BUCKETS) for text in texts), np.zeros(BUCKETS))
+    return counts < SELDOM * counts.sum()
+
+
 def _calibrate(model: LanguageModel, texts: list[str], label: np.ndarray, rng, reject_share: float) -> None:
-    logits = [model.logits(t) for t in [*texts, *_stretches(texts, rng)]]
-    known = [k for k, x in enumerate(logits) if x is not None]
+    found = [model.signals(t) for t in [*texts, *_stretches(texts, rng), *_stretches(texts, rng)]]
+    known = [k for k, x in enumerate(found) if x is not None]
     if not known:
         return
-    table, y = np.stack([logits[k] for k in known]), np.concatenate((label, label))[known]
+    table, y = np.stack([found[k][0] for k in known]), np.concatenate((label, label, label))[known]
     at = np.arange(len(y))
     grid = np.exp(np.linspace(np.log(0.05), np.log(20), 81))
     loss = [-np.log(_softmax(table / t)[at, y] + 1e-12).mean() for t in grid]
     model.temperature = float(grid[int(np.argmin(loss))])
     chance = _softmax(table / model.temperature)
-    right = chance.max(axis=1)[chance.argmax(axis=1) == y]
-    if len(right):
-        model.least = float(min(LEAST_SCORE, np.quantile(right, reject_share)))
+    is_right = chance.argmax(axis=1) == y
+    if not is_right.any():
+        return
+    model.least = float(min(LEAST_SCORE, np.quantile(chance.max(axis=1)[is_right], reject_share)))
+    rarity, n = (np.array([found[k][j] for k in known])[is_right] for j in (1, 2))
+    mean = float(rarity.mean())
+    spread = float(np.sqrt(np.mean((rarity - mean) ** 2 * np.minimum(n, ENOUGH)))) or 0.1
+    model.usual = (mean, spread, np.inf)
+    model.usual = (mean, spread, ROOM * max(1.0, max(map(model.strangeness, rarity, n))))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -193,6 +226,8 @@ def train_model(
     docs: DataFrame,
     per_language: int = 1500,
     stretch: int = 20_000,
+    most_languages: int = 200,
+    most_texts: int = 20_000,
     id_column: str = "doc_id",
     text_column: str = "text",
     language_column: str = "lang",
@@ -202,7 +237,9 @@ def train_model(
     The counts per language come from all documents that may be learned from;
     the sample is picked by a hash of the id, and so is the stretch of at most
     ``stretch`` characters that a longer text gives. Documents without an id,
-    language or text, and those ``held_out``, are not used.
+    language or text, and those ``held_out``, are not used. Of more than
+    ``most_languages`` labels the commonest are learned, and with many labels
+    there are fewer texts of each, so that about ``most_texts`` come to the driver.
     """
     over = F.greatest(F.length(text_column) - stretch, F.lit(0)) + 1
     start = (F.pmod(F.xxhash64(F.lit("stretch"), id_column), over) + 1).cast("int")
@@ -212,11 +249,15 @@ def train_model(
         F.substring(F.col(text_column), start, F.lit(stretch)).alias("text"),
     )
     usable = usable.filter(F.col("language").isNotNull() & F.col("text").isNotNull())
-    counts = {r["language"]: r["n"] for r in usable.groupBy("language").agg(F.count("*").alias("n")).collect()}
+    common = usable.groupBy("language").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "language").limit(most_languages)
+    counts = {r["language"]: r["n"] for r in common.collect()}
     if not counts:
         return fit([], [])
-    share = F.create_map(*(F.lit(x) for name, n in counts.items() for x in (name, int(1e6 * min(1, per_language / n)))))
-    picked = usable.filter(F.pmod(F.xxhash64(F.lit("language"), "id"), F.lit(1_000_000)) < share[F.col("language")])
+    rows = max(1, min(per_language, most_texts // len(counts)))
+    limits = {name: hash_limit(rows, n) or (1 << 63) - 1 for name, n in counts.items()}
+    limit = F.create_map(*(F.lit(x) for item in limits.items() for x in item))[F.col("language")]
+    # A language that is not learned has no limit, and its rows are left out.
+    picked = usable.filter(F.shiftrightunsigned(F.xxhash64(F.lit("language"), "id"), 1) < limit)
     sample: pd.DataFrame = picked.select("id", "language", "text").toPandas().sort_values(["id", "text"])
     return fit(sample["text"].tolist(), sample["language"].tolist())
 
