@@ -10,10 +10,12 @@ from dataclasses import dataclass, field
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption "
     "figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html iframe label legend li main menu nav ol option p pre "
-    "search section select summary table tbody td tfoot th thead tr ul".split()
+    "noscript search section select summary table tbody td template tfoot th thead tr ul".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = frozenset("script style textarea title noscript template iframe noframes noembed xmp svg math object".split())
+RAW_TAGS = frozenset("script style textarea title xmp noembed noframes iframe".split())
+#: Raw elements that end with the page if nothing else ends them; the others hold text of the page then.
+ENDLESS_TAGS = frozenset(("script", "style"))
 #: What an opening tag closes if it is open and nearest: a paragraph, or a sibling.
 CLOSES = {
     "li": {"li"},
@@ -88,7 +90,7 @@ def names_of(attributes: str) -> tuple[str, ...]:
 
 
 def blocks_of(page: str | None) -> list[Block]:
-    """Blocks with text in page order; all of the page but raw elements, comments and the head.
+    """Blocks with text in page order; all of the page but raw elements and comments.
 
     Character references are decoded, white space in a block is one space. Tags
     that are never closed or never opened do no harm; a page that ends inside a
@@ -109,7 +111,7 @@ def blocks_of(page: str | None) -> list[Block]:
                 state.links = max(0, state.links - 1)
         elif tag in RAW_TAGS and not token[3].endswith("/"):
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.IGNORECASE).search(page, at)
-            at = end.end() if end else len(page)
+            at = end.end() if end else len(page) if tag in ENDLESS_TAGS else at
         elif tag in BLOCK_TAGS:
             state.open(tag, token[3])
         elif tag == "br":

@@ -32,6 +32,8 @@ HIDDEN = 24
 TOGETHER = 64
 #: Blocks run through the network at once, for longer pages too.
 SPAN = 4096
+#: Blocks of one real page that the training learns from.
+LEARNED_BLOCKS = 2000
 
 
 @lru_cache(1 << 16)
@@ -183,21 +185,33 @@ class Labeller:
         return [*ahead, *behind, (both * error[..., None]).sum((0, 1)), error.sum(keepdims=True).reshape(1)]
 
 
+def _batches(sizes: list[int], pages: int = 64, cells: int = 1 << 14) -> list[list[int]]:
+    """Neighbours together: at most so many pages, and so many blocks when all are as long as the longest."""
+    out: list[list[int]] = []
+    longest = 0
+    for k, size in enumerate(sizes):
+        if not out or len(out[-1]) == pages or (len(out[-1]) + 1) * max(longest, size) > cells:
+            out.append([])
+            longest = 0
+        out[-1].append(k)
+        longest = max(longest, size)
+    return out
+
+
 def train(pages: list[np.ndarray], labels: list[np.ndarray], rounds: int = 12, rate: float = 0.015, seed: int = 3) -> Labeller:
     """Adam on batches of pages of like length; labels are 1 main, 0 other, -1 unknown."""
     model = Labeller.new(seed)
     rng = np.random.default_rng(seed)
     full = [k for k in range(len(pages)) if len(pages[k])]
     moments = [(np.zeros_like(w), np.zeros_like(w)) for w in model.weights()]
-    step, batch = 0, 64
-    total = rounds * -(-len(full) // batch)
+    step, total = 0, rounds * len(_batches([len(pages[k]) for k in sorted(full, key=lambda k: len(pages[k]))]))
     for _ in range(rounds):
         order = sorted(full, key=lambda k: len(pages[k]) + rng.uniform(0, 6))
-        batches = [order[at : at + batch] for at in range(0, len(order), batch)]
+        batches = [[order[k] for k in part] for part in _batches([len(pages[k]) for k in order])]
         for number in rng.permutation(len(batches)):
             chosen = batches[number]
             step += 1
-            speed = rate * (1 - step / (total + 1))
+            speed = rate * max(0.0, 1 - step / (total + 1))
             for w, g, (m, v) in zip(model.weights(), model.gradients([pages[k] for k in chosen], [labels[k] for k in chosen]), moments):
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
@@ -223,7 +237,7 @@ def own_labels(blocks: list[Block]) -> np.ndarray:
 
 def fit_labeller(real: list[str], made_pages: int) -> Labeller:
     """A labeller from made-up pages in the words of real ones, and these themselves."""
-    parsed = [blocks_of(page) for page in real]
+    parsed = [blocks_of(page)[:LEARNED_BLOCKS] for page in real]
     words = sorted({w for blocks in parsed for b in blocks for w in b.text.lower().split()})
     rows = [block_vectors(blocks) for blocks in parsed]
     labels = [own_labels(blocks) for blocks in parsed]
@@ -237,14 +251,23 @@ def fit_labeller(real: list[str], made_pages: int) -> Labeller:
 
 
 def train_labeller(
-    pages: DataFrame, made_pages: int = 800, sample_pages: int = 400, html_column: str = "html", key: str = "page_id"
+    pages: DataFrame,
+    made_pages: int = 800,
+    sample_pages: int = 400,
+    sample_chars: int = 100_000,
+    html_column: str = "html",
+    key: str = "page_id",
 ) -> Labeller:
     """A labeller from ``made_pages`` made-up pages and about ``sample_pages`` real ones.
 
-    The real ones are picked by a hash of their id. The training itself is one task.
+    The real ones are picked by a hash of their id and content. Of a long one the
+    first ``sample_chars`` characters and ``LEARNED_BLOCKS`` blocks are learned
+    from, so what comes to the driver and into the one task of the training has a
+    bound. Predictions read whole pages.
     """
-    usable = pages.select(F.col(key).alias("id"), F.col(html_column).alias("html")).filter("html is not null")
-    real = sorted(r["html"] for r in sampled(usable, sample_pages, "id").select("html").collect())
+    usable = pages.select(F.col(key).alias("id"), F.col(html_column).cast("string").alias("html")).filter("html is not null")
+    stretch = F.substring("html", 1, sample_chars).alias("html")
+    real = sorted(r["html"] for r in sampled(usable, sample_pages, "id", "html").select(stretch).limit(4 * sample_pages).collect())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -430,3 +430,74 @@ def test_long_text_of_many_lines(spark):
 
     taken(1000)
     assert taken(100_000) < 4 * taken(25_000) + 10
+
+
+def test_texts_unlike_the_training_are_rejected(spark):
+    """Languages that were not learned and random letters go; right answers and mixtures of learned languages stay."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    good = spark.read.parquet(f"{sf}/labels.parquet").filter("quality = 1").select("doc_id")
+    rows = docs.join(good, "doc_id").orderBy("doc_id").collect()
+    model = language.fit([r["text"] for r in rows], [r["lang"] for r in rows])
+    rng = random.Random(2)
+    strange = [
+        "Het is een mooie dag en wij gaan naar het strand met de kinderen om daar te spelen en te zwemmen in de zee.",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw.",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan.",
+        *("".join(rng.choices("abcdefghijklmnopqrstuvwxyz    ", k=200)) for _ in range(20)),
+    ]
+    assert all(model.predict(text)[2] for text in strange)
+    rest = docs.join(good, "doc_id", "left_anti").join(spark.read.parquet(f"{sf}/labels.parquet").filter("quality = 0"), "doc_id", "left_anti")
+    judged = [(r["lang"], *model.predict(r["text"])) for r in rest.collect()]
+    right = [j for j in judged if j[0] == j[1]]
+    assert len(right) > 300 and sum(j[3] for j in right) <= 0.02 * len(right)
+    parts = {r["lang"]: r["text"] for r in rows if r["text"] and len(r["text"]) > 400}
+    for a in parts:
+        for b in parts:
+            assert not model.predict(parts[a][:400] + " " + parts[b][:400])[2]
+
+
+def test_samples_stay_above_zero():
+    from mailloom.llm.common import hash_limit
+
+    for rows, total in [(400, 4 * 10**8), (1500, 10**13), (1, 2**62)]:
+        assert 0 < hash_limit(rows, total) and abs(hash_limit(rows, total) * total / (rows << 63) - 1) < 1e-3
+    assert hash_limit(10, 10) is None and hash_limit(10, 0) is None
+
+
+def test_many_labels_and_hot_texts_are_bounded(spark):
+    rows = [(k, f"l{k % 90}", "ab cd " * (k % 3 + 1)) for k in range(2000)] + [(k, "l1", "hot text") for k in range(2000, 4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = language.train_model(docs, most_languages=5, most_texts=100)
+    assert len(model.languages) == 5 and "l1" in model.languages
+
+
+MAIN = "This is the main text of the article, which is long enough to be read as prose, and then some more of it."
+
+
+@pytest.mark.parametrize(
+    "before, after",
+    [
+        ("<object data=x>", ""),
+        ("<object data=x><object data=y>", "</object></object>"),
+        ("<noscript>", "</noscript>"),
+        ("<svg><g>", ""),
+        ("<math>", "</math>"),
+        ("<template>", ""),
+        ("<iframe src=x>", ""),
+        ("<textarea>", ""),
+    ],
+)
+def test_nothing_is_dropped_before_the_labeller(before, after):
+    page = f"<p>intro</p>{before}<article><p>{MAIN}</p></article>{after}<p>end</p>"
+    texts = [b.text for b in blocks_of(page)]
+    assert "intro" in texts and any(MAIN in t for t in texts) and any("end" in t for t in texts)
+    inside = f"<article><p>See <math><mi>x</mi></math> and <object>y</object>.</p><script>var a = '<p>no</p>'</script></article>"
+    assert [b.text for b in blocks_of(inside)] == ["See x and y."]
+
+
+def test_training_batches_are_bounded():
+    sizes = [1, 1, 2, 30, 400, 2000, 2000, 20_000] + [3] * 200
+    parts = html_text._batches(sizes)
+    assert [k for part in parts for k in part] == list(range(len(sizes)))
+    assert all(len(p) <= 64 and (len(p) == 1 or len(p) * max(sizes[k] for k in p) <= 1 << 14) for p in parts)
