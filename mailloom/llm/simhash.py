@@ -27,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from mailloom.llm.common import cut, words_in_pieces
 from mailloom.llm.components import roots
@@ -38,6 +39,8 @@ SEED = 42
 FANOUT = 8
 #: Fingerprints of one tree; larger ones are cut in shards that meet in pairs.
 SHARD = 1 << 15
+#: Parts in which the fingerprints of a component are dealt, and ids sent to all tasks at most.
+SALTS, BROADCAST_IDS = 32, 1 << 21
 #: Node pairs looked at together.
 PAIRS = 1 << 19
 
@@ -343,10 +346,15 @@ def near_duplicates(
     """
     marked = cut(with_fingerprints(docs, shingle, id_column, text_column))
     prints = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    heads = roots(linked_fingerprints(prints, limit)).withColumnRenamed("node", "fp")
-    rooted = prints.join(heads, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_print = rooted.join(named, "root").select("fp", "component_id")
+    heads = cut(roots(linked_fingerprints(prints, limit)).withColumnRenamed("node", "fp"))
+    # Only linked fingerprints have a root other than their own. A large component's are
+    # brought together by their least id, then dealt out in salted parts.
+    linked = prints.join(heads, "fp").withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
+    least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
+    salted = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    by_root = linked.join(salted, ["root", "salt"]).select("fp", "component_id")
+    alone = prints.join(heads, "fp", "left_anti").select("fp", F.col("first").alias("component_id"))
+    by_print = by_root.unionByName(alone)
     return marked.join(by_print, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
@@ -361,5 +369,8 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 4, limit: int = 4, id_c
     found = near_duplicates(docs, shingle, limit, id_column)
     same = F.col("doc_id") == F.col("component_id")
     gone = found.groupBy("doc_id").agg(F.max(F.when(same, 1).otherwise(0)).alias("stays")).filter("stays = 0")
-    ids = gone.select(F.col("doc_id").alias("__gone"))
+    # Known before the join: a short list goes to the documents, whose texts then stay where they are.
+    ids = cut(gone.select(F.col("doc_id").alias("__gone")))
+    small = isinstance(ids.schema["__gone"].dataType, NumericType) and ids.count() <= BROADCAST_IDS
+    ids = F.broadcast(ids) if small else ids
     return docs.join(ids, docs[id_column] == ids["__gone"], "left_anti")
