@@ -157,30 +157,33 @@ def vote_counts(found: DataFrame, text: str = "text") -> tuple[list[str], list[s
     return list(given), list(seen), [(tuple(r["votes"]), tuple(r["features"]), r["count"]) for r in rows]
 
 
-def estimate(counts: dict[tuple, int], rounds: int = 50) -> tuple[dict[tuple, float], list[dict[int, tuple[float, float]]]]:
-    """Posterior of each vote pattern, and per labeler how likely each vote is (if not, if so).
-
-    Starts from the share of votes in favour; labelers that do not vote tell nothing.
+def estimate(
+    counts: dict[tuple, int], rounds: int = 50
+) -> tuple[dict[tuple, float], list[dict[int | None, tuple[float, float]]]]:
+    """Posterior of each vote pattern, and per labeler how likely each outcome is (if not, if so).
+
+    An outcome is a vote for, a vote against, or none: a labeler that can only vote
+    one way is told by how often it speaks about either class. Starts from the
+    share of votes in favour, a little for the votes that were given.
     """
     patterns = sorted(counts, key=str)
     posterior = {p: (sum(v or 0 for v in p) + 0.5) / (sum(v is not None for v in p) + 1) for p in patterns}
-    chances: list[dict[int, tuple[float, float]]] = []
+    chances: list[dict[int | None, tuple[float, float]]] = []
     for _ in range(rounds):
         yes = sum(counts[p] * posterior[p] for p in patterns)
         prior = (yes + 1) / (sum(counts.values()) + 2)
         chances = []
         for k in range(len(patterns[0]) if patterns else 0):
-            told = {c: [1.0, 1.0] for c in (0, 1)}
-            told[0][0] += 1
-            told[1][1] += 1
+            # One imagined vote in the right direction for each class, and half of each other outcome.
+            told = {0: {0: 1.0, 1: 0.5, None: 0.5}, 1: {0: 0.5, 1: 1.0, None: 0.5}}
             for p in patterns:
-                if p[k] is not None:
-                    told[1][p[k]] += counts[p] * posterior[p]
-                    told[0][p[k]] += counts[p] * (1 - posterior[p])
-            chances.append({v: (told[0][v] / sum(told[0]), told[1][v] / sum(told[1])) for v in (0, 1)})
+                told[1][p[k]] += counts[p] * posterior[p]
+                told[0][p[k]] += counts[p] * (1 - posterior[p])
+            total = [sum(told[c].values()) for c in (0, 1)]
+            chances.append({v: (told[0][v] / total[0], told[1][v] / total[1]) for v in (0, 1, None)})
         for p in patterns:
             odds = math.log(prior / (1 - prior))
-            odds += sum(math.log(chances[k][v][1] / chances[k][v][0]) for k, v in enumerate(p) if v is not None)
+            odds += sum(math.log(chances[k][v][1] / chances[k][v][0]) for k, v in enumerate(p))
             posterior[p] = 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
     return posterior, chances
 

@@ -130,7 +130,7 @@ def test_estimated_reliabilities():
         p = tuple(int(truth == (rng.random() < r)) if rng.random() < 0.8 else None for r in right)
         counts[p] = counts.get(p, 0) + 1
     posterior, chances = pii.estimate(counts)
-    share = [(c[1][1] + c[0][0]) / 2 for c in chances]
+    share = [(c[1][1] / (c[1][1] + c[0][1]) + c[0][0] / (c[0][0] + c[1][0])) / 2 for c in chances]
     assert share == sorted(share, reverse=True)
     assert max(abs(a - b) for a, b in zip(share, right)) < 0.05
     assert posterior[(1, 1, 1, 1)] > 0.99 > 0.01 > posterior[(0, 0, 0, 0)]
@@ -175,3 +175,40 @@ def test_many_places_in_the_way(spark):
     got = {r["k"]: [tuple(p) for p in r["a"]] for r in without_overlaps(df, {"a": ["b", "c"]}).collect()}
     hit = lambda p, others: any(p[0] < o[1] and o[0] < p[1] for o in others)
     assert got == {k: [p for p in a if not hit(p, b + c)] for k, a, b, c in rows}
+
+
+def test_one_sided_labelers_have_weight():
+    """Labelers that only ever vote for, or only against: their silence tells, too."""
+    rng = random.Random(8)
+    speaks = [(0.8, 0.02, 1), (0.03, 0.7, 0), (0.6, 0.05, 1), (0.05, 0.5, 0)]
+    counts, by_truth = {}, {}
+    for _ in range(6000):
+        truth = int(rng.random() < 0.4)
+        p = tuple(vote if rng.random() < (about_true if truth else about_false) else None for about_true, about_false, vote in speaks)
+        counts[p] = counts.get(p, 0) + 1
+        by_truth[truth, p] = by_truth.get((truth, p), 0) + 1
+    posterior, chances = pii.estimate(counts)
+    for (about_true, about_false, vote), c in zip(speaks, chances):
+        assert abs(c[vote][1] - about_true) < 0.06 and abs(c[vote][0] - about_false) < 0.06
+    right = sum(n for (truth, p), n in by_truth.items() if (posterior[p] > 0.5) == truth)
+    best = sum(max(by_truth.get((0, p), 0), by_truth.get((1, p), 0)) for p in counts)
+    assert right >= 0.99 * best
+    assert posterior[1, None, None, None] > 0.8 > 0.2 > posterior[None, 0, None, None]
+
+
+def test_randomness_equals_plain_python(spark):
+    ratios = [((k * 37) % 101 - 50) / 17 for k in range(secrets.SIZE**2)]
+    words = ["ab", "Zx9Qk3vB7tLp2WmR8sYd", "hello-world_/+=", "~~", "a" * 500]
+    probe = spark.createDataFrame([(w,) for w in words], "w string")
+    got = [r[0] for r in probe.select(secrets.randomness(F.col("w"), ratios)).collect()]
+    pair = lambda a, b: (ord(a) - secrets.FIRST) * secrets.SIZE + ord(b) - secrets.FIRST
+    assert got == pytest.approx([sum(round(ratios[pair(a, b)], 6) for a, b in zip(w, w[1:])) for w in words])
+
+
+def test_log_odds_equal_plain_python(spark):
+    weights = {"what": {"digits": 0.5, "mail": -1.25}, "marks": {"": 2.0, "@": -3.0}, "never": {}}
+    rows = [("digits", ""), ("mail", "@"), ("name", "("), (None, "@")]
+    probe = spark.createDataFrame(rows, "what string, marks string")
+    seen = {name: F.col(name) for name in ("what", "marks")}
+    got = [r[0] for r in probe.select(pii.log_odds(seen, 0.75, weights)).collect()]
+    assert got == [0.75 + weights["what"].get(a, 0.0) + weights["marks"].get(b, 0.0) for a, b in rows]
