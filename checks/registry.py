@@ -24,6 +24,7 @@ from mailloom.operators import (
     ordering,
     plan_steps,
     upsert,
+    vector_search,
 )
 from mailloom.plans import jobs
 from mailloom.session import new_work_folder
@@ -867,6 +868,42 @@ def _(spark, sf):
     return table.read().select("id", "payload.*")
 
 
+NEAREST = f"""with unit as (select vec_id, {duck.uuid5("concat('v', vec_id, ':0')")} as id,
+  list_transform(embedding, lambda x: x::double) as v from embeddings),
+ p as (select *, sqrt(list_reduce(list_transform(v, lambda x: x * x), lambda a, b: a + b)) as norm from unit),
+ scored as (select q.id as query_id, p.id, round(list_inner_product(q.v, p.v) / (q.norm * p.norm), 6) as score,
+  list_inner_product(q.v, p.v) / (q.norm * p.norm) as exact from p q join p on q.vec_id % 100 = 0 and q.id <> p.id),
+ ranked as (select *, row_number() over (partition by query_id order by exact desc, id) as rank from scored)"""
+
+
+@query(
+    "v8_nearest_points",
+    f"{NEAREST} select query_id, cast(rank as integer) as rank, id, cast(round(score * 1000000) as bigint) as millionths from ranked where rank <= 10",
+)
+def _(spark, sf):
+    """The ten nearest points by cosine of every point whose key is divisible by 100, by cells."""
+    table = PointTable(spark, new_work_folder(spark, "points"), dim=64)
+    points = fixtures.points(spark, sf)
+    table.upsert(points.select("id", "payload", "vector"))
+    index = vector_search.build_index(table.read(), cells=24).write(new_work_folder(spark, "cells"))
+    found, _ = vector_search.search(index, points.filter(c("vec_id") % 100 == 0).select("id", "vector"))
+    return found.select("query_id", "rank", "id", F.round(c("score") * 1_000_000).cast("long").alias("millionths"))
+
+
+@query(
+    "v8_cells_read",
+    f"{NEAREST} select count(distinct query_id) as queries, true as skips_add_up from ranked",
+)
+def _(spark, sf):
+    """Of every query the cells and points it has read; never more than there are, and enough for its answer."""
+    points = fixtures.points(spark, sf)
+    index = vector_search.build_index(points.select("id", "vector"), cells=24)
+    found, counts = vector_search.search(index, points.filter(c("vec_id") % 100 == 0).select("id", "vector"))
+    answers = found.groupBy("query_id").agg(F.count("*").alias("n"))
+    sound = (c("cells_read") <= c("cells")) & (c("points_read") >= c("n")) & (c("cells_read") >= 1)
+    return counts.join(answers, "query_id").agg(F.count("*").alias("queries"), F.bool_and(sound).alias("skips_add_up"))
+
+
 @query(
     "flagship_clean_chunk",
     f"""{CLEANED}, bodies as (select e.external_message_id, e.sender, e.subject, c.txt as body from emails e join cleaned c on c.id = e.id),
