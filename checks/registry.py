@@ -32,6 +32,7 @@ from mailloom.sources.messages import read_messages
 from mailloom.sources.tables import EmailTable, PointTable
 from mailloom.streaming import jobs as streams
 from mailloom.streaming import plans as plan_streams
+from mailloom.streaming.counters import stream_counters
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -452,7 +453,14 @@ def _(spark, sf):
 
 @query("i15_fixed_batches", "select event_id, cast((row_number() over (order by ts, event_id) - 1) // 100 as bigint) as batch from events")
 def _(spark, sf):
-    return ordering.with_batch_number(fixtures.table(spark, sf, "events"), 100, "ts", "event_id").select("event_id", "batch")
+    return ordering.with_batch_number(fixtures.table(spark, sf, "events"), 100, "ts", "event_id", unique=True).select("event_id", "batch")
+
+
+@query("i15_numbers_by_index", "select event_id, row_number() over (order by ts, event_id) - 1 as row_index from events")
+def _(spark, sf):
+    rows = fixtures.table(spark, sf, "events")
+    index = ordering.PositionIndex.build(rows, new_work_folder(spark, "positions"), "ts", "event_id")
+    return index.number(rows).select("event_id", "row_index")
 
 
 @query(
@@ -964,6 +972,14 @@ _listing(
 )
 
 
+def _index_page(emails):
+    index = ordering.PositionIndex.build(emails, new_work_folder(emails.sparkSession, "positions"), "created_at", "id")
+    return index.page(emails, 30, 60)
+
+
+_listing("t4_index_page", "emails order by created_at, id limit 30 offset 60", _index_page)
+
+
 @query("f1_duplicate_ids", f"with {SRC} select external_message_id, count(*) as n from emails_src where external_message_id is not null group by 1 having count(*) > 1")
 def _(spark, sf):
     return lookups.duplicate_ids(fixtures.emails_src(spark, sf))
@@ -1304,6 +1320,38 @@ def _(spark, sf):
     )
 
 
+@query("r1_redelivered", ORACLES["i16_import_job"])
+def _(spark, sf):
+    """Every message twice, in files of their own: the second delivery is dropped by the engine's state."""
+    table = EmailTable(spark, new_work_folder(spark, "emails"), digits=1)
+    table.append(fixtures.target_emails(spark, sf))
+    folder = new_work_folder(spark, "dump")
+    messages = fixtures.raw_messages(spark, sf)
+    messages.coalesce(1).write.parquet(folder)
+    messages.withColumn("arrival", c("arrival") + 1_000_000).coalesce(1).write.mode("append").parquet(folder)
+    raw = spark.readStream.schema("arrival long, id string, threadId string, raw string").option("maxFilesPerTrigger", 1).parquet(folder)
+    check = new_work_folder(spark, "check")
+    streams.import_stream(raw, table, check, redelivered_within="1 day").awaitTermination()
+    return table.read().select(
+        "external_message_id", "subject", "sender", "body_cleaned", "has_attachments", as_text("sent_at")
+    )
+
+
+@query(
+    "c19_stream_counters",
+    f"""with {SRC}, named as (select 's' || arrival as external_message_id, body_text from emails_src),
+ cleaned as ({duck.clean('named', 'external_message_id', 'body_text', markup=False)})
+select count(*) as processed, count(*) filter (txt is distinct from body_text) as updated from cleaned join named using (external_message_id)""",
+)
+def _(spark, sf):
+    src = _stream(spark, sf, "documents", fixtures.emails_src_sql("spark"))
+    rows = src.withColumns({"external_message_id": F.concat(F.lit("s"), "arrival"), "body_cleaned": c("body_text")})
+    with stream_counters(spark) as counters:
+        run = streams.clean_stream(rows, new_work_folder(spark, "cleaned"), new_work_folder(spark, "check"))
+        counts = counters.of(run)
+    return spark.createDataFrame([(counts["processed"], counts["updated"])], "processed long, updated long")
+
+
 @query(
     "r2_vectorize_stream",
     f"""with {SRC}, named as (select 's' || arrival as external_message_id, sender, subject, body_text from emails_src),

@@ -21,6 +21,8 @@ DEFAULTS = {
     "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.parquet.compression.codec": "zstd",
+    # Checkpointed frames that are out of use leave no files behind.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 

@@ -16,7 +16,20 @@ from mailloom.sources.tables import EmailTable, PointTable
 from mailloom.streaming.state import keep_state_on_disk
 
 
-def import_stream(raw: DataFrame, table: EmailTable, checkpoint: str, *, order: str = "arrival") -> StreamingQuery:
+def without_redelivered(raw: DataFrame, within: str) -> DataFrame:
+    """Raw messages without the copies (same id and content) that come again within a time of the first.
+
+    The engine's state holds a digest of each message for that time, counted by the
+    clock, so no message is ever too late. Of copies in one micro-batch any one stays.
+    """
+    keep_state_on_disk(raw.sparkSession)
+    marked = raw.withColumns({"__content": F.sha2(F.col("raw"), 256), "__came": F.current_timestamp()})
+    return marked.withWatermark("__came", within).dropDuplicatesWithinWatermark(["id", "__content"]).drop("__content", "__came")
+
+
+def import_stream(
+    raw: DataFrame, table: EmailTable, checkpoint: str, *, order: str = "arrival", redelivered_within: str | None = None
+) -> StreamingQuery:
     """Parse, check, deduplicate and insert each micro-batch.
 
     ``order`` is a column of the stream that tells which of equal keys came
@@ -25,7 +38,13 @@ def import_stream(raw: DataFrame, table: EmailTable, checkpoint: str, *, order:
     keys, so no state grows with the stream and a repeated batch inserts nothing
     twice. Messages that cannot be read or stored go to ``table.rejected()``; a
     repeated batch may list them again.
+
+    A source that delivers messages more than once may be given
+    ``redelivered_within``: copies within that time are then dropped before they are
+    parsed and looked up (see ``without_redelivered``), later ones by the table.
     """
+    if redelivered_within is not None:
+        raw = without_redelivered(raw, redelivered_within)
 
     def insert(batch: DataFrame, _batch_id: int) -> None:
         placed = batch.withColumn("__order", F.struct(order, F.monotonically_increasing_id().alias("place")))
@@ -50,15 +69,27 @@ def vectorize_stream(
 ) -> StreamingQuery:
     """Clean, chunk, embed and upsert emails as they arrive. All but the sink is stateless.
 
+    Counters (see ``counters``): ``emails_processed``, ``chunks_upserted``.
+
     ``spread_to`` deals the rows out to that many tasks first, for sources that
     bring few large files per batch.
     """
     emails = emails.repartition(spread_to) if spread_to else emails
+    emails = emails.observe("vectorized_emails", F.count("*").alias("emails_processed"))
     rows = to_point_rows(cleaning.clean_table(emails).drop("changed"), make_encoder, spell_empty=spell_empty)
+    rows = rows.observe("vectorized_chunks", F.count("*").alias("chunks_upserted"))
     upsert = lambda batch, _id: points.upsert(batch, replace_emails=replace_emails)
     return _run(rows.writeStream.foreachBatch(upsert), checkpoint)
 
 
+def clean_stream(emails: DataFrame, path: str, checkpoint: str, **options: bool) -> StreamingQuery:
+    """Append emails with cleaned bodies to parquet as they arrive; counters ``processed`` and ``updated``."""
+    cleaned = cleaning.clean_table(emails, **options).observe(
+        "cleaned", F.count("*").alias("processed"), F.count_if("changed").alias("updated")
+    )
+    return write_stream(cleaned.drop("changed"), path, checkpoint)
+
+
 def classify(emails: DataFrame, internal_address: str, *carry: str) -> DataFrame:
     """Events with sender kind; a stateless projection of a stream or a batch."""
     return events.readable(events.to_events(emails, *carry)).withColumn(

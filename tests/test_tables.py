@@ -394,3 +394,76 @@ def test_failed_upsert_leaves_the_old_points(spark, tmp_path, monkeypatch):
     with pytest.raises(ZeroDivisionError):
         table.upsert(vector_points(spark, [("c", "m", "c", [1.0])]), replace_emails=True)
     assert sorted(r["id"] for r in PointTable(spark, table.path).read().collect()) == ["a", "b"]
+
+
+def test_position_index(spark, tmp_path):
+    """Pages and numbers equal the sorted list; only keys are written, and a page reads few ranges."""
+    rng = random.Random(4)
+    rows = [(rng.choice([None, *range(40)]), k, "wide" * 5) for k in range(500)]
+    spark.createDataFrame(rows, "a int, b int, body string").repartition(5).write.parquet(str(tmp_path / "rows"))
+    df = spark.read.parquet(str(tmp_path / "rows"))
+    index = ordering.PositionIndex.build(df, str(tmp_path / "index"), "a", "b")
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1])
+    for limit, offset in ((10, 0), (25, 240), (7, 496), (5, 900), (500, 0), (3, 12)):
+        got = sorted((tuple(r) for r in index.page(df, limit, offset).collect()), key=key)
+        assert got == want[offset : offset + limit]
+    numbered = {(r["a"], r["b"]): r["row_index"] for r in index.number(df).collect()}
+    assert numbered == {r[:2]: k for k, r in enumerate(want)} and index.count() == 500
+    unique = {(r["a"], r["b"]): r["row_index"] for r in ordering.with_row_index(df, "a", "b", unique=True).collect()}
+    assert unique == numbered
+    assert set(index._keys().columns) == {"a", "b", "__part", "__local"}
+    plan = index.keys_between(240, 250)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(__part" in plan, plan
+
+
+def test_numbering_writes_no_wide_column(spark, tmp_path):
+    emails(spark, range(50)).write.parquet(str(tmp_path / "rows"))
+    df = spark.read.parquet(str(tmp_path / "rows"))
+    written = []
+    before = ordering.settled
+    ordering.settled = lambda d: written.append(d.columns) or before(d)
+    try:
+        numbered = ordering.with_row_index(df, "arrival", unique=True)
+        assert [r["row_index"] for r in numbered.orderBy("arrival").collect()] == list(range(50))
+    finally:
+        ordering.settled = before
+    assert written == [["arrival", "__part", "__local"]]
+
+
+def test_redelivered_messages_are_dropped_by_state(spark, tmp_path):
+    """Copies in a later batch never reach the sink; other content under the same id does."""
+    folder, schema = str(tmp_path / "in"), "arrival long, id string, threadId string, raw string"
+    feed = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+    out, check = str(tmp_path / "out"), str(tmp_path / "check")
+
+    def run():
+        raw = spark.readStream.schema(schema).parquet(folder)
+        query = streams.write_stream(streams.without_redelivered(raw, "1 day"), out, check)
+        query.awaitTermination()
+        return query
+
+    feed([(1, "m1", "t", "aaa"), (2, "m2", "t", "bbb"), (3, "m2", "t", "bbb")])
+    query = run()
+    assert [o.operatorName for o in query.recentProgress[0].stateOperators] == ["dedupeWithinWatermark"]
+    feed([(4, "m1", "t", "aaa"), (5, "m1", "t", "other"), (6, "m3", "t", "ccc")])
+    run()
+    got = sorted((r["id"], r["raw"]) for r in spark.read.schema(schema).parquet(out).collect())
+    assert got == [("m1", "aaa"), ("m1", "other"), ("m2", "bbb"), ("m3", "ccc")]
+
+
+def test_counters_of_streams(spark, tmp_path):
+    from mailloom.operators.embedding import hashing_encoder
+    from mailloom.streaming.counters import stream_counters
+
+    folder = str(tmp_path / "in")
+    rows = emails(spark, range(30), body="a  b ").withColumn("body_cleaned", F.when(F.col("arrival") % 3 == 0, "a b").otherwise("a  b "))
+    rows.repartition(3).write.parquet(folder)
+    stream = lambda: spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    points_ = PointTable(spark, str(tmp_path / "points"), buckets=2)
+    with stream_counters(spark) as counters:
+        cleaned = streams.clean_stream(stream(), str(tmp_path / "out"), str(tmp_path / "c1"))
+        assert counters.of(cleaned) == {"processed": 30, "updated": 20}
+        vectorized = streams.vectorize_stream(stream(), points_, hashing_encoder(8), str(tmp_path / "c2"))
+        assert counters.of(vectorized) == {"emails_processed": 30, "chunks_upserted": 30}
+    assert points_.read().count() == 30
