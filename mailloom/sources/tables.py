@@ -176,19 +176,20 @@ class PointTable(_Folder):
     def _name(self, folder: str) -> str:
         return f"points_{folder}"
 
-    def read(self) -> DataFrame:
-        """All points; empty before the first write."""
+    def read(self, spark: SparkSession | None = None) -> DataFrame:
+        """All points; empty before the first write. A micro-batch reads in its own session."""
+        spark = spark or self.spark
         folder = self._settled("rows", None, None)
         if folder is None:
-            return self.spark.createDataFrame([], POINTS)
+            return spark.createDataFrame([], POINTS)
         name = self._name(folder)
-        if not self.spark.catalog.tableExists(name):
+        if not spark.catalog.tableExists(name):
             fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in POINTS.fields)
             place = f"{self.path}/{folder}".replace("'", "\\'")
-            self.spark.sql(
+            spark.sql(
                 f"create table {name} ({fields}) using parquet clustered by (id) sorted by (id) into {self.buckets} buckets location '{place}'"
             )
-        return self.spark.table(name)
+        return spark.table(name)
 
     def _write(self, points: DataFrame) -> None:
         """Put ``points`` in place of all rows."""
@@ -218,5 +219,5 @@ class PointTable(_Folder):
             if self._settled("rows", None, None) is None:
                 self._write(new.repartition(self.buckets, "id"))
             else:
-                self._write(upsert.merge_points(self.read(), new, replace_emails=replace_emails))
+                self._write(upsert.merge_points(self.read(new.sparkSession), new, replace_emails=replace_emails))
         return observed(seen, "n")["n"]
