@@ -39,6 +39,8 @@ HEADLINES = [
     "r1_import_stream",
     "r2_vectorize_stream",
     "r4_resume_stream",
+    "e8_plan_stream",
+    "v8_nearest_points",
 ]
 
 
