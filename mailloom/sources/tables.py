@@ -60,16 +60,20 @@ class _Folder:
     def rejected_path(self) -> str:
         return f"{self.path}_rejected"
 
-    def reject(self, rows: DataFrame) -> None:
-        """Append rows that the table does not take; nothing is written for none."""
+    def reject(self, rows: DataFrame, run: str | None = None) -> None:
+        """Keep rows that the table does not take; nothing is written for none.
+
+        Rows of a ``run`` that is repeated take the place of those it left before.
+        """
         if not rows.isEmpty():
-            rows.write.mode("append").option("mergeSchema", "true").parquet(self.rejected_path)
+            folder = f"{self.rejected_path}/run={run or uuid.uuid4().hex}"
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(folder)
 
     def rejected(self) -> DataFrame | None:
         """All rejected rows so far, None if there never were any."""
         if not path_exists(self.spark, self.rejected_path):
             return None
-        return self.spark.read.option("mergeSchema", "true").parquet(self.rejected_path)
+        return self.spark.read.option("mergeSchema", "true").parquet(self.rejected_path).drop("run")
 
 
 class EmailTable(_Folder):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -28,7 +29,13 @@ def without_redelivered(raw: DataFrame, within: str) -> DataFrame:
 
 
 def import_stream(
-    raw: DataFrame, table: EmailTable, checkpoint: str, *, order: str = "arrival", redelivered_within: str | None = None
+    raw: DataFrame,
+    table: EmailTable,
+    checkpoint: str,
+    *,
+    order: str = "arrival",
+    redelivered_within: str | None = None,
+    compact_every: int = 50,
 ) -> StreamingQuery:
     """Parse, check, deduplicate and insert each micro-batch.
 
@@ -36,8 +43,9 @@ def import_stream(
     first; ``stream_messages`` adds ``arrival``. Equal ones go by their place in
     the batch. The table itself remembers the
     keys, so no state grows with the stream and a repeated batch inserts nothing
-    twice. Messages that cannot be read or stored go to ``table.rejected()``; a
-    repeated batch may list them again.
+    twice. Messages that cannot be read or stored go to ``table.rejected()``, those
+    of a repeated batch in place of its first ones. After ``compact_every`` batches the
+    buckets with many small files are merged.
 
     A source that delivers messages more than once may be given
     ``redelivered_within``: copies within that time are then dropped before they are
@@ -46,13 +54,17 @@ def import_stream(
     if redelivered_within is not None:
         raw = without_redelivered(raw, redelivered_within)
 
-    def insert(batch: DataFrame, _batch_id: int) -> None:
+    run = uuid.uuid5(uuid.NAMESPACE_URL, checkpoint).hex
+
+    def insert(batch: DataFrame, batch_id: int) -> None:
         placed = batch.withColumn("__order", F.struct(order, F.monotonically_increasing_id().alias("place")))
         rows = importing.to_email_rows(importing.parse_messages(placed))
         # One write of the parsed batch, since Spark would otherwise parse per use.
         with staged(importing.check_rows(rows), "import-batch") as checked:
-            table.reject(checked.filter(F.col("skip_reason").isNotNull()).drop("__order"))
+            table.reject(checked.filter(F.col("skip_reason").isNotNull()).drop("__order"), f"{run}-{batch_id}")
             table.insert_if_absent(checked.filter(F.col("skip_reason").isNull()), "__order")
+        if batch_id % compact_every == compact_every - 1:
+            table.compact()
 
     return _run(raw.writeStream.foreachBatch(insert), checkpoint)
 

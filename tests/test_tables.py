@@ -467,3 +467,25 @@ def test_counters_of_streams(spark, tmp_path):
         vectorized = streams.vectorize_stream(stream(), points_, hashing_encoder(8), str(tmp_path / "c2"))
         assert counters.of(vectorized) == {"emails_processed": 30, "chunks_upserted": 30}
     assert points_.read().count() == 30
+
+
+def test_repeated_import_batch(spark, tmp_path):
+    """A batch whose commit was lost is run again: nothing is inserted or rejected twice, and files are merged."""
+    folder, schema = str(tmp_path / "in"), "arrival long, id string, threadId string, raw string"
+    good, bad = "RnJvbTogYUBiLmMKCmhp", "!"
+    table = EmailTable(spark, str(tmp_path / "emails"), digits=1)
+    feed = lambda *rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+
+    def run():
+        raw = spark.readStream.schema(schema).parquet(folder)
+        streams.import_stream(raw, table, str(tmp_path / "check"), compact_every=2).awaitTermination()
+
+    feed((1, "m1", "t", good), (2, "x", "t", bad))
+    run()
+    (tmp_path / "check" / "commits" / "0").unlink()
+    (tmp_path / "check" / "commits" / ".0.crc").unlink(missing_ok=True)
+    run()
+    assert table.read().count() == 1 and [r["external_message_id"] for r in table.rejected().collect()] == ["x"]
+    feed((3, "m2", "t", good), (4, "y", "t", bad))
+    run()
+    assert table.read().count() == 2 and sorted(r["external_message_id"] for r in table.rejected().collect()) == ["x", "y"]
