@@ -27,7 +27,7 @@ from mailloom.operators import (
     vector_search,
 )
 from mailloom.plans import jobs
-from mailloom.session import new_work_folder
+from mailloom.session import is_folder, new_work_folder
 from mailloom.sources.messages import read_messages
 from mailloom.sources.tables import EmailTable, PointTable
 from mailloom.streaming import jobs as streams
@@ -1298,9 +1298,11 @@ def _(spark, sf):
 
 
 def _stream(spark, sf, name: str, sql: str) -> DataFrame:
-    """A view over one given table read as a file stream."""
-    schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    """A view over one given table, a file or a folder of files, read as a file stream."""
+    path = f"{sf}/{name}.parquet"
+    source = spark.readStream.schema(spark.read.parquet(path).schema)
+    # A stream reads folders only: a table of one file is picked by its name.
+    source = source.parquet(path) if is_folder(spark, path) else source.option("pathGlobFilter", f"{name}.parquet").parquet(sf)
     return spark.sql(sql.replace(f"from {name}", f"from {{{name}}}"), **{name: source})
 
 
