@@ -20,6 +20,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mailloom.functions.batches import portions
+
 PARSED_FIELDS = T.StructType(
     [
         T.StructField("subject", T.StringType()),
@@ -207,13 +209,19 @@ def parse(raw: bytes | None, using: policy.EmailPolicy = policy.default) -> dict
 
 
 def parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replace the ``content`` column of each batch by the parsed fields."""
+    """Replace the ``content`` column of each batch by the parsed fields.
+
+    A batch is parsed in portions, so that memory goes by them and not by what the
+    engine puts into one batch.
+    """
     using = parsing_policy()
     for batch in batches:
         at = batch.schema.get_field_index("content")
-        rows = [parse(value.as_py(), using) for value in batch.column(at)]
         names = [n for n in batch.schema.names if n != "content"]
-        columns = [batch.column(batch.schema.get_field_index(n)) for n in names]
-        for field in PARSED_FIELDS.names:
-            columns.append(pa.array([r.get(field) for r in rows], type=_ARROW_TYPES.get(field, pa.string())))
-        yield pa.RecordBatch.from_arrays(columns, names + PARSED_FIELDS.names)
+        for start, length in portions(batch.column(at)):
+            part = batch.slice(start, length)
+            rows = [parse(value.as_py(), using) for value in part.column(at)]
+            columns = [part.column(part.schema.get_field_index(n)) for n in names]
+            for field in PARSED_FIELDS.names:
+                columns.append(pa.array([r.get(field) for r in rows], type=_ARROW_TYPES.get(field, pa.string())))
+            yield pa.RecordBatch.from_arrays(columns, names + PARSED_FIELDS.names)

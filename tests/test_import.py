@@ -185,3 +185,22 @@ def test_dates_like_the_library(values):
     ]
     naive = [t and t.replace(tzinfo=None) for t in map(mime.sent_time, items)]
     assert values(lambda c: F.date_format(mime.sent_times(c), "yyyy-MM-dd HH:mm:ss"), items) == [t and t.isoformat(" ") for t in naive]
+
+
+def test_batches_are_parsed_in_portions(monkeypatch):
+    """What a worker holds goes by a fixed number of bytes, not by the size of the batch it is sent."""
+    import pyarrow as pa
+
+    from mailloom.functions import batches, mime
+
+    held, parse = [], mime.parse
+    monkeypatch.setattr(mime, "parse", lambda raw, using: held.append(len(raw or b"")) or parse(raw, using))
+    content = [None if k % 7 == 0 else b"From: a@b.c\n\n" + b"x" * (1000 * (k % 50)) for k in range(2000)] + [b"From: a@b.c\n\n" + b"y" * (6 << 20)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2001)), pa.array(content, pa.binary())], ["arrival", "content"])
+    out = []
+    for part in mime.parse_batches(iter([batch, batch.slice(0, 0)])):
+        assert sum(held) <= batches.PORTION or len(held) == 1
+        held.clear()
+        out += part.to_pylist()
+    assert [r["arrival"] for r in out] == list(range(2001))
+    assert [r["body_text"] for r in out] == [c and c[13:].decode() for c in content]
