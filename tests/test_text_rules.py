@@ -233,3 +233,21 @@ def test_only_odd_pages_reach_the_tree(spark, monkeypatch):
     got = [r["out"] for r in plan.collect()]
     assert [g.strip() for g in got[:3]] == ["a & b ©", "plain", "x < y"]
     assert got[3] == rows[3] and got[4] == rows[4]
+
+
+def test_markup_is_read_in_portions(monkeypatch):
+    """The tree helper holds a bounded number of bytes of markup, whatever the size of a batch."""
+    import pyarrow as pa
+
+    from mailloom.functions import batches, html_tree
+
+    held = []
+    each = html_tree.prune
+    monkeypatch.setattr(html_tree, "prune", lambda s, **k: held.append(len(s)) or each(s, **k))
+    pages = [None if k % 5 == 0 else f'<p>{"x" * (3000 * (k % 20))}<i aria-hidden="true">no</i></p>' for k in range(500)]
+    out = []
+    for part in html_tree.prune_hidden.func(iter([pa.array(pages), pa.array([], pa.string())])):
+        assert sum(held) <= batches.PORTION
+        held.clear()
+        out += part.to_pylist()
+    assert out == [p and p.replace('<i aria-hidden="true">no</i>', "<wbr>") for p in pages]
