@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -19,6 +18,13 @@ PROGRESS = (
 )
 
 
+#: A plan as it is kept: its version, its steps, their results, and the steps whose result came again.
+PLAN = (
+    "version long, steps array<long>, statuses array<string>, types array<string>, done array<long>, artifacts array<array<string>>, "
+    "repeated array<long>"
+)
+
+
 class PlanProgress(StatefulProcessor):
     """Steps and results of one plan, in whatever order they come.
 
@@ -27,46 +33,36 @@ class PlanProgress(StatefulProcessor):
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.steps = handle.getMapState("steps", "step_index long", "status string, type string")
-        self.results = handle.getMapState("results", "step_index long", "artifacts array<string>")
-        self.repeated = handle.getListState("repeated", "step_index long")
-        self.version = handle.getValueState("version", "n long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # One read of the plan, then only what is new is written.
-        steps = {k[0]: tuple(v) for k, v in self.steps.iterator()}
-        results = {k[0]: list(v[0]) for k, v in self.results.iterator()}
-        again = [r[0] for r in self.repeated.get()]
-        for frame in rows:
-            for step, kind, status, artifacts in zip(frame["step_index"], frame["type"], frame["status"], frame["artifacts"]):
-                step = int(step)
-                if artifacts is None:
-                    if step not in steps:
-                        steps[step] = (status, kind)
-                        self.steps.updateValue((step,), steps[step])
-                elif step in results:
-                    again.append(step)
-                    self.repeated.appendValue((step,))
-                else:
-                    results[step] = [str(a) for a in artifacts]
-                    self.results.updateValue((step,), (results[step],))
-        version = self.version.get()[0] + 1 if self.version.exists() else 1
-        self.version.update((version,))
+        self.plan = handle.getValueState("plan", PLAN)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        # One read and one write of the plan: each access to the state is a call of the engine.
+        version, known, statuses, kinds, done, artifacts, again = self.plan.get() or (0, *([] for _ in range(6)))
+        steps = {k: (status, kind) for k, status, kind in zip(known, statuses, kinds)}
+        results = {k: list(a) for k, a in zip(done, artifacts)}
+        again, version = list(again), version + 1
+        for row in rows:
+            if row["artifacts"] is None:
+                steps.setdefault(row["step_index"], (row["status"], row["type"]))
+            elif row["step_index"] in results:
+                again.append(row["step_index"])
+            else:
+                results[row["step_index"]] = list(row["artifacts"])
+        kept = ([s for s, _ in steps.values()], [k for _, k in steps.values()], list(results), list(results.values()))
+        self.plan.update((version, list(steps), *kept, again))
         pending = sorted(k for k, (status, _) in steps.items() if status == rules.STEP_PENDING and k not in results)
         done = sum(status == rules.STEP_COMPLETED or k in results for k, (status, _) in steps.items())
-        one = {
-            "plan_id": key[0],
-            "version": version,
-            "step_index": pending[0] if pending else None,
-            "type": steps[pending[0]][1] if pending else None,
-            "route": rules.ROUTE_DISPATCH if pending else rules.ROUTE_SHUTDOWN,
-            "completed": done,
-            "artifacts": [a for k in sorted(results) for a in results[k]],
-            "repeated": sorted(again),
-            "orphans": sorted(results.keys() - steps.keys()),
-        }
-        frame = pd.DataFrame({name: [value] for name, value in one.items()})
-        yield frame.astype({"step_index": "Int64"})
+        yield Row(
+            plan_id=key[0],
+            version=version,
+            step_index=pending[0] if pending else None,
+            type=steps[pending[0]][1] if pending else None,
+            route=rules.ROUTE_DISPATCH if pending else rules.ROUTE_SHUTDOWN,
+            completed=done,
+            artifacts=[a for k in sorted(results) for a in results[k]],
+            repeated=sorted(again),
+            orphans=sorted(results.keys() - steps.keys()),
+        )
 
     def close(self) -> None:
         pass
@@ -91,7 +87,7 @@ def advance(events: DataFrame) -> DataFrame:
         "plan_id", F.col("step_index").cast("long").alias("step_index"), "type", "status", F.col("artifacts").cast("array<string>").alias("artifacts")
     )
     schema = PROGRESS.format(key=named.schema["plan_id"].dataType.simpleString())
-    return named.groupBy("plan_id").transformWithStateInPandas(
+    return named.groupBy("plan_id").transformWithState(
         PlanProgress(), outputStructType=schema, outputMode="Append", timeMode="None"
     )
 

@@ -489,3 +489,22 @@ def test_repeated_import_batch(spark, tmp_path):
     feed((3, "m2", "t", good), (4, "y", "t", bad))
     run()
     assert table.read().count() == 2 and sorted(r["external_message_id"] for r in table.rejected().collect()) == ["x", "y"]
+
+
+def test_plan_state_is_read_and_written_once():
+    """However many rows a micro-batch brings for a plan, the engine is called twice for its state."""
+    from types import SimpleNamespace
+
+    from pyspark.sql import Row
+
+    from mailloom.streaming.plans import PlanProgress
+
+    kept, calls = [None], []
+    state = SimpleNamespace(get=lambda: calls.append("get") or kept[0], update=lambda v: calls.append("update") or kept.__setitem__(0, v))
+    progress = PlanProgress()
+    progress.init(SimpleNamespace(getValueState=lambda *_: state))
+    row = lambda step, artifacts: Row(step_index=step, type=f"t{step}", status="pending", artifacts=artifacts)
+    list(progress.handleInputRows(("p",), iter([row(k, None) for k in range(20)] + [row(3, ["a"]), row(3, ["b"])]), None))
+    (last,) = progress.handleInputRows(("p",), iter([row(0, []), row(0, None)]), None)
+    assert calls == ["get", "update"] * 2
+    assert (last.version, last.step_index, last.type, last.completed, last.artifacts, last.repeated) == (2, 1, "t1", 2, ["a"], [3])
