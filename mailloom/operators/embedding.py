@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
-from pyspark.ml.functions import predict_batch_udf
+import pyarrow as pa
+from pyspark.ml.model_cache import ModelCache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,15 +29,29 @@ def embed(
     ``make_encoder`` runs once per Python worker and returns a function from
     an array of texts to a matrix, so a model is loaded once and fed batches.
     """
-    encode = predict_batch_udf(
-        lambda: _text_adapter(make_encoder()), return_type=T.ArrayType(T.FloatType()), batch_size=batch_size
-    )
+    name = uuid.uuid4()
+
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder = ModelCache.get(name)
+        if encoder is None:
+            encoder = make_encoder()
+            ModelCache.add(name, encoder)
+        for texts in batches:
+            for at in range(0, len(texts), batch_size):
+                yield _vectors(encoder, np.array(texts.slice(at, batch_size).to_pylist(), dtype=object))
+
     text = embedding_text(F.col("sender"), F.col("subject"), F.col("chunk_text"))
     return chunks.withColumn(out, encode(text))
 
 
-def _text_adapter(encoder: Encoder) -> Encoder:
-    return lambda texts: np.asarray(encoder(np.ravel(texts)), dtype=np.float32)
+def _vectors(encoder: Encoder, texts: np.ndarray) -> pa.Array:
+    """The rows of the encoder's matrix as lists, without an object for each number."""
+    matrix = np.ascontiguousarray(encoder(texts), dtype=np.float32)
+    if matrix.ndim != 2 or len(matrix) != len(texts):
+        raise ValueError(f"an encoder of {len(texts)} texts gave an array of shape {matrix.shape}")
+    offsets = np.arange(len(matrix) + 1, dtype=np.int32) * matrix.shape[1]
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(matrix.ravel()))
 
 
 def hashing_encoder(dim: int = rules.VECTOR_DIM) -> Callable[[], Encoder]:

@@ -91,3 +91,16 @@ def test_vector_checks(spark):
                                           embedding.cosine(F.col("vector"), F.col("vector")).alias("cos")).collect()}
     assert got["a"]["n"] == 5.0 and got["a"]["u"] == [0.6, 0.8] and abs(got["a"]["cos"] - 1) < 1e-12
     assert got["b"]["u"] == [0.0, 0.0] and got["b"]["cos"] is None
+
+
+def test_matrices_become_lists_whole():
+    """The rows of an encoder's matrix share one buffer; a matrix that does not fit its texts is an error."""
+    import numpy as np
+
+    from mailloom.operators import embedding
+
+    texts = np.array(["a", "b", "c"], dtype=object)
+    got = embedding._vectors(lambda t: np.arange(12).reshape(len(t), 4), texts)
+    assert got.to_pylist() == [[0, 1, 2, 3], [4, 5, 6, 7], [8, 9, 10, 11]] and len(got.flatten()) == 12
+    with pytest.raises(ValueError, match="3 texts"):
+        embedding._vectors(lambda t: np.zeros((2, 4)), texts)
