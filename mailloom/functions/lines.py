@@ -16,7 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from mailloom import rules
-from mailloom.functions.text import bind, strip
+from mailloom.functions.text import bind, strip_value
 
 
 def split_lines(text: Column) -> Column:
@@ -31,8 +31,26 @@ _SEPARATOR = rf"{rules.SEPARATOR_LINE}\z"
 _IMAGE = rf"{rules.IMAGE_LINE}\z"
 _MARKUP = "|".join(rules.MARKUP_LINES)
 
-_PLAIN_PHRASES = [p for p in rules.FOOTER_PHRASES if p == re.escape(p).replace(r"\ ", " ")]
-_PHRASE_PATTERNS = [p for p in rules.FOOTER_PHRASES if p not in _PLAIN_PHRASES]
+# Letters of English text, the rarest first.
+_RARE_FIRST = "zqxjkvbpygfwmucldrhsnioate "
+
+
+def _any_phrase(phrases: list[str]) -> str:
+    """A pattern for any of ``phrases``, which begin with plain letters, in one fast pass over a text.
+
+    Each is told from the rarest letter of its beginning, by looking back and ahead
+    from there, so that most places of a text cost one look into a small class.
+    """
+    by_letter: dict[str, list[str]] = {}
+    for phrase in phrases:
+        head = re.match(r"[a-z ]+", phrase)[0]
+        at = min(range(len(head)), key=lambda i: _RARE_FIRST.index(head[i]))
+        by_letter.setdefault(head[at], []).append(f"(?<={phrase[: at + 1]}){phrase[at + 1 :]}")
+    told = "|".join(f"{letter}(?:{'|'.join(rest)})" for letter, rest in by_letter.items())
+    return f"(?=[{''.join(by_letter)}])(?:{told})"
+
+
+_PHRASE = _any_phrase(rules.FOOTER_PHRASES)
 
 
 def is_separator(line: Column) -> Column:
@@ -49,20 +67,23 @@ def is_markup(lowered: Column) -> Column:
 
 def is_footer(lowered: Column) -> Column:
     """Footer phrase anywhere, a lone web address, two or more addresses, an exact value."""
-    phrases = reduce(or_, [lowered.contains(phrase) for phrase in _PLAIN_PHRASES])
     lone_address = lowered.rlike(rf"(?U)\A{rules.WEB_ADDRESS}\z")
     many_addresses = F.regexp_count(lowered, F.lit(rf"(?U){rules.WEB_ADDRESS}")) >= 2
     return (
         (lowered.contains("://") & (lone_address | many_addresses))
-        | phrases
-        | lowered.rlike("|".join(_PHRASE_PATTERNS))
+        | lowered.rlike(_PHRASE)
         | lowered.isin(*rules.FOOTER_LINES)
     )
 
 
+# First characters that the anchored rules know.
+_FIRST = sorted({*"-_=~*#[", *(line[0] for line in rules.MARKUP_LINES)})
+
+
 def is_noise(lowered: Column) -> Column:
     """Any of the four kinds; the anchored ones are tried in one pass."""
-    return lowered.rlike(rf"(?dsU)\A(?:{_SEPARATOR}|{_IMAGE}|{_MARKUP})") | is_footer(lowered)
+    may_start = reduce(or_, [lowered.startswith(first) for first in _FIRST])
+    return (may_start & lowered.rlike(rf"(?dsU)\A(?:{_SEPARATOR}|{_IMAGE}|{_MARKUP})")) | is_footer(lowered)
 
 
 # Starts of the lines that the anchored rules know.
@@ -73,18 +94,16 @@ def may_hold_noise(lowered: Column) -> Column:
     """False only for a lower-cased text none of whose lines can be noise.
 
     A pass over the whole text in place of one per line; it may say yes too often.
+    ``lowered`` is bound, for the optimiser copies it into the lambda that asks, once per use.
     """
-    phrases = reduce(or_, [lowered.contains(phrase) for phrase in [*_PLAIN_PHRASES, "://"]])
-    anchored = lowered.rlike(rf"(?dmU)^[\s\p{{Z}}]*+(?:{_STARTS})")
-    return phrases | lowered.rlike("|".join(_PHRASE_PATTERNS)) | anchored
+    anchored = rf"(?dmU)^[\s\p{{Z}}]*+(?:{_STARTS})"
+    return bind(lowered, lambda t: t.contains("://") | t.rlike(_PHRASE) | t.rlike(anchored))
 
 
-def with_lowered(lines: Column) -> Column:
-    """Lines as structs of the stripped line and its lower-cased form."""
-    stripped = F.transform(lines, strip)
-    return F.transform(
-        stripped, lambda line: F.struct(line.alias("line"), F.lower(line).alias("lowered"))
-    )
+def with_lowered(lines: Column, *, stripped: bool = False) -> Column:
+    """Lines as structs of the stripped line and its lower-cased form; ``stripped`` lines are taken as they are."""
+    lines = lines if stripped else F.transform(lines, strip_value)
+    return F.transform(lines, lambda line: F.struct(line.alias("line"), F.lower(line).alias("lowered")))
 
 
 def drop_noise(pairs: Column) -> Column:
@@ -107,15 +126,20 @@ def _with_previous(items: Column) -> Column:
     )
 
 
-def with_keys(pairs: Column) -> Column:
-    """Lines as structs of their key, by which repeats are told, their place and the line."""
+def with_keys(pairs: Column, *, normal: bool = False) -> Column:
+    """Lines as structs of their key, by which repeats are told, their place and the line.
+
+    Lines of a ``normal`` text have white space that is more than one plain space
+    only with a line or paragraph separator.
+    """
+
+    def key(lowered: Column) -> Column:
+        folded = F.regexp_replace(lowered, r"(?U)\s+", " ")
+        wide = lowered.contains("\u2028") | lowered.contains("\u2029")
+        return F.when(wide, folded).otherwise(lowered) if normal else folded
+
     return F.transform(
-        pairs,
-        lambda p, i: F.struct(
-            F.regexp_replace(p.lowered, r"(?U)\s+", " ").alias("key"),
-            i.alias("pos"),
-            p.line.alias("line"),
-        ),
+        pairs, lambda p, i: F.struct(key(p.lowered).alias("key"), i.alias("pos"), p.line.alias("line"))
     )
 
 

@@ -8,6 +8,8 @@ inside whole-stage code generation. Flags used throughout: ``d`` so that only
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,9 +22,18 @@ def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def strip_value(text: Column) -> Column:
+    """As ``strip``, for a column or lambda variable: it is read several times.
+
+    ``trim`` lays out the places of all characters of a text; the ends alone tell whether it has to.
+    """
+    at_ends = reduce(or_, [text.endswith(w) for w in rules.WHITESPACE], F.ascii(text).isin(*map(ord, rules.WHITESPACE)))
+    return F.when(at_ends, F.trim(text, F.lit(rules.WHITESPACE))).otherwise(text)
+
+
 def strip(text: Column) -> Column:
     """Remove Unicode white space at both ends."""
-    return F.trim(text, F.lit(rules.WHITESPACE))
+    return bind(text, strip_value)
 
 
 def drop_invisible(text: Column) -> Column:
@@ -35,8 +46,15 @@ def fold_spaces(text: Column) -> Column:
     return F.regexp_replace(text, r"[\p{Zs}&&[^ ]]", " ")
 
 
+# A plain class is told fastest; the second may say yes for code points that are not assigned.
+_NOT_PLAIN = r"[^\n\t -~]"
+_MAY_BE_INVISIBLE = r"[[^\n\t -~]&&[\p{C}\p{Zs}]]"
+
+
 def visible(text: Column) -> Column:
-    return fold_spaces(drop_invisible(text))
+    """Both rules; a text that holds nothing for them is not written anew."""
+    held = lambda t: t.rlike(_NOT_PLAIN) & t.rlike(_MAY_BE_INVISIBLE)
+    return bind(text, lambda t: F.when(held(t), fold_spaces(drop_invisible(t))).otherwise(t))
 
 
 def drop_declarations(text: Column) -> Column:
@@ -155,7 +173,8 @@ def decode_entities(text: Column) -> Column:
 
 def collapse_blank_lines(text: Column) -> Column:
     """At most one blank line in a row, none at the ends, for stripped lines."""
-    return strip(F.regexp_replace(text, r"\n{3,}", "\n\n"))
+    collapsed = lambda t: F.when(t.contains("\n\n\n"), F.regexp_replace(t, r"\n{3,}", "\n\n")).otherwise(t)
+    return strip(bind(text, collapsed))
 
 
 def tidy_lines(text: Column) -> Column:
@@ -164,13 +183,17 @@ def tidy_lines(text: Column) -> Column:
     A trailing run is matched from its first character only, so a long run
     costs linear time.
     """
-    text = F.regexp_replace(text, r"\p{Z}(?<!\p{Z}{2})\p{Z}*\n", "\n")
-    return collapse_blank_lines(F.regexp_replace(text, r"\n\p{Z}+", "\n"))
+    wide = lambda t: (F.octet_length(t) != F.length(t)) & t.rlike(r"\p{Z}\n|\n\p{Z}")
+    ragged = lambda t: t.contains(" \n") | t.contains("\n ") | wide(t)
+    tidied = lambda t: F.regexp_replace(t, r"\p{Z}(?<!\p{Z}{2})\p{Z}*\n\p{Z}*|\n\p{Z}+", "\n")
+    return collapse_blank_lines(bind(text, lambda t: F.when(ragged(t), tidied(t)).otherwise(t)))
 
 
 def single_spaces(text: Column) -> Column:
     """Runs of spaces and tabs become one space; single spaces are not touched."""
-    return F.regexp_replace(text, r"[ \t](?:(?<=\t)|[ \t])[ \t]*", " ")
+    wide = lambda t: t.contains("\t") | t.contains("  ")
+    narrowed = lambda t: F.regexp_replace(t, r"[ \t](?:(?<=\t)|[ \t])[ \t]*", " ")
+    return bind(text, lambda t: F.when(wide(t), narrowed(t)).otherwise(t))
 
 
 def normalise(text: Column) -> Column:
@@ -184,7 +207,7 @@ _REPLY = rf"(?imdU)^(?:{'|'.join(rules.REPLY_HEADERS)})$"
 def cut_reply(text: Column) -> Column:
     """Keep what stands before the first quoted-reply header."""
     head = F.split(text, _REPLY, 2)
-    return bind(head, lambda h: F.when(F.size(h) > 1, strip(h[0])).otherwise(h[0]))
+    return bind(head, lambda h: F.when(F.size(h) > 1, F.trim(h[0], F.lit(rules.WHITESPACE))).otherwise(h[0]))
 
 
 _SIGNATURE = rf"(?imdU)^(?:{'|'.join(rules.SIGNATURE_LINES)})$"
@@ -192,7 +215,8 @@ _SIGNATURE = rf"(?imdU)^(?:{'|'.join(rules.SIGNATURE_LINES)})$"
 
 def blank_signatures(text: Column) -> Column:
     """Blank app and device signatures and leaked tags in text with stripped lines."""
-    return collapse_blank_lines(F.regexp_replace(text, _SIGNATURE, ""))
+    blanked = lambda t: F.when(t.rlike(_SIGNATURE), F.regexp_replace(t, _SIGNATURE, "")).otherwise(t)
+    return collapse_blank_lines(bind(text, blanked))
 
 
 def drop_signatures(text: Column) -> Column:

@@ -116,7 +116,7 @@ def markup_to_text(
 
 
 def clean_lines(body: Column, noisy: Column) -> Column:
-    """Noise lines dropped and repeated lines removed, within one text.
+    """Noise lines dropped and repeated lines removed, within one visible, normalised text.
 
     Texts that hold no noise, or no line twice, skip the work on each line;
     without repeats there are only blank lines to collapse.
@@ -126,9 +126,9 @@ def clean_lines(body: Column, noisy: Column) -> Column:
         plain = text.collapse_blank_lines(F.array_join(F.transform(keyed, lambda k: k.line), "\n"))
         return F.when(lines.has_repeats(keyed), text.strip(lines.join_lines(lines.drop_repeats(keyed)))).otherwise(plain)
 
-    pairs = lines.with_lowered(lines.split_lines(body))
+    pairs = lines.with_lowered(lines.split_lines(body), stripped=True)
     kept = bind(pairs, lambda p: F.when(noisy, lines.drop_noise(p)).otherwise(p))
-    return bind(lines.with_keys(kept), unrepeated)
+    return bind(lines.with_keys(kept, normal=True), unrepeated)
 
 
 def clean_bodies(
@@ -155,7 +155,7 @@ def clean_bodies(
         df = df.withColumn(bare, F.when(c(markup), text.preclean(c(bare))).otherwise(c(bare)))
     else:
         twice = text.preclean(text.preclean(c(seen)))
-        df = df.withColumn(bare, F.when(c(markup), twice).otherwise(text.strip(c(seen))))
+        df = df.withColumn(bare, F.when(c(markup), twice).otherwise(c(seen)))
     df = (
         markup_to_text(df, bare, raw, has_tags=c(tags), has_entities=c(entities))
         # Decoded entities may bring invisible characters again.

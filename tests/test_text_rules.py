@@ -251,3 +251,26 @@ def test_markup_is_read_in_portions(monkeypatch):
         held.clear()
         out += part.to_pylist()
     assert out == [p and p.replace('<i aria-hidden="true">no</i>', "<wbr>") for p in pages]
+
+
+def test_cleaning_lowers_a_text_once(spark):
+    emails = spark.range(2).selectExpr("id", "concat('Line ', id) as body_cleaned")
+    plan = cleaning.clean_table(emails)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 2  # of the text, to tell whether it may hold noise, and of each line
+
+
+def test_phrases_are_those_of_the_list(values):
+    rnd, plain = random.Random(3), re.compile("|".join(rules.FOOTER_PHRASES))
+    samples = ["copyright ©", "copyright (c)", "virus-free", "virus free", *filter(str.islower, rules.FOOTER_PHRASES)]
+    cut = [s[:i] + s[i + 1 :] for s in samples for i in range(len(s))]
+    mixed = ["".join(rnd.sample(samples, 1) + rnd.sample("ubvkyfpgwm un", 4) + [s]) for s in cut]
+    items = samples + cut + mixed + [s + s for s in cut]
+    assert values(lambda t: t.rlike(lines._PHRASE), items) == [bool(plain.search(s)) for s in items]
+
+
+def test_normal_lines_have_the_keys_of_all_lines(values):
+    items = ["a b\nA  b\n\nA b", "x  y\nX y\n", "one\n\ntwo", ""]
+    for normal in (False, True):
+        keyed = lambda t: lines.with_keys(lines.with_lowered(lines.split_lines(t)), normal=normal)  # noqa: B023, E731
+        keys = values(lambda t: F.array_join(F.transform(keyed(text.normalise(t)), lambda k: k.key), "|"), items)
+        assert keys == ["a b|a b||a b", "x y|x y", "one||two", ""]
