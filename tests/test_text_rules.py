@@ -274,3 +274,11 @@ def test_normal_lines_have_the_keys_of_all_lines(values):
         keyed = lambda t: lines.with_keys(lines.with_lowered(lines.split_lines(t)), normal=normal)  # noqa: B023, E731
         keys = values(lambda t: F.array_join(F.transform(keyed(text.normalise(t)), lambda k: k.key), "|"), items)
         assert keys == ["a b|a b||a b", "x y|x y", "one||two", ""]
+
+
+def test_rules_write_a_text_anew_only_if_it_holds_something_for_them(spark, values):
+    for rule in (text.visible, text.single_spaces, text.tidy_lines, text.collapse_blank_lines, text.blank_signatures, text.strip):
+        plan = spark.range(1).select(rule(F.col("id").cast("string")))._jdf.queryExecution().optimizedPlan().toString()
+        assert "CASE WHEN" in plan, rule
+    items = ["a \n \n b", "a\n \nb", " a \n b ", "a\n\n\n\nb\n", "a b\n\nc", " \n", "a　\n\n\n　b", ""]
+    assert values(text.tidy_lines, items) == ["a\n\nb", "a\n\nb", "a\nb", "a\n\nb", "a b\n\nc", "", "a\n\nb", ""]
