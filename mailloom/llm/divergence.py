@@ -2,7 +2,8 @@
 
 Two passes over the texts: the first counts in how many documents of its language
 each term occurs, the second how often each source uses the terms that are common
-enough. Tasks count in dictionaries and pass on sums.
+enough. Tasks count a portion of texts at a time, as arrays of word codes, and pass on
+sums. From then on numbers stand for terms and sources.
 
 The terms a source favours most come from a skyband. A term whose count in the
 source is no higher, whose count in the language is no lower and whose name comes
@@ -22,13 +23,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mailloom.functions.batches import PORTION, portions
 from mailloom.llm.common import cut, words_in_pieces
 
 #: Shares are counted in parts of this.
 SCALE = 1_000_000_000
 #: Added to every count.
 PRIOR = 5
-#: Terms a task counts before it passes its sums on, and rows it looks at together.
+#: Sums a task holds before it passes its sums on, and rows it looks at together.
 HELD, TOGETHER = 1 << 20, 1 << 17
 #: Points that are compared with the skyband at once.
 BLOCK = 512
@@ -49,42 +51,100 @@ def terms_in_pieces(text: bytes) -> Iterator[list[bytes]]:
     return words_in_pieces(text.translate(_TABLE))
 
 
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The terms of some texts, and for each the place of its text."""
+    firsts = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    data = texts.buffers()[2]
+    if data is None or firsts[0] == firsts[-1]:
+        return pa.array([], pa.string()), np.empty(0, np.int64)
+    codes = np.frombuffer(data[int(firsts[0]) : int(firsts[-1])].to_pybytes().translate(_TABLE), np.uint8)
+    firsts = firsts - firsts[0]
+    inside = codes != 32
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    heads = firsts[:-1][firsts[:-1] < len(codes)]
+    begins[heads] = inside[heads]
+    letters = codes[inside]
+    offsets = np.append(np.flatnonzero(begins[inside]), len(letters)).astype(np.int32)
+    words = pa.Array.from_buffers(pa.string(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(letters)])
+    ends = np.searchsorted(np.flatnonzero(begins), firsts)
+    return words, np.repeat(np.arange(len(texts)), np.diff(ends))
+
+
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and how often each occurs."""
+    keys = np.sort(keys)
+    at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
+    return keys[at], np.diff(np.append(at, len(keys)))
+
+
 def _counted(docs: DataFrame, keys: list[str], once: bool) -> DataFrame:
     """Rows ``keys, term, n``: occurrences of a term, or with ``once`` the documents that hold it. Not yet summed."""
     names = [*keys, "term", "n"]
-
-    def rows(held: dict[tuple, Counter]) -> Iterator[pa.RecordBatch]:
-        for key, counter in held.items():
-            terms, numbers = list(counter), np.fromiter(counter.values(), np.int64, len(counter))
-            for at in range(0, len(terms), TOGETHER):
-                some = terms[at : at + TOGETHER]
-                columns = [pa.array([k] * len(some), pa.string()) for k in key]
-                columns += [pa.array(some, pa.binary()), pa.array(numbers[at : at + TOGETHER])]
-                yield pa.RecordBatch.from_arrays(columns, names)
+    wanted = docs.select(*keys, F.col("text").cast("binary"))
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in wanted.schema.fields[:-1])
+
+    def rows(groups: np.ndarray, terms: pa.Array, numbers: np.ndarray) -> pa.Table:
+        return pa.table({"group": groups, "term": terms, "n": numbers})
+
+    def counts(texts: pa.Array, group: np.ndarray) -> pa.Table:
+        words, text = _words(texts)
+        coded = words.dictionary_encode()
+        terms, code = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+        size = max(len(terms), 1)
+        if once:
+            held, _ = _runs(text * size + code)
+            text, code = held // size, held % size
+        found, numbers = _runs(group[text] * size + code)
+        return rows(found // size, terms.take(pa.array(found % size)), numbers)
+
+    def counts_of_long(text: bytes, group: int) -> pa.Table:
+        counter: Counter = Counter()
+        pieces = terms_in_pieces(text)
+        if once:
+            counter.update(set().union(*pieces))
+        else:
+            for words in pieces:
+                counter.update(words)
+        terms = pa.array(list(counter), pa.binary()).view(pa.string())
+        return rows(np.full(len(terms), group), terms, np.fromiter(counter.values(), np.int64, len(counter)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, Counter] = {}
+        places: dict[tuple, int] = {}
+        held: list[pa.Table] = []
         size = 0
+
+        def merged() -> pa.Table:
+            sums = pa.concat_tables(held).group_by(["group", "term"], use_threads=False).aggregate([("n", "sum")])
+            return sums.select(["group", "term", "n_sum"]).rename_columns(["group", "term", "n"])
+
+        def named(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            columns = [pa.array(list(k), f.type).take(table["group"]) for k, f in zip(zip(*places), types)]
+            full = pa.table([*columns, table["term"], table["n"]], names)
+            yield from full.combine_chunks().to_batches(max_chunksize=TOGETHER)
+
         for batch in batches:
-            own = list(zip(*(batch.column(k).to_pylist() for k in range(len(keys)))))
-            for key, text in zip(own, batch.column(len(keys))):
-                counter = held.setdefault(key, Counter())
-                size -= len(counter)
-                pieces = terms_in_pieces(text.as_py())
-                if once:
-                    counter.update(set().union(*pieces))
+            types = list(batch.schema)[: len(keys)]
+            own = zip(*(batch.column(k).to_pylist() for k in range(len(keys))))
+            group = np.array([places.setdefault(k, len(places)) for k in own], np.int64)
+            texts = batch.column(len(keys)).cast(pa.binary())
+            for start, length in portions(texts):
+                part = texts.slice(start, length)
+                if length == 1 and len(part[0].as_buffer()) > PORTION:
+                    held.append(counts_of_long(part[0].as_py(), group[start]))
                 else:
-                    for words in pieces:
-                        counter.update(words)
-                size += len(counter)
+                    held.append(counts(part, group[start : start + length]))
+                size += held[-1].num_rows
                 if size > HELD:
-                    yield from rows(held)
-                    held, size = {}, 0
-        yield from rows(held)
+                    held = [merged()]
+                    size = held[0].num_rows
+                    if size > HELD // 2:
+                        yield from named(held[0])
+                        held, size = [], 0
+        if held:
+            yield from named(merged())
 
-    fields = ", ".join(f"{k} string" for k in keys)
-    found = docs.select(*keys, F.col("text").cast("binary")).mapInArrow(run, f"{fields}, term binary, n long")
-    return found.withColumn("term", F.col("term").cast("string"))
+    return wanted.mapInArrow(run, f"{fields}, term string, n long")
 
 
 def share(count: Column, total: Column, terms: Column) -> Column:
@@ -125,18 +185,14 @@ def skyband(count: np.ndarray, other: np.ndarray, name: np.ndarray, k: int) -> n
 
 
 def _skybands(rows: DataFrame, k: int) -> DataFrame:
-    """Of each part of the rows (lang, source, term, count, of_lang) the skybands of its groups."""
-    names = rows.columns
+    """Of each part of the rows (group, number, count, of_lang) the skybands of its groups; numbers are in the order of the terms."""
 
     def reduced(held: list[pa.RecordBatch]) -> pa.Table:
         table = pa.Table.from_batches(held)
-        frame = table.select(["lang", "source"]).to_pandas()
-        term = np.array(table.column("term").to_pylist(), object)
-        rank = np.empty(len(term), np.int64)
-        rank[np.argsort(term, kind="stable")] = np.arange(len(term))
-        count, other = (table.column(c).to_numpy() for c in ("count", "of_lang"))
-        groups = frame.groupby(["lang", "source"], sort=False).indices.values()
-        kept = [places[skyband(count[places], other[places], rank[places], k)] for places in groups]
+        group, number, count, other = (table.column(c).to_numpy() for c in ("group", "number", "count", "of_lang"))
+        order = np.argsort(group, kind="stable")
+        groups = np.split(order, np.flatnonzero(np.diff(group[order])) + 1)
+        kept = [places[skyband(count[places], other[places], number[places], k)] for places in groups]
         return table.take(pa.array(np.sort(np.concatenate(kept))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,54 +213,49 @@ def _skybands(rows: DataFrame, k: int) -> DataFrame:
         if held:
             yield from reduced(held).to_batches()
 
-    bytes_first = rows.withColumn("term", F.col("term").cast("binary"))
-    found = bytes_first.mapInArrow(run, bytes_first.schema)
-    return found.withColumn("term", F.col("term").cast("string")).select(*names)
+    return rows.mapInArrow(run, rows.schema)
 
 
 def _distances(cells: DataFrame, groups: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(lang, source, item, value) for each ordered pair of sources of a language.
+    """(group, item, value) for each ordered pair of sources of a language, both as numbers.
 
     Sources are dealt in tiles, terms in blocks. Two tiles meet once for each block
     of terms, as a matrix; a term that neither tile has counts by the shares that
     absent terms get. Only sums of pairs leave a task.
     """
     marks = groups.join(blocks, "lang").select(
-        "lang", "tile", "tiles", "block", "source", F.lit(None).cast("long").alias("number"), F.col("absent").alias("p"), "in_block"
+        "lang", "tile", "tiles", "block", "group", F.lit(None).cast("long").alias("number"), F.col("absent").alias("p"), "in_block"
     )
-    rows = cells.select("lang", "tile", "tiles", "block", "source", "number", "p", F.lit(0).cast("long").alias("in_block")).unionByName(marks)
+    rows = cells.select("lang", "tile", "tiles", "block", "group", "number", "p", F.lit(0).cast("long").alias("in_block")).unionByName(marks)
     sides = rows.withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     sides = sides.withColumns({"low": F.least("tile", "mate"), "high": F.greatest("tile", "mate")})
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         marked = frame["number"].isna().to_numpy()
-        heads = frame[marked].sort_values(["tile", "source"])
-        places = pd.MultiIndex.from_frame(heads[["tile", "source"]])
+        heads = frame[marked].sort_values("group")
         absent = heads["p"].to_numpy(np.int64)
         body = frame[~marked]
-        own, term = places.get_indexer(pd.MultiIndex.from_frame(body[["tile", "source"]])), pd.factorize(body["number"])[0]
+        tile, group = heads["tile"].to_numpy(), heads["group"].to_numpy()
+        own, term = np.searchsorted(group, body["group"].to_numpy()), pd.factorize(body["number"])[0]
         seen = int(term.max(initial=-1)) + 1
         table = np.repeat(absent[:, None], seen, axis=1)
         table[own, term] = body["p"].to_numpy(np.int64)
         unseen = int(heads["in_block"].iloc[0]) - seen
-        tile, source = heads["tile"].to_numpy(), heads["source"].to_numpy()
         low = int(frame["low"].iloc[0])
-        nobody = np.empty(0, object)
-        first, second, value = [nobody], [nobody], [np.empty(0, np.int64)]
+        first, second, value = ([np.empty(0, np.int64)] for _ in range(3))
         for a in np.flatnonzero(tile == low):
             mates = np.flatnonzero(tile == frame["high"].iloc[0])
-            mates = mates[mates > a]
+            mates = mates[(tile[mates] != low) | (mates > a)]
             sums = np.abs(table[mates] - table[a]).sum(axis=1) + unseen * np.abs(absent[mates] - absent[a])
-            first.append(np.full(len(mates), source[a], object))
-            second.append(source[mates])
+            first.append(np.full(len(mates), group[a]))
+            second.append(group[mates])
             value.append(sums)
-        out = pd.DataFrame({"a": np.concatenate(first), "b": np.concatenate(second), "value": np.concatenate(value)})
-        return out.assign(lang=frame["lang"].iloc[0])[["lang", "a", "b", "value"]]
+        return pd.DataFrame({"a": np.concatenate(first), "b": np.concatenate(second), "value": np.concatenate(value)})
 
-    met = sides.groupBy("lang", "low", "high", "block").applyInPandas(run, "lang string, a string, b string, value long")
-    sums = met.groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
-    both = F.array(F.struct(F.col("a").alias("source"), F.col("b").alias("item")), F.struct(F.col("b").alias("source"), F.col("a").alias("item")))
-    return sums.select("lang", "value", F.inline(both)).select("lang", "source", "item", "value")
+    met = sides.groupBy("lang", "low", "high", "block").applyInPandas(run, "a long, b long, value long")
+    sums = met.groupBy("a", "b").agg(F.sum("value").alias("value"))
+    both = F.array(F.struct(F.col("a").alias("group"), F.col("b").alias("item")), F.struct(F.col("b").alias("group"), F.col("a").alias("item")))
+    return sums.select("value", F.inline(both)).select("group", "item", "value")
 
 
 def audit(
@@ -232,46 +283,63 @@ def audit(
     plain = docs.select(
         *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang_column, "lang"), (source_column, "source"), (text_column, "text")))
     )
+    named = _numbered(plain.select("lang", "source").distinct(), "group", "lang", "source")
     held = _counted(plain, ["lang"], once=True).groupBy("lang", "term").agg(F.sum("n").alias("n"))
-    # Written, so that the numbers of the terms stay what they are.
-    words = cut(held.filter(F.col("n") >= min_documents).select("lang", "term")).withColumn("number", F.monotonically_increasing_id())
-    size = words.agg(F.sum(F.octet_length("term") + F.octet_length("lang") + 24)).first()[0] or 0
-    known = F.broadcast(words) if size <= BROADCAST_BYTES else words
-
-    used = _counted(plain, ["lang", "source"], once=False).join(known, ["lang", "term"])
-    used = cut(used.groupBy("lang", "source", "term", "number").agg(F.sum("n").alias("count")))
-
-    in_lang = used.groupBy("lang", "number").agg(F.sum("count").alias("of_lang"))
-    totals = used.groupBy("lang", "source").agg(F.sum("count").alias("n"))
-    of_langs = in_lang.groupBy("lang").agg(F.sum("of_lang").alias("n_lang"), F.count("*").alias("terms"))
-    named = plain.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(of_langs, "lang", "left")
-    places = named.groupBy("lang").agg(F.count("*").alias("sources"))
+    # Numbers in the order of the terms stand for them until the end.
+    words = _numbered(held.filter(F.col("n") >= min_documents).select("lang", "term"), "number", "lang", "term")
+
+    # Dealt by term, so that a term's count in its language needs no other shuffle.
+    grouped = plain.join(_known(named), ["lang", "source"]).select("lang", "group", "text")
+    used = _counted(grouped, ["lang", "group"], once=False).join(_known(words), ["lang", "term"]).select("group", "number", "n")
+    used = used.repartition("number").groupBy("number", "group").agg(F.sum("n").alias("count"))
+    used = cut(used.withColumn("of_lang", F.sum("count").over(Window.partitionBy("number"))))
+
+    totals = used.groupBy("group").agg(F.sum("count").alias("n"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    groups = named.join(totals, "group", "left").join(words.groupBy("lang").agg(F.count("*").alias("terms")), "lang", "left")
+    groups = cut(groups.select("lang", "source", "group", zero("n"), zero("terms")))
+    of_langs = groups.groupBy("lang").agg(F.sum("n").alias("n_lang"), F.count("*").alias("sources"))
     # A source's tile follows from a hash, so no task has to number all sources of a language.
     tiles = F.ceil(F.col("sources") / F.lit(TILE)).cast("int")
-    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    groups = named.join(places, "lang").select("lang", "source", zero("n"), zero("n_lang"), zero("terms"), tiles.alias("tiles"))
+    groups = groups.join(of_langs, "lang").withColumn("tiles", tiles).drop("sources")
     groups = groups.withColumn("tile", F.pmod(F.xxhash64("source"), F.col("tiles")).cast("int"))
     absent = F.when(F.col("terms") > 0, share(F.lit(0), F.col("n"), F.greatest("terms", F.lit(1)))).otherwise(0)
     groups = cut(groups.withColumn("absent", absent.cast("long")))
+    known = _known(groups)
 
     of_lang = groups.select("lang", "terms").distinct()
     block = F.pmod("number", F.ceil(F.col("terms") / F.lit(TERMS))).cast("int")
-    blocks = words.join(of_lang, "lang").groupBy("lang", block.alias("block")).agg(F.count("*").alias("in_block"))
+    blocks = words.join(_known(of_lang), "lang").groupBy("lang", block.alias("block")).agg(F.count("*").alias("in_block"))
     none = of_lang.filter("terms = 0").select("lang", F.lit(0).alias("block"), F.lit(0).cast("long").alias("in_block"))
-    cells = used.join(groups, ["lang", "source"]).withColumns(
-        {"p": share(F.col("count"), F.col("n"), F.col("terms")), "block": block}
-    )
-    pairs = _distances(cells, groups, blocks.unionByName(none)).withColumn("part", F.lit("pair"))
-
-    points = used.join(in_lang, ["lang", "number"]).select("lang", "source", "term", "count", "of_lang")
-    parts = _skybands(points, top)
-    merged = _skybands(parts.repartition("lang", "source"), top)
+    cells = used.join(known, "group").withColumns({"p": share(F.col("count"), F.col("n"), F.col("terms")), "block": block})
+    pairs = _distances(cells, groups, blocks.unionByName(none))
+    names = groups.select("lang", "source", "group")
+    pairs = pairs.join(_known(names), "group").join(_known(names.select(F.col("group").alias("item"), F.col("source").alias("mate"))), "item")
+    pairs = _ranked(pairs.select("lang", "source", F.lit("pair").alias("part"), F.col("mate").alias("item"), "value"), "item")
+
+    parts = _skybands(used.select("group", "number", "count", "of_lang"), top)
+    merged = _skybands(parts.repartition("group"), top)
     p, q = share(F.col("count"), F.col("n"), F.col("terms")), share(F.col("of_lang"), F.col("n_lang"), F.col("terms"))
-    above = merged.join(groups, ["lang", "source"]).select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), (p - q).alias("value"))
-    terms = _ranked(above.filter("value > 0")).filter(F.col("rank") <= top)
-    return _ranked(pairs).unionByName(terms).select("lang", "source", "part", "item", "value", "rank")
+    above = merged.join(known, "group").select("lang", "source", F.lit("term").alias("part"), "number", (p - q).alias("value"))
+    best = _ranked(above.filter("value > 0"), "number").filter(F.col("rank") <= top)
+    terms = best.join(words.select("number", F.col("term").alias("item")), "number")
+    out = ["lang", "source", "part", "item", "value", "rank"]
+    return pairs.select(*out).unionByName(terms.select(*out))
+
+
+def _numbered(rows: DataFrame, number: str, *order: str) -> DataFrame:
+    """Written with numbers that rise in the order of the given columns."""
+    # Written first: the bounds of the parts are sought by a pass of its own.
+    return cut(cut(rows).orderBy(*order).withColumn(number, F.monotonically_increasing_id()))
+
+
+def _known(rows: DataFrame) -> DataFrame:
+    """Sent to all tasks up to a size, else joined by a shuffle."""
+    texts = [F.octet_length(f.name) for f in rows.schema.fields if f.dataType.typeName() == "string"]
+    size = rows.agg(F.sum(sum(texts, F.lit(24)))).first()[0] or 0
+    return F.broadcast(rows) if size <= BROADCAST_BYTES else rows
 
 
-def _ranked(rows: DataFrame) -> DataFrame:
-    best = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
+def _ranked(rows: DataFrame, tie: str) -> DataFrame:
+    best = Window.partitionBy("lang", "source").orderBy(F.desc("value"), tie)
     return rows.withColumn("rank", F.row_number().over(best))

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from mailloom.functions import batches
 from mailloom.llm import boosted_trees, divergence, quality, text_statistics, whitening
 from mailloom.llm.queries import QUERIES
 
@@ -162,6 +163,32 @@ def test_long_text_in_pieces():
     assert sum((Counter(p) for p in divergence.terms_in_pieces(text)), Counter()) == {b"ab": 400_000, "éx".encode(): 400_000}
 
 
+def test_terms_are_numbers_once_they_are_counted(spark, monkeypatch):
+    """No text takes part in what is summed, joined and ranked for each source, and numbers rise as terms do."""
+    seen, each = [], divergence._skybands
+    monkeypatch.setattr(divergence, "_skybands", lambda rows, k: seen.append(rows) or each(rows, k))
+    docs = spark.createDataFrame([("a", "s", "é b Z"), ("a", "r", "b y")] * 3, "lang string, source string, text string")
+    found = divergence.audit(docs, min_documents=3)
+    assert all(f.dataType.typeName() == "long" for rows in seen for f in rows.schema.fields)
+    numbers = sorted({(r["number"], r["of_lang"]) for r in seen[0].collect()})
+    assert [n for _, n in numbers] == [6, 3, 3, 3] and found.filter("part = 'term'").count() > 0
+
+
+@pytest.mark.parametrize("portion", [1, 7, 1 << 22])
+def test_counts_of_texts_side_by_side(spark, monkeypatch, portion):
+    """Words end where their text ends; texts beyond a portion, empty ones and odd characters count as well."""
+    monkeypatch.setattr(divergence, "portions", lambda texts: batches.portions(texts, portion))
+    monkeypatch.setattr(divergence, "PORTION", portion)
+    texts = ["ab", "cd AB", "", " ", "ab1éx", "é", "-", "Ab ab\nab", "日本 x", "x" * 40, "\x00a\x7f"]
+    rows = [("a" if k % 3 else "b", t) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "lang string, text string").coalesce(1)
+    words = lambda t: re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", t.lower())
+    for once in (False, True):
+        want = Counter((lang, w) for lang, t in rows for w in (set(words(t)) if once else words(t)))
+        found = divergence._counted(docs, ["lang"], once=once).groupBy("lang", "term").agg(F.sum("n")).collect()
+        assert {(r[0], r[1]): r[2] for r in found} == want
+
+
 @pytest.mark.parametrize("block", [3, 512])
 def test_skyband(monkeypatch, block):
     monkeypatch.setattr(divergence, "BLOCK", block)
