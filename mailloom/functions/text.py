@@ -180,13 +180,14 @@ def collapse_blank_lines(text: Column) -> Column:
 def tidy_lines(text: Column) -> Column:
     """Strip the lines of visible, single-spaced text and collapse blank ones.
 
-    A trailing run is matched from its first character only, so a long run
-    costs linear time.
+    Single plain spaces go by plain replacement. In the pattern for the rest a
+    trailing run is matched from its first character only, so a long run costs
+    linear time.
     """
-    wide = lambda t: (F.octet_length(t) != F.length(t)) & t.rlike(r"\p{Z}\n|\n\p{Z}")
-    ragged = lambda t: t.contains(" \n") | t.contains("\n ") | wide(t)
-    tidied = lambda t: F.regexp_replace(t, r"\p{Z}(?<!\p{Z}{2})\p{Z}*\n\p{Z}*|\n\p{Z}+", "\n")
-    return collapse_blank_lines(bind(text, lambda t: F.when(ragged(t), tidied(t)).otherwise(t)))
+    odd = lambda t: t.contains("  ") | ((F.octet_length(t) != F.length(t)) & t.rlike(r"[\p{Z}&&[^ ]]"))
+    by_pattern = lambda t: F.regexp_replace(t, r"\p{Z}(?<!\p{Z}{2})\p{Z}*\n\p{Z}*|\n\p{Z}+", "\n")
+    plainly = lambda t: F.replace(F.replace(t, F.lit(" \n"), F.lit("\n")), F.lit("\n "), F.lit("\n"))
+    return collapse_blank_lines(bind(text, lambda t: F.when(odd(t), by_pattern(t)).otherwise(plainly(t))))
 
 
 def single_spaces(text: Column) -> Column:

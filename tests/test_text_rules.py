@@ -282,3 +282,13 @@ def test_rules_write_a_text_anew_only_if_it_holds_something_for_them(spark, valu
         assert "CASE WHEN" in plan, rule
     items = ["a \n \n b", "a\n \nb", " a \n b ", "a\n\n\n\nb\n", "a b\n\nc", " \n", "a　\n\n\n　b", ""]
     assert values(text.tidy_lines, items) == ["a\n\nb", "a\n\nb", "a\nb", "a\n\nb", "a b\n\nc", "", "a\n\nb", ""]
+
+
+def test_single_spaces_at_line_ends_need_no_pattern(spark, values):
+    """The pattern of tidy lines is kept for runs and for separators beyond the plain space."""
+    shown = spark.range(1).select(text.tidy_lines(F.col("id").cast("string")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "replace(replace(" in shown
+    rnd = random.Random(5)
+    items = ["".join(rnd.choices(["a", " ", "\n", "é", "\u2028", "\u00a0", "\u3000"][: 3 + k % 5], k=rnd.randrange(14))) for k in range(600)]
+    tidied = [re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \u2028\u00a0\u3000]*\n[ \u2028\u00a0\u3000]*", "\n", t)).strip() for t in items]
+    assert values(text.tidy_lines, items) == tidied
