@@ -90,18 +90,18 @@ def markup_to_text(
 
     Patterns serve well-formed rows inside the JVM. Only rows with rare entities,
     hidden elements or unpaired garbage tags are handed to the tree helper.
+    Texts that hold no garbage tag, told in one pass, skip the rules for them.
     """
-    html, flat, tree, early, plain = F.col(column), f"{_P}flat", f"{_P}tree", f"{_P}early", f"{_P}plain"
+    html, flat, tree, early, plain, garbage = F.col(column), *(f"{_P}{n}" for n in ("flat", "tree", "early", "plain", "garbage"))
     has_tags = html.contains("<") & html.contains(">") if has_tags is None else has_tags
-    has_entities = html.rlike("&[#A-Za-z]") if has_entities is None else has_entities
+    has_entities = html.contains("&") & html.rlike("&[#A-Za-z]") if has_entities is None else has_entities
     by_pattern = has_tags & ~F.col(early)
-    needs_tree = F.col(early) | (has_tags & text.leaves_garbage(F.col(flat)))
+    needs_tree = F.col(early) | (F.col(garbage) & text.holds_garbage(F.col(flat)))
+    unpaired = F.col(garbage) & text.garbage_is_unpaired(html)
     return (
-        df.withColumn(
-            early,
-            (has_entities & ~text.plain_entities(html)) | (has_tags & (text.hides_elements(html) | text.garbage_is_unpaired(html))),
-        )
-        .withColumn(flat, F.when(by_pattern, text.drop_garbage(html)).otherwise(html))
+        df.withColumn(garbage, has_tags & text.holds_garbage(html))
+        .withColumn(early, (has_entities & ~text.plain_entities(html)) | (has_tags & (text.hides_elements(html) | unpaired)))
+        .withColumn(flat, F.when(by_pattern & F.col(garbage), text.drop_garbage(html)).otherwise(html))
         .withColumn(tree, F.when(needs_tree, html))
         .withColumn(plain, F.when(by_pattern, text.break_tags(F.col(flat))).otherwise(F.col(flat)))
         .withColumn(
@@ -111,7 +111,7 @@ def markup_to_text(
                 F.when(has_entities, text.decode_entities(F.col(plain))).otherwise(F.col(plain)),
             ),
         )
-        .drop(flat, tree, early, plain)
+        .drop(flat, tree, early, plain, garbage)
     )
 
 
@@ -145,7 +145,7 @@ def clean_bodies(
     df = (
         df.withColumn(seen, text.visible(F.coalesce(c(column), F.lit(""))))
         .withColumn(tags, c(seen).contains("<") & c(seen).contains(">"))
-        .withColumn(entities, c(seen).rlike("&[#A-Za-z]"))
+        .withColumn(entities, c(seen).contains("&") & c(seen).rlike("&[#A-Za-z]"))
         .withColumn(markup, c(tags) | c(seen).contains('="'))
     )
     # Markup is removed twice, since the first pass may uncover more.

@@ -21,18 +21,21 @@ def one_update_per_id(updates: DataFrame, order: str | None = None) -> DataFrame
     return seen.select("id", F.when(F.col("least") != F.col("most"), differ).otherwise(F.col("least.body_cleaned")).alias("body_cleaned"))
 
 
-def update_bodies(emails: DataFrame, updates: DataFrame, order: str | None = None) -> DataFrame:
+def update_bodies(emails: DataFrame, updates: DataFrame, order: str | None = None, *, ids_differ: bool = False) -> DataFrame:
     """The table with ``body_cleaned`` replaced where ``updates`` (id, body_cleaned) has the id.
 
-    An update to NULL is one too; for repeated ids see ``one_update_per_id``.
+    An update to NULL is one too; for repeated ids see ``one_update_per_id``. Where
+    the caller knows that all ids differ, bodies are not compared.
+
+    An old body that equals the text is not moved beside it.
     """
-    new, hit = "__new", "__hit"
-    patch = one_update_per_id(updates, order).select("id", F.col("body_cleaned").alias(new), F.lit(True).alias(hit))
-    return (
-        emails.join(patch, "id", "left")
-        .withColumn("body_cleaned", F.when(F.col(hit), F.col(new)).otherwise(F.col("body_cleaned")))
-        .select(*emails.columns)
-    )
+    new, hit, as_text = "__new", "__hit", "__as_text"
+    patch = updates if ids_differ else one_update_per_id(updates, order)
+    patch = patch.select("id", F.col("body_cleaned").alias(new), F.lit(True).alias(hit))
+    old = emails.withColumn(as_text, F.col("body_cleaned").eqNullSafe(F.col("body_text")))
+    old = old.withColumn("body_cleaned", F.when(~F.col(as_text), F.col("body_cleaned")))
+    body = F.when(F.col(hit), F.col(new)).when(F.col(as_text), F.col("body_text")).otherwise(F.col("body_cleaned"))
+    return old.join(patch, "id", "left").withColumn("body_cleaned", body).select(*emails.columns)
 
 
 def delete_ids(table: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:

@@ -99,15 +99,17 @@ class EmailTable(_Folder):
         rows = rows.select(*EMAILS.names).withColumn("bucket", self._bucket())
         # Rebalancing gives each bucket few, evenly sized files at any volume.
         # Sorted keys and their filters let a look-up skip row groups.
-        (
+        writer = (
             rows.hint("rebalance", "bucket")
             .sortWithinPartitions("bucket", "external_message_id")
             .write.mode(mode)
             .option("partitionOverwriteMode", "dynamic")
             .option("parquet.bloom.filter.enabled#external_message_id", "true")
-            .partitionBy("bucket")
-            .parquet(self.path)
         )
+        # Texts hardly repeat: a dictionary of them would be given up after its first page.
+        for name in ("body_text", "body_html", "body_cleaned"):
+            writer = writer.option(f"parquet.enable.dictionary#{name}", "false")
+        writer.partitionBy("bucket").parquet(self.path)
 
     def append(self, rows: DataFrame) -> None:
         self._write(rows, "append")
@@ -149,8 +151,16 @@ class EmailTable(_Folder):
                 remove_path(self.spark, f"{self.path}/bucket={emptied}")
 
     def update_bodies(self, updates: DataFrame, order: str | None = None) -> None:
-        """Replace bodies by id; see ``upsert.one_update_per_id`` for repeated ids."""
-        self._replace(self._buckets_of(updates), lambda rows: upsert.update_bodies(rows, updates, order))
+        """Replace bodies by id; see ``upsert.one_update_per_id`` for repeated ids.
+
+        Whether ids repeat is told from the ids alone, together with the buckets;
+        bodies are compared only if some do.
+        """
+        counted = updates.groupBy("id").agg(F.count("*").alias("n")).groupBy(self._bucket().alias("b")).agg(F.max("n"))
+        most = dict(counted.collect())  # a row per bucket, and one of updates without an id
+        differ = max(most.values(), default=1) == 1
+        touched = [b for b in most if b is not None]
+        self._replace(touched, lambda rows: upsert.update_bodies(rows, updates, order, ids_differ=differ))
 
     def delete(self, ids: DataFrame) -> None:
         self._replace(self._buckets_of(ids), lambda rows: upsert.delete_ids(rows, ids))

@@ -229,6 +229,30 @@ def test_repeated_updates(spark, table):
     assert table.read().count() == 8
 
 
+def test_bodies_of_updates_are_compared_only_if_ids_repeat(spark, table, monkeypatch):
+    """Ids alone tell it, and an old body that equals the text is not moved beside it."""
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    rows = emails(spark, range(4))
+    updates = rows.select("id", F.lit("x").alias("body_cleaned"))
+    assert "Aggregate" not in plan(upsert.update_bodies(rows, updates, ids_differ=True))
+    assert "Aggregate" in plan(upsert.update_bodies(rows, updates))
+    asked, real = [], upsert.update_bodies
+    monkeypatch.setattr(upsert, "update_bodies", lambda *args, **options: asked.append(options["ids_differ"]) or real(*args, **options))
+    bodies = lambda: {r[0]: r[1:] for r in table.read().select("external_message_id", "body_text", "body_cleaned").collect()}
+    old = F.when(F.col("external_message_id") == "m0", None).when(F.col("external_message_id") == "m1", "c").otherwise(F.col("body_cleaned"))
+    table.append(rows.withColumn("body_cleaned", old))
+    table.append(emails(spark, [4, 5], None).withColumn("body_cleaned", F.when(F.col("arrival") == 5, "c")))
+    before = {"m0": ("b", None), "m1": ("b", "c"), "m2": ("b", "b"), "m3": ("b", "b"), "m4": (None, None), "m5": (None, "c")}
+    assert bodies() == before
+    table.update_bodies(updates.join(emails(spark, [3]).select("id"), "id"))
+    assert bodies() == {**before, "m3": ("b", "x")}
+    none = emails(spark, [1, 2, 99]).select("id", F.lit(None).cast("string").alias("body_cleaned"))
+    table.update_bodies(none.union(none))
+    table.update_bodies(emails(spark, [4]).select("id", F.lit("y").alias("body_cleaned")))
+    assert bodies() == {**before, "m1": ("b", None), "m2": ("b", None), "m3": ("b", "x"), "m4": (None, "y")}
+    assert asked == [True, False, True]
+
+
 def test_failed_replacement_keeps_a_copy(spark, table, monkeypatch):
     table.append(emails(spark, range(8)))
     monkeypatch.setattr(table, "_write", lambda rows, mode: 1 / 0)

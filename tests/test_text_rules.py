@@ -292,3 +292,28 @@ def test_single_spaces_at_line_ends_need_no_pattern(spark, values):
     items = ["".join(rnd.choices(["a", " ", "\n", "é", "\u2028", "\u00a0", "\u3000"][: 3 + k % 5], k=rnd.randrange(14))) for k in range(600)]
     tidied = [re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \u2028\u00a0\u3000]*\n[ \u2028\u00a0\u3000]*", "\n", t)).strip() for t in items]
     assert values(text.tidy_lines, items) == tidied
+
+
+def test_markup_rules_run_only_on_texts_that_hold_their_marks(spark, values):
+    """Declarations, root tags, name spaces and garbage tags are told by one cheap pass each."""
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    rules_ = (text.drop_declarations, text.drop_root_tags)
+    for rule in rules_:
+        assert "CASE WHEN" in plan(spark.range(1).select(rule(F.col("id").cast("string")))), rule
+    bits = ["<", ">", "<?xml ?>", "<?XML", "<!DocType x>", "<!-- a\n-->", "<!", "-->", "<HTML", "</body x>", ' XMLNS:a="u"', 'xmlns="', '="', "a", " ", "\n", "é"]
+    bits += ["<script>", "</SCRIPT >", "<style/>", "<input ", "<scripted>", "</form", "<div aria-Hidden=true>", "<p STYLE = 'display:none'>", "&amp;", "&"]
+    rnd = random.Random(11)
+    items = [None, "", *("".join(rnd.choices(bits, k=rnd.randrange(9))) for _ in range(500))]
+
+    def every_rule(t):
+        t = F.regexp_replace(t, r"(?isU)\A\s*<\?xml[^>]*\?>", "")
+        t = F.regexp_replace(F.regexp_replace(t, r"(?is)<!doctype[^>]*>", ""), r"(?is)<!--.*?-->", "")
+        t = F.regexp_replace(t, r"(?isU)</?(html|body)\b[^>]*>", "")
+        return text.strip(F.regexp_replace(t, r'(?isU)\sxmlns(:\w+)?="[^"]*"', ""))
+
+    assert values(text.preclean, items) == values(every_rule, items)
+    df = spark.createDataFrame([(t,) for t in items], "t string")
+    skipped = df.filter(~text.holds_garbage(F.col("t")))
+    assert skipped.count() > 50
+    odd = text.garbage_is_unpaired(F.col("t")) | (text.drop_garbage(F.col("t")) != F.col("t"))
+    assert skipped.filter(odd).count() == 0
